@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, mixing, sharding
+from docloom.llm import bpe, mixing, sharding, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op5_water_filling_mix": mixing.op5_water_filling_mix,
     "op8_jump_hash_sharding": sharding.op8_jump_hash_sharding,
     "op10_byte_bpe": bpe.op10_byte_bpe,
