@@ -463,7 +463,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool
         return rows.repartition("key").sortWithinPartitions(*NAMES[:4])
 
     def fetched(rows: DataFrame) -> DataFrame:
-        return texts.join(items(rows), ["doc", "check"]).select("doc", "check", "body", "items")
+        # A left join, so that its side of texts is the same exchange in every round.
+        return texts.join(items(rows), ["doc", "check"], "left").select("doc", "check", "body", "items", *carry)
 
     rows = src.select("doc", "check", "body").mapInArrow(first_ranks, ROW)
     rows = ranked(rows).mapInArrow(rerank_contexts, ROW)
@@ -471,7 +472,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool
     rows = ranked(rows).mapInArrow(keep_alive, ROW)
     rows = fetched(rows).mapInArrow(rank_windows, ROW)
     rows = ranked(rows).mapInArrow(repeated_windows, ROW)
-    out = texts.join(items(rows), ["doc", "check"], "left").select("doc", "check", "body", "items", *carry)
+    out = fetched(rows)
     more = ", spans array<struct<start: bigint, end: bigint>>, kept binary" if keep_text else ""
     out = out.mapInArrow(_cut_texts(keep_text), f"doc_id bigint{extra}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
