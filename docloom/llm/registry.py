@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, embedding_dup, mixing, near_dup, quality_model, quality_rules, sharding, suffix_dedup
+from docloom.llm import bpe, embedding_dup, language, mixing, near_dup, quality_model, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_superminhash_near_dup": near_dup.op3_superminhash_near_dup,
     "op5_water_filling_mix": mixing.op5_water_filling_mix,
     "op6_decision_list": quality_rules.op6_decision_list,
+    "op7_viterbi_language": language.op7_viterbi_language,
     "op8_jump_hash_sharding": sharding.op8_jump_hash_sharding,
     "op9_itq_embedding_dup": embedding_dup.op9_itq_embedding_dup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
