@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, embedding_dup, language, mixing, near_dup, quality_model, quality_rules, sharding, suffix_dedup
+from docloom.llm import bpe, embedding_dup, language, mixing, near_dup, quality_model, quality_rules, revisits, sharding, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_attention_quality": quality_model.op2_attention_quality,
     "op3_superminhash_near_dup": near_dup.op3_superminhash_near_dup,
+    "op4_revisit_resolution": revisits.op4_revisit_resolution,
     "op5_water_filling_mix": mixing.op5_water_filling_mix,
     "op6_decision_list": quality_rules.op6_decision_list,
     "op7_viterbi_language": language.op7_viterbi_language,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_revisit_resolution": revisits.OP4_SQL,
     "op5_water_filling_mix": mixing.OP5_SQL,
 }
