@@ -37,19 +37,34 @@ GRAM = 32
 CHUNK, COMBINE = 1 << 17, 1 << 21
 #: Kinds of rows between the rounds.
 SPAN, PLACE, SIGNAL, KNOWN, EDGE = 0, 1, 2, 3, 4
-ROW = "key bigint, sub bigint, doc bigint, pos bigint, aux bigint"
-NAMES = ["key", "sub", "doc", "pos", "aux"]
-#: aux: kind (3 bits), distances from the first and the last window to the gram (7 and 7), sides
-#: that are still alive (2), check of the text (20).
+ROW = "key bigint, sub bigint, doc bigint, pos bigint"
+NAMES = ["key", "sub", "doc", "pos"]
+#: pos: kind (from bit 60), check of the text (20 bits from 40), place (40 bits). sub: distances from
+#: the first and the last window to the gram (7 bits from 57 and from 50), sides that are still
+#: alive (2 bits from 48), and 48 bits of a name; for spans the end. Few bytes a row keep the
+#: shuffles small.
 LEFT, RIGHT = 1, 2
+LOW48 = (1 << 48) - 1
 
 
-def pack(kind, far, near, sides, check):
-    return kind | far << 3 | near << 10 | sides << 17 | check << 19
+def at(kind: int, check, place):
+    return kind << 60 | check << 40 | place
 
 
-def unpack(aux: np.ndarray):
-    return aux & 7, aux >> 3 & 127, aux >> 10 & 127, aux >> 17 & 3, aux >> 19
+def where(pos: np.ndarray):
+    """Kind, check and place."""
+    return pos >> 60, pos >> 40 & ((1 << 20) - 1), pos & ((1 << 40) - 1)
+
+
+def edge_info(far, near, sides=0, name=None) -> np.ndarray:
+    out = far.astype(np.uint64) << np.uint64(57) | near.astype(np.uint64) << np.uint64(50) | np.asarray(sides).astype(np.uint64) << np.uint64(48)
+    return signed(out if name is None else out | name & np.uint64(LOW48))
+
+
+def edge_of(sub: np.ndarray):
+    """Distances of the first and the last window, and the sides alive."""
+    u = sub.view(np.uint64)
+    return ((u >> np.uint64(shift) & np.uint64(mask)).astype(np.int64) for shift, mask in ((57, 127), (50, 127), (48, 3)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -61,22 +76,22 @@ def spread(doc: np.ndarray, check: np.ndarray) -> np.ndarray:
 
 
 def rows_out(*parts: tuple) -> Iterator[pa.RecordBatch]:
-    """Record batches of (key, sub, doc, pos, aux) parts."""
+    """Record batches of (key, sub, doc, pos) parts."""
     for part in parts:
-        n = len(part[0])
-        for at in range(0, n, 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[at : at + (1 << 17)])) for x in part], names=NAMES)
+        for i in range(0, len(part[0]), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[i : i + (1 << 17)])) for x in part], names=NAMES)
 
 
 def span_rows(doc, check, start, end):
     """Spans merged by document, as rows that pass through the next round."""
     order = np.lexsort((check, doc))
     d, c = doc[order], check[order]
-    new = np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])] if len(d) else np.empty(0, bool)
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1])
     owner, s, e = grams.merge_spans(np.cumsum(new) - 1, start[order], end[order])
     first = np.flatnonzero(new)[owner] if len(d) else owner.astype(np.int64)
     d, c = d[first], c[first]
-    return spread(d, c), e, d, s, pack(SPAN, 0, 0, 0, c)
+    return spread(d, c), e, d, at(SPAN, c, s)
 
 
 def later(key, sub, doc, pos):
@@ -87,6 +102,21 @@ def later(key, sub, doc, pos):
     return new, (doc != doc[first]) | (pos != pos[first])
 
 
+def twins(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted names: which occur more than once, and the first of each of these."""
+    same = np.zeros(len(name), bool)
+    same[1:] = name[1:] == name[:-1]
+    many = same.copy()
+    many[:-1] |= same[1:]
+    return many, many & ~same
+
+
+def signals(name: np.ndarray) -> tuple:
+    """Rows that tell other tasks that a name is not unique."""
+    zero = np.zeros(len(name), np.int64)
+    return signed(name), zero, zero, zero + at(SIGNAL, 0, 0)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of a partition sorted by key, cut so that no key is split."""
     held: list[list[np.ndarray]] = []
@@ -118,8 +148,8 @@ def pieces(offsets: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
             yield chunk
             chunk, size = [], 0
         if n > CHUNK:
-            for at in range(0, n - THRESHOLD + 1, CHUNK):
-                yield [(row, at, min(n, at + CHUNK + THRESHOLD - 1))]
+            for low in range(0, n - THRESHOLD + 1, CHUNK):
+                yield [(row, low, min(n, low + CHUNK + THRESHOLD - 1))]
         else:
             chunk.append((row, 0, n))
             size += n
@@ -163,34 +193,28 @@ def sample(data: np.ndarray, bounds: np.ndarray):
 
 
 def combine(name, context, doc, pos, far, near, check):
-    """Rows of the first round from the positions of one task."""
+    """Rows of the first round from the positions of one task, in their order."""
     order = np.argsort(name)
-    n = name[order]
-    same = np.zeros(len(n), bool)
-    same[1:] = n[1:] == n[:-1]
-    twin = same.copy()
-    twin[:-1] |= same[1:]
-    one = order[~twin]
-    yield (signed(name[one]), signed(context[one]), doc[one], pos[one], pack(PLACE, far[one], near[one], 0, check[one]))
+    twin, _ = twins(name[order])
+    one = np.sort(order[~twin])
+    yield signed(name[one]), edge_info(far[one], near[one], 0, context[one]), doc[one], at(PLACE, check[one], pos[one])
     more = order[twin]
-    more = more[np.lexsort((pos[more], doc[more], context[more], name[more]))]
     if not len(more):
         return
-    k, s, d, p, c = name[more], context[more], doc[more], pos[more], check[more]
-    f, r = far[more], near[more]
+    k, s, d, p = name[more], edge_info(far[more], near[more], 0, context[more]), doc[more], at(PLACE, check[more], pos[more])
+    order = np.lexsort((p, d, s, k))
+    more, k, s, d, p = more[order], k[order], s[order], d[order], p[order]
     new, after = later(k, s, d, p)
+    f, r, c = far[more], near[more], check[more]
     begins = np.ones(len(k), bool)
     begins[1:] = k[1:] != k[:-1]
     group = np.cumsum(begins) - 1
-    many = np.bincount(group[new]) > 1
-    yield span_rows(d[after], c[after], (p - f)[after], (p - r)[after] + THRESHOLD)
-    lone = ~after & ~many[group]
-    yield (signed(k[lone]), signed(s[lone]), d[lone], p[lone], pack(PLACE, f[lone], r[lone], 0, c[lone]))
-    known = ~after & many[group]
-    yield (signed(s[known]), signed(k[known]), d[known], p[known], pack(KNOWN, f[known], r[known], 0, c[known]))
-    told = begins & many[group]
-    zero = np.zeros(int(told.sum()), np.int64)
-    yield (signed(k[told]), zero, zero, zero, pack(SIGNAL, zero, zero, 0, zero))
+    many = (np.bincount(group[new]) > 1)[group]
+    yield span_rows(d[after], c[after], (pos[more] - f)[after], (pos[more] - r)[after] + THRESHOLD)
+    lone, known = ~after & ~many, ~after & many
+    yield signed(k[lone]), s[lone], d[lone], p[lone]
+    yield signed(context[more][known]), edge_info(f[known], r[known], 0, k[known]), d[known], at(KNOWN, c[known], pos[more][known])
+    yield signals(k[begins & many])
 
 
 def first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,9 +233,9 @@ def first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, begin, stop = (np.array(x) for x in zip(*chunk, strict=True))
             lengths = stop - begin
             bounds = np.r_[0, np.cumsum(lengths)]
-            at = offsets[rows[0]] + begin[0]
-            if int(at + bounds[-1]) == int(offsets[rows[-1]] + stop[-1]):
-                body = data[at : at + bounds[-1]]
+            low = offsets[rows[0]] + begin[0]
+            if int(low + bounds[-1]) == int(offsets[rows[-1]] + stop[-1]):
+                body = data[low : low + bounds[-1]]
             else:
                 body = np.concatenate([data[offsets[r] + b : offsets[r] + e] for r, b, e in chunk])
             place, lo, hi, name, context, text = sample(body, bounds)
@@ -227,39 +251,48 @@ def first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rerank_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of the first round to spans, and edges: places whose gram stands in several contexts."""
-    for key, sub, doc, pos, aux in sorted_groups(batches):
-        kind, far, near, _, check = unpack(aux)
+    for key, sub, doc, pos in sorted_groups(batches):
+        kind, check, place = where(pos)
         span = kind == SPAN
-        yield from rows_out((key[span], sub[span], doc[span], pos[span], aux[span]))
+        yield from rows_out((key[span], sub[span], doc[span], pos[span]))
         told = key[kind == SIGNAL]
         keep = (kind == PLACE) | (kind == KNOWN)
-        k, s, d, p, f, r, c, known = (x[keep] for x in (key, sub, doc, pos, far, near, check, kind == KNOWN))
+        k, s, d, p, c, at_, known = (x[keep] for x in (key, sub, doc, pos, check, place, kind == KNOWN))
         if not len(k):
             continue
+        far, near, _ = edge_of(s)
         new, after = later(k, s, d, p)
         begins = np.ones(len(k), bool)
         begins[1:] = k[1:] != k[:-1]
         group = np.cumsum(begins) - 1
         many = (np.bincount(group[new]) > 1)[group] | known | np.isin(k, told)
-        yield from rows_out(span_rows(d[after], c[after], (p - f)[after], (p - r)[after] + THRESHOLD))
+        yield from rows_out(span_rows(d[after], c[after], (at_ - far)[after], (at_ - near)[after] + THRESHOLD))
         edge = many & ~after
-        yield from rows_out((spread(d[edge], c[edge]), np.zeros(int(edge.sum()), np.int64), d[edge], p[edge], pack(EDGE, f[edge], r[edge], 0, c[edge])))
+        yield from rows_out((spread(d[edge], c[edge]), edge_info(far[edge], near[edge]), d[edge], at(EDGE, c[edge], at_[edge])))
 
 
 def documents_with_items(batches: Iterator[pa.RecordBatch]):
-    """(doc, check, body, items) rows: document, check, bytes, and arrays of sub, pos and aux of its rows."""
+    """(doc, check, body, items) rows: document, check, a call for the bytes, and arrays of sub and pos of its rows."""
     unzip = zstandard.ZstdDecompressor()
     for batch in batches:
         items = batch.column(3)
         flat = items.flatten()
-        cols = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        cols = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(2)]
         ends = np.cumsum([len(x) if x.is_valid else 0 for x in items]).tolist()
         begin = 0
         docs, checks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i, body in enumerate(batch.column(2)):
-            sub, pos, aux = (x[begin : ends[i]] for x in cols)
+            sub, pos = (x[begin : ends[i]] for x in cols)
             begin = ends[i]
-            yield docs[i], checks[i], (lambda b=body: unzip.decompress(b.as_py())), sub, pos, aux
+            yield docs[i], checks[i], (lambda b=body: unzip.decompress(b.as_py())), sub, pos
+
+
+def passing(doc: int, check: int, sub: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Spans among a document's items, as rows."""
+    span = where(pos)[0] == SPAN
+    if span.any():
+        d = np.full(int(span.sum()), doc)
+        yield from rows_out((spread(d, np.full(len(d), check)), sub[span], d, pos[span]))
 
 
 def names_at(body: bytes, places: np.ndarray, length: int, families: int) -> list[np.ndarray]:
@@ -286,38 +319,29 @@ def double_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = 0
 
     def flush():
-        name, doc, pos, aux = (np.concatenate(x) for x in zip(*held, strict=True))
+        name, sub, doc, check, place = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(name)
-        n, d, p, a = name[order], doc[order], pos[order], aux[order]
-        same = np.zeros(len(n), bool)
-        same[1:] = n[1:] == n[:-1]
-        twin = same.copy()
-        twin[:-1] |= same[1:]
-        told = twin & ~same
-        zero = np.zeros(int(told.sum()), np.int64)
-        _, f, r, side, c = unpack(a)
+        many, told = twins(name[order])
+        one, more = np.sort(order[~many]), np.sort(order[many])
         yield from rows_out(
-            (signed(n[~twin]), np.zeros(int((~twin).sum()), np.int64), d[~twin], p[~twin], pack(PLACE, f, r, side, c)[~twin]),
-            (spread(d[twin], c[twin]), np.zeros(int(twin.sum()), np.int64), d[twin], p[twin], pack(EDGE, f, r, side, c)[twin]),
-            (signed(n[told]), zero, zero, zero, pack(SIGNAL, zero, zero, 0, zero)),
+            (signed(name[one]), sub[one], doc[one], at(PLACE, check[one], place[one])),
+            (spread(doc[more], check[more]), sub[more], doc[more], at(EDGE, check[more], place[more])),
+            signals(name[order][told]),
         )
 
-    for doc, check, body, sub, pos, aux in documents_with_items(batches):
-        kind, far, near, _, _ = unpack(aux)
-        span = kind == SPAN
-        if span.any():
-            n = int(span.sum())
-            d = np.full(n, doc)
-            yield from rows_out((spread(d, np.full(n, check)), sub[span], d, pos[span], aux[span]))
-        left, right = (kind == EDGE) & (far >= half), (kind == EDGE) & (near <= half)
-        places = np.r_[pos[left] - half, pos[right]]
+    for doc, check, body, sub, pos in documents_with_items(batches):
+        yield from passing(doc, check, sub, pos)
+        kind, _, place = where(pos)
+        edge = kind == EDGE
+        far, near, _ = edge_of(sub)
+        left, right = edge & (far >= half), edge & (near <= half)
+        places = np.r_[place[left] - half, place[right]]
         if not len(places):
             continue
-        gram = np.r_[pos[left], pos[right]]
-        info = np.r_[aux[left] & ~(3 << 17) | LEFT << 17, aux[right] & ~(3 << 17) | RIGHT << 17]
+        info = np.r_[edge_info(far[left], near[left], LEFT), edge_info(far[right], near[right], RIGHT)]
         order = np.argsort(places)
         (name,) = names_at(body(), places[order], GRAM + half, 1)
-        held.append((name, np.full(len(order), doc), gram[order], info[order]))
+        held.append((name, info[order], np.full(len(order), doc), np.full(len(order), check), np.r_[place[left], place[right]][order]))
         count += len(order)
         if count >= COMBINE:
             yield from flush()
@@ -329,58 +353,53 @@ def double_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows at 66 bytes to spans and the sides of edges whose rank is not unique."""
-    for key, sub, doc, pos, aux in sorted_groups(batches):
-        kind, far, near, side, check = unpack(aux)
+    for key, sub, doc, pos in sorted_groups(batches):
+        kind, check, place = where(pos)
         through = (kind == SPAN) | (kind == EDGE)
-        yield from rows_out((key[through], sub[through], doc[through], pos[through], aux[through]))
-        told = key[kind == SIGNAL]
+        yield from rows_out((key[through], sub[through], doc[through], pos[through]))
         keep = kind == PLACE
-        k, d, p, f, r, sd, c = (x[keep] for x in (key, doc, pos, far, near, side, check))
-        twin = np.isin(k, told)
-        twin[1:] |= k[1:] == k[:-1]
-        twin[:-1] |= k[1:] == k[:-1]
-        yield from rows_out((spread(d[twin], c[twin]), np.zeros(int(twin.sum()), np.int64), d[twin], p[twin], pack(EDGE, f[twin], r[twin], sd[twin], c[twin])))
+        many = twins(key[keep])[0] | np.isin(key[keep], key[kind == SIGNAL])
+        s, d, c, p = (x[keep][many] for x in (sub, doc, check, place))
+        yield from rows_out((spread(d, c), s, d, at(EDGE, c, p)))
 
 
 def rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of 100 bytes at the edges that are left, ranked by 128 bits."""
+    """Windows of 100 bytes at the edges that are left, ranked by 112 bits."""
     half = (THRESHOLD - GRAM) // 2
     held: list[tuple] = []
     count = 0
 
     def flush():
-        key, sub, doc, pos, check = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, sub, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((pos, doc, sub, key))
-        key, sub, doc, pos, check = (x[order] for x in (key, sub, doc, pos, check))
-        _, after = later(key, sub, doc, pos)
+        _, after = later(key[order], sub[order], doc[order], pos[order])
+        gone, kept = order[after], np.sort(order[~after])
+        _, check, place = where(pos[gone])
         yield from rows_out(
-            span_rows(doc[after], check[after], pos[after], pos[after] + THRESHOLD),
-            (signed(key[~after]), signed(sub[~after]), doc[~after], pos[~after], pack(PLACE, 0, 0, 0, check[~after])),
+            span_rows(doc[gone], check, place, place + THRESHOLD),
+            (signed(key[kept]), signed(sub[kept]), doc[kept], pos[kept]),
         )
 
-    for doc, check, body, sub, pos, aux in documents_with_items(batches):
-        kind, far, near, side, _ = unpack(aux)
-        span = kind == SPAN
-        if span.any():
-            n = int(span.sum())
-            d = np.full(n, doc)
-            yield from rows_out((spread(d, np.full(n, check)), sub[span], d, pos[span], aux[span]))
+    for doc, check, body, sub, pos in documents_with_items(batches):
+        yield from passing(doc, check, sub, pos)
+        kind, _, place = where(pos)
         edge = kind == EDGE
         if not edge.any():
             continue
-        gram, back = np.unique(pos[edge] << 16 | far[edge] << 8 | near[edge], return_inverse=True)
+        far, near, side = (x[edge] for x in edge_of(sub))
+        gram, same = np.unique(place[edge] << 16 | far << 8 | near, return_inverse=True)
         alive = np.zeros(len(gram), np.int64)
-        np.bitwise_or.at(alive, back, side[edge])
-        f, r, gram = gram >> 8 & 255, gram & 255, gram >> 16
-        n = f - r + 1
+        np.bitwise_or.at(alive, same, side)
+        far, near, gram = gram >> 8 & 255, gram & 255, gram >> 16
+        n = far - near + 1
         which = np.repeat(np.arange(len(gram)), n)
-        back = f[which] - (np.arange(len(which)) - (np.cumsum(n) - n)[which])
+        back = far[which] - (np.arange(len(which)) - (np.cumsum(n) - n)[which])
         live = ((back < half) | (alive[which] & LEFT > 0)) & ((back > half) | (alive[which] & RIGHT > 0))
         places = np.unique((gram[which] - back)[live])
         if not len(places):
             continue
         one, two = names_at(body(), places, THRESHOLD, 2)
-        held.append((one, two, np.full(len(places), doc), places, np.full(len(places), check)))
+        held.append((one, two & np.uint64(LOW48), np.full(len(places), doc), at(PLACE, check, places)))
         count += len(places)
         if count >= COMBINE:
             yield from flush()
@@ -392,16 +411,15 @@ def rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows at 100 bytes to spans only."""
-    for key, sub, doc, pos, aux in sorted_groups(batches):
-        kind, _, _, _, check = unpack(aux)
-        span, keep = kind == SPAN, kind == PLACE
-        k, s, d, p, c = (x[keep] for x in (key, sub, doc, pos, check))
-        _, after = later(k, s, d, p) if len(k) else (None, np.empty(0, bool))
-        yield from rows_out(span_rows(np.r_[doc[span], d[after]], np.r_[check[span], c[after]], np.r_[pos[span], p[after]], np.r_[sub[span], p[after] + THRESHOLD]))
+    for key, sub, doc, pos in sorted_groups(batches):
+        kind, check, place = where(pos)
+        span, keep = kind == SPAN, np.flatnonzero(kind == PLACE)
+        after = keep[later(key[keep], sub[keep], doc[keep], pos[keep])[1]] if len(keep) else keep
+        yield from rows_out(span_rows(np.r_[doc[span], doc[after]], np.r_[check[span], check[after]], np.r_[place[span], place[after]], np.r_[sub[span], place[after] + THRESHOLD]))
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    zipper = zstandard.ZstdCompressor(level=1)
+    zipper = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         at = batch.schema.get_field_index("body")
         body = pa.array([zipper.compress(b or b"") for b in batch.column(at).to_pylist()], pa.binary())
@@ -412,9 +430,9 @@ def _cut_texts(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, sha, text, found = [], [], [], [], [], []
-            for _, _, body, sub, pos, _ in documents_with_items([batch]):
+            for _, _, body, sub, pos in documents_with_items([batch]):
                 raw = body()
-                _, start, end = grams.merge_spans(np.zeros(len(pos), np.int64), pos, sub)
+                _, start, end = grams.merge_spans(np.zeros(len(pos), np.int64), where(pos)[2], sub)
                 kept, at = [], 0
                 for s, e in zip(start.tolist(), end.tolist(), strict=True):
                     kept.append(raw[at:s])
@@ -443,24 +461,28 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool
     and are judged on the input. Returns doc_id, the columns of ``carry``, n_bytes, n_removed,
     n_spans, kept_sha256 and, with ``keep_text``, the removed spans and the bytes that are kept.
 
-    A null text is empty; a null doc_id comes before all others. Rows that repeat a doc_id count as
-    one document in the order: an equal string at an earlier place of either is earlier, at the
-    same place it is not, so of equal rows with equal ids none loses a byte to the other.
+    A null text is empty; a null doc_id comes before all others. Rows that repeat a doc_id with
+    other texts are documents of their own, in the order of a hash of the text; equal rows are one
+    document, and none loses a byte to the other.
     """
     spark = docs.sparkSession
     ship(spark)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    src = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("bigint").alias("doc"), F.xxhash64(body).bitwiseAND(F.lit((1 << 20) - 1).cast("bigint")).alias("check"), body.alias("body"), *carry)
+    ids = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("bigint")
+    # The check only tells texts of one id apart; where ids are unique it would make rows longer.
+    unique = docs.groupBy(ids.alias("doc")).count().where("count > 1").isEmpty()
+    check = F.lit(0).cast("bigint") if unique else F.xxhash64(body).bitwiseAND(F.lit((1 << 20) - 1).cast("bigint"))
+    src = docs.select(ids.alias("doc"), check.alias("check"), body.alias("body"), *carry)
     kinds = dict(src.dtypes)
     extra = "".join(f", `{c}` {kinds[c]}" for c in carry)
     texts = src.mapInArrow(_squeeze, f"doc bigint, check bigint, body binary{extra}").repartition("doc", "check")
 
     def items(rows: DataFrame) -> DataFrame:
-        owner = (F.shiftrightunsigned("aux", 19)).cast("bigint")
-        return rows.groupBy("doc", owner.alias("check")).agg(F.collect_list(F.struct("sub", "pos", "aux")).alias("items"))
+        owner = F.shiftright("pos", 40).bitwiseAND(F.lit((1 << 20) - 1).cast("bigint"))
+        return rows.groupBy("doc", owner.alias("check")).agg(F.collect_list(F.struct("sub", "pos")).alias("items"))
 
     def ranked(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions(*NAMES[:4])
+        return rows.repartition("key").sortWithinPartitions(*NAMES)
 
     def fetched(rows: DataFrame) -> DataFrame:
         # A left join, so that its side of texts is the same exchange in every round.
