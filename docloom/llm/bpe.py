@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,25 +115,34 @@ def decode(df: DataFrame, ranks: str | bytes, pattern: str, id_col: str = "doc_i
     return _map(df, ranks, pattern, [id_col, ids_col], f"`{id_col}` {kind}, decoded binary", make)
 
 
-def round_trip(df: DataFrame, ranks: str | bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, ranks: str | bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", emit_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass.
 
-    Texts are whole; null counts as empty and has no tokens; equal rows give equal rows. The ids
-    themselves stay in the worker, so the result is as small as the table of ids.
+    Texts are whole; null counts as empty and has no tokens; equal rows give equal rows. Without
+    ``emit_ids`` the ids stay in the worker; with it they follow as token_ids array<int>.
     """
     kind = dict(df.dtypes)[id_col]
 
     def make(enc, batch):
-        n, ids_sha, out_sha = [], [], []
+        n, ids_sha, out_sha, kept = [], [], [], []
         for value in batch.column(1).to_pylist():
             ids = encode_text(enc, _text(value))
             n.append(len(ids))
             ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
             out_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            if emit_ids:
+                kept.append(pa.array(ids, pa.int32()))
+        cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
+        names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+        if emit_ids:
+            flat = pa.concat_arrays(kept) if kept else pa.array([], pa.int32())
+            cols.append(pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(n)], pa.int32()), flat))
+            names.append("token_ids")
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     src = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
-    return _map(src, ranks, pattern, [id_col, "_text"], f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+    more = ", token_ids array<int>" if emit_ids else ""
+    return _map(src, ranks, pattern, [id_col, "_text"], f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}", make)
 
 
 def vocabulary() -> tuple[str, str]:

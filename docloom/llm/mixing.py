@@ -87,6 +87,24 @@ def mix_documents(docs: DataFrame, **kwargs) -> DataFrame:
     return mix(rows, **kwargs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def repeated_documents(docs: DataFrame, **kwargs) -> DataFrame:
+    """The mix itself: the rows of ``docs`` as often as the mix takes them, with the same columns.
+
+    A document whose last repetition is a part has that part's words, joined by blanks, in one row
+    more; where there is a column n_chars, that row has the part's length.
+    """
+    columns = docs.columns
+    out = mix(docs.withColumn("size", words(F.col("text"))), **kwargs)
+    whole = F.coalesce(F.try_divide(F.col("taken") - F.col("taken") % F.greatest("size", F.lit(1)), F.col("size")), F.lit(0.0)).cast("int")
+    rest = F.when(F.col("size") > 0, F.col("taken") % F.greatest("size", F.lit(1))).otherwise(0).cast("int")
+    part = F.when(F.col("_part") > 0, F.array(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest("_part", F.lit(1))), " "))).otherwise(F.array().cast("array<string>"))
+    out = out.withColumn("_part", rest).withColumn("_texts", F.concat(F.array_repeat("text", whole), part))
+    out = out.withColumn("text", F.explode("_texts"))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*columns)
+
+
 def op5_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
