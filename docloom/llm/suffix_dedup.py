@@ -447,8 +447,8 @@ def _cut_texts(keep_text: bool):
             cols = [batch.column(0), *batch.columns[4:], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
             names = ["doc_id", *batch.schema.names[4:], "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
-                cols += [pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(text, pa.binary())]
-                names += ["spans", "kept"]
+                cols += [pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(text, pa.binary()), pa.array([t.decode("utf-8", "ignore") for t in text], pa.string())]
+                names += ["spans", "kept", "kept_text"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
@@ -459,7 +459,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool
 
     Earlier is by smaller doc_id, or in the same document by place. Matches never cross documents
     and are judged on the input. Returns doc_id, the columns of ``carry``, n_bytes, n_removed,
-    n_spans, kept_sha256 and, with ``keep_text``, the removed spans and the bytes that are kept.
+    n_spans, kept_sha256 and, with ``keep_text``, the removed spans, the bytes that are kept, and these
+    as text without characters of which a part is gone.
 
     A null text is empty; a null doc_id comes before all others. Rows that repeat a doc_id with
     other texts are documents of their own, in the order of a hash of the text; equal rows are one
@@ -495,7 +496,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool
     rows = fetched(rows).mapInArrow(rank_windows, ROW)
     rows = ranked(rows).mapInArrow(repeated_windows, ROW)
     out = fetched(rows)
-    more = ", spans array<struct<start: bigint, end: bigint>>, kept binary" if keep_text else ""
+    more = ", spans array<struct<start: bigint, end: bigint>>, kept binary, kept_text string" if keep_text else ""
     out = out.mapInArrow(_cut_texts(keep_text), f"doc_id bigint{extra}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
