@@ -1,13 +1,16 @@
 """Dotted paths to columns, for tables with a schema and for schema-free ones.
 
-A ``Field`` knows how to test and compare the value at a path without ever raising: Catalyst may
-reorder conditions, so every one of them is a total function. Missing and null are the same.
+A ``Field`` knows how to test and compare the value at a path without ever raising, for Catalyst may
+reorder conditions. Missing and null are the same. Comparisons are null where a value is missing or
+of another type: a filter takes that as false, and scans can be asked to apply a bare comparison;
+``sure`` makes it false where a condition is negated or shown.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -67,9 +70,9 @@ class Field:
         if kind == "null":
             return self.is_null()
         if kind in ("list", "object"):
-            return sure(self.equals_nested(value))
+            return self.equals_nested(value)
         c = self.as_kind(kind, value)
-        return false() if c is None else sure(c == F.lit(value))
+        return false() if c is None else c == F.lit(value)
 
     def compare(self, op: str, value: Any, strict: bool = False) -> Column:
         kind = kind_of(value)
@@ -79,22 +82,21 @@ class Field:
                 raise TypeError(f"{op} can't compare with {value!r} here")
             return false()
         v = F.lit(value)
-        return sure({"$gt": c > v, "$gte": c >= v, "$lt": c < v, "$lte": c <= v}[op])
+        return {"$gt": c > v, "$gte": c >= v, "$lt": c < v, "$lte": c <= v}[op]
 
     def one_of(self, values: list) -> Column:
-        out = false()
         by_kind: dict[str, list] = {}
         for v in values:
             by_kind.setdefault(kind_of(v), []).append(v)
+        parts = []
         for kind, own in by_kind.items():
             if kind == "null":
-                out = out | self.is_null()
+                parts.append(self.is_null())
             elif kind in ("list", "object"):
-                for v in own:
-                    out = out | self.equals(v)
+                parts += [self.equals(v) for v in own]
             elif (c := self.as_kind(kind, own[0])) is not None:
-                out = out | sure(c.isin(own))
-        return out
+                parts.append(c.isin(own))
+        return reduce(lambda a, b: a | b, parts) if parts else false()
 
 
 class TypedField(Field):

@@ -1,7 +1,7 @@
 """Filter documents to conditions.
 
-``{"city": "Rome", "age": {"$gte": 18}, "$or": [...]}`` becomes one ``Column`` that is true or
-false for every row, built from expressions that Parquet scans can be asked to apply.
+``{"city": "Rome", "age": {"$gte": 18}, "$or": [...]}`` becomes one ``Column``, built from
+comparisons that Parquet scans can be asked to apply.
 """
 
 from __future__ import annotations
@@ -41,26 +41,39 @@ def java_pattern(pattern: str) -> str:
 
 
 def compile_filter(query: dict[str, Any], fields: Fields, lenient: bool = False, strict: bool = False) -> Column:
-    """The condition for ``query``.
+    """The condition for ``query``, true or false for every row.
 
     ``lenient`` ignores unknown operators (they hold), else they raise ``ValueError``. ``strict``
     raises ``TypeError`` for order comparisons that can never hold by type, else they don't match.
     """
-    parts = [_clause(k, v, fields, lenient, strict) for k, v in query.items()]
+    return sure(predicate(query, fields, lenient, strict))
+
+
+def predicate(query: dict[str, Any], fields: Fields, lenient: bool = False, strict: bool = False) -> Column:
+    """The same for ``where``, which takes null as false: bare comparisons, that scans understand."""
+    return _all([_clause(k, v, fields, lenient, strict) for k, v in query.items()])
+
+
+def _all(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
+def _any(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts) if parts else false()
+
+
+def _not(part: Column) -> Column:
+    return ~sure(part)
+
+
 def _clause(key: str, value: Any, fields: Fields, lenient: bool, strict: bool) -> Column:
     if key in ("$and", "$or", "$nor"):
         if not isinstance(value, (list, tuple)) or not value:
             raise ValueError(f"{key} needs a list of filters")
-        parts = [compile_filter(q, fields, lenient, strict) for q in value]
-        if key == "$and":
-            return reduce(lambda a, b: a & b, parts)
-        any_ = reduce(lambda a, b: a | b, parts)
-        return ~any_ if key == "$nor" else any_
+        parts = [predicate(q, fields, lenient, strict) for q in value]
+        return _all(parts) if key == "$and" else _any(parts) if key == "$or" else _not(_any(parts))
     if key == "$not":
-        return ~compile_filter(value, fields, lenient, strict)
+        return _not(predicate(value, fields, lenient, strict))
     if key.startswith("$"):
         if lenient:
             return F.lit(True)
@@ -77,38 +90,37 @@ def condition(field: Field, value: Any, lenient: bool = False, strict: bool = Fa
         if any(marked):
             raise ValueError(f"operators and keys are mixed in {value!r}")
         return field.equals(value)
-    parts = [_operator(field, op, v, lenient, strict) for op, v in value.items()]
-    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+    return _all([_operator(field, op, v, lenient, strict) for op, v in value.items()])
 
 
 def _operator(field: Field, op: str, v: Any, lenient: bool, strict: bool) -> Column:
     if op == "$eq":
         return field.equals(v)
     if op == "$ne":
-        return ~field.equals(v)
+        return _not(field.equals(v))
     if op in COMPARISONS:
         return field.compare(op, v, strict)
     if op in ("$in", "$nin"):
         if kind_of(v) != "list":
             raise ValueError(f"{op} needs a list")
         found = field.one_of(list(v))
-        return found if op == "$in" else ~found
+        return found if op == "$in" else _not(found)
     if op == "$regex":
-        return sure(field.text().rlike(java_pattern(v)))
+        return field.text().rlike(java_pattern(v))
     if op == "$exists":
         if not isinstance(v, (bool, int, float)) or v not in (0, 1):
             return false()
         return ~field.is_null() if v else field.is_null()
     if op == "$not":
-        return ~condition(field, v, lenient, strict)
+        return _not(condition(field, v, lenient, strict))
     if op == "$mod":
         c = field.as_kind("number", 0)
-        return false() if c is None else sure(F.pmod(c, F.lit(v[0])) == F.pmod(F.lit(v[1]), F.lit(v[0])))
+        return false() if c is None else F.pmod(c, F.lit(v[0])) == F.pmod(F.lit(v[1]), F.lit(v[0]))
     if op in ("$size", "$contains", "$all", "$overlaps", "$elemMatch"):
         return _array_operator(field, op, v, lenient, strict)
     if op == "$type":
         kinds = v if isinstance(v, (list, tuple)) else [v]
-        return reduce(lambda a, b: a | b, [_is_kind(field, k) for k in kinds])
+        return _any([_is_kind(field, k) for k in kinds])
     if lenient:
         return F.lit(True)
     raise ValueError(f"unknown operator {op}")
@@ -131,18 +143,18 @@ def _array_operator(field: Field, op: str, v: Any, lenient: bool, strict: bool)
         if isinstance(kind, T.VariantType):
             return lambda e: condition(_Element(e), test, lenient, strict)
         if isinstance(kind, T.StructType) and isinstance(test, dict) and not any(k.startswith("$") for k in test):
-            return lambda e: reduce(lambda a, b: a & b, [condition(TypedField(e.getField(k), kind[k].dataType) if k in kind.fieldNames() else TypedField(None, None), x, lenient, strict) for k, x in test.items()])
+            return lambda e: _all([condition(TypedField(e.getField(k), kind[k].dataType) if k in kind.fieldNames() else TypedField(None, None), x, lenient, strict) for k, x in test.items()])
         return lambda e: condition(TypedField(e, kind), test, lenient, strict)
 
     if op == "$size":
-        return sure(F.size(items) == F.lit(v))
+        return F.size(items) == F.lit(v)
     if op == "$contains":
-        return sure(F.exists(items, holds(v)))
+        return F.exists(items, holds(v))
     if op == "$overlaps":
-        return reduce(lambda a, b: a | b, [sure(F.exists(items, holds(x))) for x in v], false())
+        return _any([F.exists(items, holds(x)) for x in v])
     if op == "$all":
-        return reduce(lambda a, b: a & b, [sure(F.exists(items, holds(x))) for x in v], ~field.is_null())
-    return sure(F.exists(items, holds(v)))
+        return _all([~field.is_null(), *[F.exists(items, holds(x)) for x in v]])
+    return F.exists(items, holds(v))
 
 
 class _Element(VariantField):
@@ -161,12 +173,12 @@ def _is_kind(field: Field, kind: str) -> Column:
     if isinstance(field, TypedField):
         is_ = isinstance(field.dtype, T.ArrayType if kind == "array" else T.StructType)
         return field.c.isNotNull() if is_ else false()
-    return sure(field.kind().startswith("ARRAY" if kind == "array" else "OBJECT"))
+    return field.kind().startswith("ARRAY" if kind == "array" else "OBJECT")
 
 
 def find(df: DataFrame, query: dict[str, Any] | None = None, limit: int | None = None, skip: int = 0, sort: list[tuple[str, int]] | None = None, id_col: str = "_id", **flags) -> DataFrame:
     """Rows that match, in order of id if there is a limit; ``limit=0`` gives none."""
-    out = df.where(compile_filter(query, Fields(df), **flags)) if query else df
+    out = df.where(predicate(query, Fields(df), **flags)) if query else df
     if limit is None and not skip and not sort:
         return out
     if (limit is not None and limit < 0) or skip < 0:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.fields import Field, TypedField, VariantField
-from docloom.plans.filters import Fields, _sort_key, compile_filter
+from docloom.plans.filters import Fields, _sort_key, predicate
 
 
 def aggregate(df: DataFrame, stages: list[dict[str, Any]], id_col: str = "_id", legacy_sort: bool = False, tables: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def aggregate(df: DataFrame, stages: list[dict[str, Any]], id_col: str = "_id",
 
 
 def _match(df: DataFrame, spec: dict, _: dict) -> DataFrame:
-    return df.where(compile_filter(spec, Fields(df)))
+    return df.where(predicate(spec, Fields(df)))
 
 
 def _path(spec: Any) -> str:

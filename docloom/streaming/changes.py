@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators.latest import latest_per_key
-from docloom.plans.filters import Fields, compile_filter
+from docloom.plans.filters import Fields, predicate
 from docloom.sources.collections import LOG, Collection
 
 OPERATIONS = ("insert", "update", "delete")
@@ -38,7 +38,7 @@ def only(stream: DataFrame, operations: list[str] | None = None, collections: li
         stream = stream.where(F.col("operationType").isin(operations))
     if collections:
         stream = stream.where(F.col("ns.coll").isin(collections))
-    return stream.where(compile_filter(match, Fields(stream))) if match else stream
+    return stream.where(predicate(match, Fields(stream))) if match else stream
 
 
 def watch(collection: Collection, operations: list[str] | None = None, match: dict | None = None, per_trigger: int | None = None) -> DataFrame:
