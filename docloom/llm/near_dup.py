@@ -323,7 +323,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Words are lower-cased (A to Z). Texts without words are empty sets, linked with nothing. A null
     doc_id counts as the greatest; component_id is null where no row of the component has an id.
-    Rows that repeat a doc_id are one document with several texts, and so one component.
+    Rows that repeat a doc_id are judged by their own texts; a set goes by its least doc_id, and
+    sets that go by the same one count as linked.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -334,7 +335,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     family = cut(components(links).withColumnRenamed("component", "family"))
     exact = components(verified_links(src, nodes, family))
     keys = ["one", "two", "n"]
-    # An id that stands for several sets, or has several texts, is one node.
     rows = signed.select("doc", *keys)
     named = nodes.select(*keys, F.col("doc").alias("node"))
     out = rows.join(named, keys, "left").join(exact.withColumnRenamed("id", "node"), "node", "left")
