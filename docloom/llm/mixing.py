@@ -94,15 +94,19 @@ def repeated_documents(docs: DataFrame, **kwargs) -> DataFrame:
     more; where there is a column n_chars, that row has the part's length.
     """
     columns = docs.columns
-    out = mix(docs.withColumn("size", words(F.col("text"))), **kwargs)
-    whole = F.coalesce(F.try_divide(F.col("taken") - F.col("taken") % F.greatest("size", F.lit(1)), F.col("size")), F.lit(0.0)).cast("int")
-    rest = F.when(F.col("size") > 0, F.col("taken") % F.greatest("size", F.lit(1))).otherwise(0).cast("int")
-    part = F.when(F.col("_part") > 0, F.array(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest("_part", F.lit(1))), " "))).otherwise(F.array().cast("array<string>"))
-    out = out.withColumn("_part", rest).withColumn("_texts", F.concat(F.array_repeat("text", whole), part))
-    out = out.withColumn("text", F.explode("_texts"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    out = mix(docs.select(row, "doc_id", "source", words(F.col("text")).alias("size")), **kwargs).select("_row", "size", "taken")
+    safe = F.greatest("size", F.lit(1))
+    part = F.when(F.col("size") > 0, F.col("taken") % safe).otherwise(0).cast("int")
+    whole = F.when(F.col("size") > 0, ((F.col("taken") - F.col("taken") % safe) / safe)).otherwise(0).cast("int")
+    out = out.withColumns({"_part": part, "_whole": whole, "_text": F.col("_row.text")})
+    first = F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), 1, F.greatest("_part", F.lit(1)))
+    rest = F.when(F.col("_part") > 0, F.array(F.array_join(first, " "))).otherwise(F.array().cast("array<string>"))
+    out = out.select("_row", F.explode(F.concat(F.array_repeat("_text", F.col("_whole")), rest)).alias("_text"))
+    own = {"text": F.col("_text")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*columns)
+        own["n_chars"] = F.length("_text").cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*[own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
 
 
 def op5_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
