@@ -22,7 +22,7 @@ from docloom.llm.labelled import training_texts
 
 #: Labelled documents to learn from at most; rules and conditions at most; rows that a rule covers at least.
 SAMPLE, MOST_RULES, MOST_CONDITIONS, SUPPORT, SEED = 20000, 12, 4, 5, 3
-#: A pruned rule joins the list if at least this share of the other part's rows under it are bad.
+#: A rule joins the list if at least this share of the rows under it are bad, in both parts.
 PRECISION = 0.9
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "n_lines", "n_upper", "n_digits", "n_marks", "n_adjacent"]
 _SYMBOL, _UPPER, _DIGIT, _MARK = (np.zeros(256, np.int64) for _ in range(4))
@@ -185,16 +185,22 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
     return rule
 
 
-def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
-    """The beginning of the rule that does best on rows it was not grown on."""
+def _worth(rule: Rule, x: np.ndarray, bad: np.ndarray) -> float:
+    c = covers(rule, x)
+    p, n = (c & bad).sum(), (c & ~bad).sum()
+    return (p - n) / (p + n) if p + n else -1.0
 
-    def worth(r: Rule) -> float:
-        c = covers(r, x)
-        p, n = (c & bad).sum(), (c & ~bad).sum()
-        return (p - n) / (p + n) if p + n else -1.0
 
+def _sure(rule: Rule, x: np.ndarray, bad: np.ndarray) -> bool:
+    c = covers(rule, x)
+    return (c & bad).sum() >= PRECISION * c.sum()
+
+
+def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray, part: np.ndarray) -> Rule:
+    """The beginning of the rule that does best on rows it was not grown on; none if none is sure enough."""
     options = [rule[:k] for k in range(1, len(rule) + 1)]
-    return max(options, key=worth) if options else rule
+    options = [r for r in options if _sure(r, x[part], bad[part]) and _sure(r, x[~part], bad[~part])]
+    return max(options, key=lambda r: _worth(r, x[~part], bad[~part]), default=())
 
 
 def learn(counts: dict[str, np.ndarray], quality: np.ndarray, seed: int = SEED) -> list[Rule]:
@@ -203,14 +209,9 @@ def learn(counts: dict[str, np.ndarray], quality: np.ndarray, seed: int = SEED)
     part = np.random.default_rng(seed).random(len(x)) < 2 / 3
     rules: list[Rule] = []
     while len(rules) < MOST_RULES and (bad & part).sum() >= SUPPORT:
-        rule = _grow(x[part], bad[part])
+        rule = _prune(_grow(x[part], bad[part]), x, bad, part)
         if not rule:
             break
-        rule = _prune(rule, x[~part], bad[~part])
-        c = covers(rule, x[~part])
-        grown = covers(rule, x[part])
-        if c.sum() and (c & bad[~part]).sum() < PRECISION * c.sum() or (grown & bad[part]).sum() < max(1, PRECISION * grown.sum()):
-            break
         rules.append(rule)
         keep = ~covers(rule, x)
         x, bad, part = x[keep], bad[keep], part[keep]
