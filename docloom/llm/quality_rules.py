@@ -185,6 +185,19 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
     return rule
 
 
+def _pure(x: np.ndarray, bad: np.ndarray) -> Rule:
+    """The one condition that covers most bad rows and no good one, half-way to the nearest good row."""
+    best, most = (), SUPPORT - 1
+    for k, (name, _, _) in enumerate(RATIOS):
+        for at_least, v in ((True, x[:, k]), (False, -x[:, k])):
+            edge = v[~bad].max() if (~bad).any() else v.min() - 1
+            above = v[bad & (v > edge)]
+            if len(above) > most:
+                middle = float(edge + above.min()) / 2
+                best, most = (Condition(name, at_least, middle if at_least else -middle),), len(above)
+    return best
+
+
 def _worth(rule: Rule, x: np.ndarray, bad: np.ndarray) -> float:
     c = covers(rule, x)
     p, n = (c & bad).sum(), (c & ~bad).sum()
@@ -209,7 +222,8 @@ def learn(counts: dict[str, np.ndarray], quality: np.ndarray, seed: int = SEED)
     part = np.random.default_rng(seed).random(len(x)) < 2 / 3
     rules: list[Rule] = []
     while len(rules) < MOST_RULES and (bad & part).sum() >= SUPPORT:
-        rule = _prune(_grow(x[part], bad[part]), x, bad, part)
+        options = [_prune(r, x, bad, part) for r in (_grow(x[part], bad[part]), _pure(x[part], bad[part]))]
+        rule = max(options, key=lambda r: ((c := covers(r, x)) & bad).sum() - (c & ~bad).sum() if r else -1)
         if not rule:
             break
         rules.append(rule)
