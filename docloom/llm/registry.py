@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_jump_hash_sharding": sharding.OP8_SQL,
     "op4_revisit_resolution": revisits.OP4_SQL,
     "op5_water_filling_mix": mixing.OP5_SQL,
 }

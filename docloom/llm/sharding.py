@@ -80,3 +80,24 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bins: int = BINS) ->
 
 def op8_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE c0(n, c, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM c0 WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS tab FROM c0 WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents),
+b AS (SELECT d.*, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS h FROM d),
+s AS (SELECT r, doc_id, strlen(text) + 1 AS size, ('0x' || substring(m, 17, 8))::BIGINT % 4096 AS bin,
+             xor(4294967295, list_reduce(h, lambda a, x: xor(a >> 8, tab[1 + (xor(a, x) & 255)]), 4294967295::BIGINT)) AS text_crc32 FROM b, tab),
+j(r, n, b, j, k) AS (
+  SELECT r, n, -1::BIGINT, 0::BIGINT, ('0x' || substring(m, 1, 16))::UBIGINT::HUGEINT FROM d, (VALUES (16), (17)) v(n)
+  UNION ALL
+  SELECT r, n, j, floor(CAST(j + 1 AS DOUBLE) * (2147483648.0::DOUBLE / (CAST(k2 // 8589934592 AS DOUBLE) + 1.0)))::BIGINT, k2
+  FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM j WHERE j < n)),
+p AS (SELECT r, max(b) FILTER (WHERE n = 16) AS shard, max(b) FILTER (WHERE n = 17) AS grown FROM j WHERE j >= n GROUP BY r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY bin, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown AS INT) AS grown_shard
+FROM s JOIN p USING (r)
+"""
