@@ -204,3 +204,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
 
 def op9_itq_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label by brute force, for vectors without nulls. Embeddings that are compared here
+#: have finite components.
+OP9_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND list_dot_product(v, v) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY 1),
+c AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, coalesce(least(v.vec_id, m.b), v.vec_id) AS component_id, v.vec_id = coalesce(least(v.vec_id, m.b), v.vec_id) AS kept
+FROM v LEFT JOIN c ON c.a = v.vec_id LEFT JOIN m ON m.a = v.vec_id
+"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_superminhash_near_dup": near_dup.OP3_SQL,
+    "op9_itq_embedding_dup": embedding_dup.OP9_SQL,
     "op8_jump_hash_sharding": sharding.OP8_SQL,
     "op4_revisit_resolution": revisits.OP4_SQL,
     "op5_water_filling_mix": mixing.OP5_SQL,
