@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from docloom.operators import fulltext, vector
 from docloom.operators.latest import latest_per_key
 from docloom.plans import advice, filters, pipeline
+from docloom.sources import toon
 
 LOG = "_id string, _n bigint, _op string, _ts timestamp, _created timestamp, doc variant, vector array<float>, _seq bigint"
 DEFAULT_LIMIT = 100
+EXPORT_LIMIT = 10_000
 DEFAULT_DATABASE = "default"
 _NAME = re.compile(r"^\w[\w.-]*$")
 
@@ -289,6 +291,27 @@ class Collection:
     def delete(self, id: str) -> bool:
         return self.delete_many({"_id": id}) > 0
 
+    # -- the compact text form
+
+    def query_text(self, query: dict[str, Any] | None = None, limit: int = DEFAULT_LIMIT) -> tuple[str, dict[str, Any]]:
+        """Found documents in the compact text form, and its sizes against JSON."""
+        found = [_plain(d) for d in documents(self.find(query, limit))]
+        text = toon.export(self.name, found)
+        return text, toon.stats({"collection": self.name, "documents": found, "count": len(found)}, text)
+
+    def export_text(self, limit: int = EXPORT_LIMIT) -> tuple[str, dict[str, Any]]:
+        """At most ``limit`` documents as one text; ``write_toon`` exports a collection of any size."""
+        return self.query_text(None, limit)
+
+    def import_text(self, data: str | dict | list, replace: bool = False) -> int:
+        """Insert the documents of a text (or of what it says); ``replace`` deletes all others first."""
+        rows = toon.documents_of(data)
+        if replace:
+            self.delete_many({})
+        if rows:
+            self.insert_many([{k: v for k, v in r.items() if k not in ("_created_at", "_updated_at")} for r in rows])
+        return len(rows)
+
     def compact(self) -> None:
         """Rewrite the log as one commit of the state. Readers of the change stream should be past it."""
         rows = self.frame().select("_id", F.monotonically_increasing_id().alias("_n"), F.lit("insert").alias("_op"), F.col("_updated_at").alias("_ts"), F.col("_created_at").alias("_created"), "doc", "vector")
@@ -301,6 +324,11 @@ class Collection:
         self.files.delete(f"{self.path}/old")
 
 
+def _plain(document: dict[str, Any]) -> dict[str, Any]:
+    """Times as ISO text."""
+    return {k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in document.items()}
+
+
 def documents(df: DataFrame) -> list[dict[str, Any]]:
     """The (few) rows of a found page as dicts."""
     out = []

@@ -89,6 +89,18 @@ def test_text_and_pipeline(store):
     assert {r._id: r.n for r in c.aggregate([{"$group": {"_id": "$k", "n": {"$sum": 1}}}]).collect()} == {"a": 2, "b": 1}
 
 
+def test_text_form_of_a_collection(store):
+    c = store.create_database("x").create_collection("t")
+    c.insert_many([{"_id": "1", "a": "p,q", "n": None}, {"_id": "2", "a": [1, {"b": 2}]}])
+    text, sizes = c.export_text()
+    assert sizes["toon_size"] == len(text) and "collection: t" in text
+    d = store.create_database("y").create_collection("t")
+    d.insert({"_id": "old"})
+    assert d.import_text(text, replace=True) == 2 and d.count() == 2
+    assert d.find_by_id("2")["a"] == [1, {"b": 2}] and d.find_by_id("1")["a"] == "p,q"
+    assert d.query_text({"a": "p,q"})[0].count("p,q") == 1
+
+
 def test_change_stream(store, spark, tmp_path):
     c = store.create_database("s").create_collection("t")
     c.insert_many([{"_id": "1", "n": 1}, {"_id": "2", "n": 2}])
