@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, mixing, near_dup, quality_model, suffix_dedup
-from docloom.llm.common import shared_folder, table
+from docloom.llm.common import cut, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Dropped ids of up to so many documents (8 bytes each) are sent to all executors.
@@ -21,26 +21,29 @@ MOST_BROADCAST = 1 << 20
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model predicts to be good."""
+    docs = docs.select(*COLUMNS)
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model, tuple(docs.columns)).where("score >= 0.5").select(*docs.columns)
+    return quality_model.score(docs, model, tuple(COLUMNS)).where("score >= 0.5").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least doc_id."""
-    dropped = near_dup.cut(near_dup.near_duplicates(docs).where("not coalesce(kept, component_id is null)").select(F.col("doc_id").alias("_id")).distinct())
+    """One document of each group of near copies, that of the least doc_id. Rows without an id stay."""
+    docs = docs.select(*COLUMNS)
+    dropped = cut(near_dup.near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct())
     dropped = F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that 100-byte strings of earlier texts cover."""
-    out = suffix_dedup.remove_repeats(docs, ("lang", "source"), keep_text=True)
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast(dict(docs.dtypes)["n_chars"]).alias("n_chars"))
+    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), ("lang", "source"), keep_text=True)
+    length = F.length("kept_text").cast(dict(docs.dtypes)["n_chars"])
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, or left out, so that sources have their target weights."""
-    return mixing.repeated_documents(docs)
+    return mixing.repeated_documents(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
