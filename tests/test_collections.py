@@ -101,6 +101,20 @@ def test_text_form_of_a_collection(store):
     assert d.query_text({"a": "p,q"})[0].count("p,q") == 1
 
 
+def test_command_line(spark, store, tmp_path):
+    from docloom.__main__ import main
+
+    c = store.create_database("x").create_collection("t")
+    c.insert_many([{"_id": "1", "a": "p,q"}, {"_id": "2", "b": {"c": [1]}}])
+    root = str(tmp_path / "store")
+    main(["export", root, "x", "t", str(tmp_path / "out")])
+    main(["import", root, "y", "u", str(tmp_path / "out")])
+    d = store.database("y").collection("u")
+    assert d.count() == 2 and d.find_by_id("1")["a"] == "p,q" and d.find_by_id("2")["b"] == {"c": [1]}
+    main(["import", root, "y", "u", str(tmp_path / "out"), "--replace"])
+    assert d.count() == 2
+
+
 def test_change_stream(store, spark, tmp_path):
     c = store.create_database("s").create_collection("t")
     c.insert_many([{"_id": "1", "n": 1}, {"_id": "2", "n": 2}])
