@@ -18,8 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most bytes of an Arrow batch; the default counts rows only, and texts may be long.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed but the path is visible."""
+    """Ready a session for Python workers: small batches, and a path to this package.
+
+    The path only helps where the package is not installed but visible to the workers. The bound
+    on batches stays set in the session, for plans run after an operator has returned.
+    """
+    spark.conf.set(*BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -188,13 +188,15 @@ def score(docs: DataFrame, model: GatedAttention, carry: tuple[str, ...] = ()) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for chunk in words.chunks(batch.column(0)):
+            for chunk in words.chunks(batch.column("text").cast(pa.binary())):
                 x, row = passages(chunk)
                 out[chunk.first : chunk.first + chunk.rows] = model.score(x, row, chunk.rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out)], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out)], names=[*kept, "score"])
 
-    src = docs.select(F.col("text").cast("binary").alias("_text"), "doc_id", *[c for c in carry if c != "doc_id"])
-    return src.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in src.dtypes[1:]) + ", score double")
+    kept = ["doc_id", *[c for c in carry if c != "doc_id"]]
+    src = docs.select(*dict.fromkeys([*kept, "text"]))
+    kinds = dict(src.dtypes)
+    return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
