@@ -32,7 +32,12 @@ def search(df: DataFrame, query: str, limit: int | None = 10, text: str = "text"
     if not words:
         return df.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
     terms = sorted(words)
-    rows = df.select(F.col(id_col), tokens(F.col(text)).alias("_t"))
+    # A text is only taken apart if it has a query word as a part.
+    lower = F.lower(F.col(text))
+    maybe = lower.contains(terms[0])
+    for w in terms[1:]:
+        maybe = maybe | lower.contains(w)
+    rows = df.select(F.col(id_col), F.when(maybe, tokens(F.col(text))).alias("_t"))
     tf = [F.size(F.filter("_t", _equal_to(w))) for w in terms]
     rows = rows.select(id_col, F.size("_t").alias("_n"), *[c.alias(f"_{i}") for i, c in enumerate(tf)])
     known = rows.agg(F.count("*"), *[F.count_if(F.col(f"_{i}") > 0) for i in range(len(terms))]).first()
