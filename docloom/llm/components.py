@@ -1,8 +1,8 @@
 """Connected components of links between ids, by union-find inside tasks and star contraction between them.
 
 Alternates the large-star and small-star steps of Kiveris et al. (2014). Each step is one
-aggregation with partial sums and one join, so an id with very many links is no hot task; every
-round is cut by a checkpoint. The driver only sees two sums a round.
+aggregation with partial results and one join, so an id with very many links is no hot task; every
+round is cut by a checkpoint. The driver only sees whether another round is due.
 """
 
 from __future__ import annotations
@@ -69,21 +69,20 @@ def components(links: DataFrame) -> DataFrame:
     No links give no rows.
     """
     ship(links.sparkSession)
+    links = cut(links.select("a", "b"))
     ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    edges = cut(links.where("a <> b").select("a", "b").mapInArrow(_contract, "u bigint, v bigint").distinct())
-    size = edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-    while size[0]:
-        # Large star: every greater neighbour of u points to the least id around u.
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # From here a link (u, v) has u > v.
+    edges = cut(links.where("a <> b").mapInArrow(_contract, "u bigint, v bigint").distinct())
+    while True:
+        parents = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        # Both sides of this join are tables, so a v with very many links is a partition that can be split.
+        above = edges.join(parents.select(F.col("u").alias("p"), "m"), F.col("v") == F.col("p"), "left")
+        if parents.where("n > 1").isEmpty() and above.where("p is not null").isEmpty():
+            break
+        # Large star: the greater neighbours of v point to the least id around v.
+        large = cut(above.select("u", F.coalesce("m", "v").alias("v")).distinct())
         # Small star: u and its lesser neighbours point to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = cut(small.where("u <> v").mapInArrow(_contract, "u bigint, v bigint").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        stars = edges.groupBy("u").count().where("count > 1").limit(1).count() == 0
-        if now == size and stars:
-            break
-        size = now
     return ids.join(edges, ids["id"] == edges["u"], "left").select("id", F.coalesce("v", "id").alias("component"))
