@@ -410,12 +410,19 @@ def rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows at 100 bytes to spans only."""
+    """Sorted rows at 100 bytes to spans only, one for each repeated window.
+
+    Neighbouring windows stand in any partitions; they are merged by document, not here, so that
+    the rows follow the input and not the number of partitions.
+    """
     for key, sub, doc, pos in sorted_groups(batches):
         kind, check, place = where(pos)
         span, keep = kind == SPAN, np.flatnonzero(kind == PLACE)
         after = keep[later(key[keep], sub[keep], doc[keep], pos[keep])[1]] if len(keep) else keep
-        yield from rows_out(span_rows(np.r_[doc[span], doc[after]], np.r_[check[span], check[after]], np.r_[place[span], place[after]], np.r_[sub[span], place[after] + THRESHOLD]))
+        yield from rows_out(
+            (key[span], sub[span], doc[span], pos[span]),
+            (key[after], place[after] + THRESHOLD, doc[after], at(SPAN, check[after], place[after])),
+        )
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
