@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import grams, words
-from docloom.llm.common import cut, ship, table
+from docloom.llm.common import cut, partitions, ship, table
 from docloom.llm.components import components
 
 SHINGLE = 3
@@ -41,7 +41,7 @@ FAR = 0.32
 #: Nodes of a bucket, and shingles of a family, that one task handles.
 BUCKET_BLOCK, FAMILY_BLOCK = 20000, 1 << 21
 #: Families with no more documents than this are sent to all executors (16 bytes each).
-MOST_BROADCAST = 1 << 20
+MOST_BROADCAST = 1 << 18
 ELEMENT = 52
 NO_DOC = 2**63 - 1
 
@@ -335,10 +335,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     family = cut(components(links).withColumnRenamed("component", "family"))
     exact = components(verified_links(src, nodes, family))
     keys = ["one", "two", "n"]
-    rows = signed.select("doc", *keys)
-    named = nodes.select(*keys, F.col("doc").alias("node"))
-    out = rows.join(named, keys, "left").join(exact.withColumnRenamed("id", "node"), "node", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc"))
+    # The small side is made first, so that the join with all rows has tables of exchanges on both
+    # sides: the key of a set with very many copies is then a partition that can be split.
+    named = nodes.join(exact, F.col("doc") == F.col("id"), "left").select(*keys, F.coalesce("component", "doc").alias("component"))
+    out = signed.select("doc", *keys).join(named, keys, "left")
+    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
     out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return out.withColumns({c: F.nullif(c, F.lit(NO_DOC)) for c in ("doc_id", "component_id")})
@@ -353,7 +354,8 @@ def rough_links(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")
     rows = members.join(nodes.select("doc", "signature"), "doc").select("bucket", block, "doc", "signature", "blocks")
     kind = "a bigint, b bigint, bucket bigint, signature binary"
-    found = cut(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "doc").mapInArrow(_rough_links(NEAR, True), kind))
+    # A number is given, for these rows are few bytes but much work, and would be coalesced by bytes.
+    found = cut(rows.repartition(partitions(rows.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block", "doc").mapInArrow(_rough_links(NEAR, True), kind))
     first = found.where("bucket is null").select("a", "b")
     led = found.where("bucket is not null").select("bucket", F.lit(0).cast("bigint").alias("block"), F.col("a").alias("doc"), "signature", F.lit(1).cast("bigint").alias("blocks"))
     second = led.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(_rough_links(FAR, False), kind).select("a", "b")
@@ -369,7 +371,7 @@ def verified_links(src: DataFrame, nodes: DataFrame, family: DataFrame) -> DataF
         placed = F.broadcast(placed)
     texts = src.join(placed, src["doc"] == placed["id"]).select("family", "blocks", "block", "doc", "text")
     sets = texts.mapInArrow(_sets, "family bigint, x bigint, y bigint, doc bigint, elements binary")
-    return sets.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "doc").mapInArrow(_verify, "a bigint, b bigint")
+    return sets.repartition(partitions(src.sparkSession), "family", "x", "y").sortWithinPartitions("family", "x", "y", "doc").mapInArrow(_verify, "a bigint, b bigint")
 
 
 def op3_superminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
