@@ -17,6 +17,8 @@ from docloom.llm.common import cut, shared_folder, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Dropped ids of up to so many documents (8 bytes each) are sent to all executors.
 MOST_BROADCAST = 1 << 20
+#: Near copies share 80 % or more of their shingles of five words.
+SHINGLE, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the least doc_id. Rows without an id stay."""
     docs = docs.select(*COLUMNS)
-    dropped = cut(near_dup.near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct())
+    dropped = cut(near_dup.near_duplicates(docs, SHINGLE, PERCENT).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct())
     dropped = F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped
     return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
 

@@ -1,6 +1,7 @@
 """Near-duplicate documents by SuperMinHash signatures, banding, verification and union-find.
 
-1. Every document becomes the set of its distinct 3-word shingles, a 128-bit name of that set and a
+1. Every document becomes the set of its distinct shingles (of 3 words in op3, of 5 in the
+   pipeline's stage; see ``Rule``), a 128-bit name of that set and a
    SuperMinHash signature (Ertl, 2017): each shingle deals out correlated ranks by a random
    permutation of the components, level by level, and stops as soon as no component can fall.
 2. Documents with equal sets are one node, named by their least doc_id.
@@ -12,12 +13,14 @@
    first search inside the family links sets with an exact similarity at the threshold, and emits a
    spanning forest, never all pairs. Families of many shingles are dealt out in pairs of blocks.
 
-A pair at the threshold of 0.85 shares no band with probability (1 - 0.85^5)^26 = 2.4e-7.
+A pair at the threshold shares no band with probability (1 - 0.85^5)^26 = 2.4e-7 at 0.85, and
+(1 - 0.80^4)^32 = 4.8e-8 at 0.80.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +32,12 @@ from docloom.llm.common import cut, partitions, ship, table
 from docloom.llm.components import components
 
 SHINGLE = 3
-BANDS, ROWS = 26, 5
-SIZE = BANDS * ROWS
+#: Components of a signature, rows of a band at most, and how often a pair at the threshold may be missed.
+SIZE, ROWS, MISSED = 130, 5, 1e-6
 #: 100 * intersection >= PERCENT * union
 PERCENT = 85
-#: Estimated similarity to a leader that joins its ball, and that links to it. A link needs
-#: 0.80 - (1 - 0.85) = 0.65 at least; what is below that is room for the estimate's error.
-BALL, NEAR = 0.80, 0.52
-#: Of leaders of two blocks of one bucket: 1 - (0.20 + 0.15 + 0.20) = 0.45, with room.
-FAR = 0.32
+#: Estimated similarity to a leader that joins its ball, and room for the estimate's error.
+BALL, ROOM = 0.80, 0.13
 #: Nodes of a bucket, and shingles of a family, that one task handles.
 BUCKET_BLOCK, FAMILY_BLOCK = 20000, 1 << 21
 #: Families with no more documents than this are sent to all executors (16 bytes each).
@@ -46,6 +46,28 @@ ELEMENT = 52
 NO_DOC = 2**63 - 1
 
 
+class Rule(NamedTuple):
+    """What makes two documents near copies: 100 * intersection >= percent * union of their shingles."""
+
+    shingle: int = SHINGLE
+    percent: int = PERCENT
+
+    @property
+    def rows(self) -> int:
+        """Components of a band, as many as miss few enough pairs at the threshold."""
+        return next(r for r in range(ROWS, 0, -1) if r == 1 or (1 - (self.percent / 100) ** r) ** (SIZE // r) <= MISSED)
+
+    @property
+    def near(self) -> float:
+        """Estimated similarity that links to a leader: a true pair has BALL - (1 - percent / 100) at least."""
+        return BALL - (1 - self.percent / 100) - ROOM
+
+    @property
+    def far(self) -> float:
+        """The same for leaders of two blocks of one bucket, which stand two balls and a pair apart at most."""
+        return 1 - (2 * (1 - BALL) + 1 - self.percent / 100) - ROOM
+
+
 def superminhash(elements: np.ndarray, owner: np.ndarray, docs: int, size: int = SIZE) -> np.ndarray:
     """Signatures (docs, size) of sets given as distinct 64-bit elements with their owner.
 
@@ -102,32 +124,37 @@ def sets_of(chunk: words.Chunk, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     return elements, np.searchsorted(row, np.arange(chunk.rows + 1))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk in words.chunks(batch.column(1)):
-            elements, begin = sets_of(chunk)
-            count = np.diff(begin)
-            owner = np.repeat(np.arange(chunk.rows), count)
-            signature = superminhash(elements, owner, chunk.rows)
-            sums = [np.r_[np.uint64(0), np.cumsum(grams.mix64(elements * grams.MIXERS[i, 3] + np.uint64(i + 1)))] for i in (0, 1)]
-            one, two = ((s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums)
-            band = np.zeros((chunk.rows, BANDS), np.uint64)
-            for i in range(ROWS):
-                band = grams.pair(grams.mix64(signature[:, i::ROWS]), band, 0, 5 + i)
-            band = grams.mix64(band + np.arange(BANDS, dtype=np.uint64) * grams.MIX_B).view(np.int64)
-            bytes_ = grams.mix64(signature).astype(np.uint8)
-            full = count > 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(chunk.first, chunk.rows),
-                    pa.array(count, pa.int64()),
-                    pa.array(one),
-                    pa.array(two),
-                    pa.array([x.tobytes() if k else None for x, k in zip(bytes_, full, strict=True)], pa.binary()),
-                    pa.array([x.tolist() if k else None for x, k in zip(band, full, strict=True)], pa.list_(pa.int64())),
-                ],
-                names=["doc", "n", "one", "two", "signature", "bands"],
-            )
+def _signatures(rule: Rule):
+    bands = SIZE // rule.rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in words.chunks(batch.column(1)):
+                elements, begin = sets_of(chunk, rule.shingle)
+                count = np.diff(begin)
+                owner = np.repeat(np.arange(chunk.rows), count)
+                signature = superminhash(elements, owner, chunk.rows)
+                sums = [np.r_[np.uint64(0), np.cumsum(grams.mix64(elements * grams.MIXERS[i, 3] + np.uint64(i + 1)))] for i in (0, 1)]
+                one, two = ((s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums)
+                band = np.zeros((chunk.rows, bands), np.uint64)
+                for i in range(rule.rows):
+                    band = grams.pair(grams.mix64(signature[:, i : bands * rule.rows : rule.rows]), band, 0, 5 + i)
+                band = grams.mix64(band + np.arange(bands, dtype=np.uint64) * grams.MIX_B).view(np.int64)
+                bytes_ = grams.mix64(signature).astype(np.uint8)
+                full = count > 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(chunk.first, chunk.rows),
+                        pa.array(count, pa.int64()),
+                        pa.array(one),
+                        pa.array(two),
+                        pa.array([x.tobytes() if k else None for x, k in zip(bytes_, full, strict=True)], pa.binary()),
+                        pa.array([x.tolist() if k else None for x, k in zip(band, full, strict=True)], pa.list_(pa.int64())),
+                    ],
+                    names=["doc", "n", "one", "two", "signature", "bands"],
+                )
+
+    return run
 
 
 SIGNED = "doc bigint, n bigint, one bigint, two bigint, signature binary, bands array<bigint>"
@@ -223,26 +250,30 @@ def _columns(t: pa.Table):
     return [t.column(i).to_numpy() if t.schema.types[i] != pa.binary() else t.column(i).to_pylist() for i in range(t.num_columns)]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(n_words: int):
     """(family, blocks, block, doc, text) to (family, x, y, doc, elements), a row for each pair of blocks."""
-    for batch in batches:
-        family, blocks, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-        docs = batch.column(3).to_numpy(zero_copy_only=False)
-        for chunk in words.chunks(batch.column(4)):
-            elements, begin = sets_of(chunk)
-            out: list[tuple] = []
-            for i in range(chunk.rows):
-                row = chunk.first + i
-                blob = elements[begin[i] : begin[i + 1]].tobytes()
-                n, x = int(blocks[row]), int(block[row])
-                for y in range(n) if n > 1 else [x]:
-                    if n == 1 or x != y:
-                        out.append((int(family[row]), min(x, y), max(x, y), int(docs[row]), blob))
-                if len(out) > 2000:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            family, blocks, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            docs = batch.column(3).to_numpy(zero_copy_only=False)
+            for chunk in words.chunks(batch.column(4)):
+                elements, begin = sets_of(chunk, n_words)
+                out: list[tuple] = []
+                for i in range(chunk.rows):
+                    row = chunk.first + i
+                    blob = elements[begin[i] : begin[i + 1]].tobytes()
+                    n, x = int(blocks[row]), int(block[row])
+                    for y in range(n) if n > 1 else [x]:
+                        if n == 1 or x != y:
+                            out.append((int(family[row]), min(x, y), max(x, y), int(docs[row]), blob))
+                    if len(out) > 2000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SET_TYPES, strict=True)], names=SET_NAMES)
+                        out = []
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SET_TYPES, strict=True)], names=SET_NAMES)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SET_TYPES, strict=True)], names=SET_NAMES)
+
+    return run
 
 
 SET_NAMES, SET_TYPES = ["family", "x", "y", "doc", "elements"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -293,47 +324,53 @@ def exact_forest(docs: np.ndarray, sets: list[np.ndarray], percent: int = PERCEN
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(percent: int):
     """Rows sorted by (family, x, y) to verified links."""
-    rest = None
 
-    def done(t):
-        docs = t.column(3).to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in t.column(4).to_pylist()]
-        a, b = exact_forest(docs, sets)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        keys = np.stack([rest.column(i).to_numpy() for i in (0, 1, 2)])
-        new = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-        for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
-            yield from done(rest.slice(a, b - a))
-        rest = rest.slice(int(new[-1]))
-    if rest is not None:
-        yield from done(rest)
+        def done(t):
+            docs = t.column(3).to_numpy()
+            sets = [np.frombuffer(b, np.uint64) for b in t.column(4).to_pylist()]
+            a, b = exact_forest(docs, sets, percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            keys = np.stack([rest.column(i).to_numpy() for i in (0, 1, 2)])
+            new = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+            for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                yield from done(rest.slice(a, b - a))
+            rest = rest.slice(int(new[-1]))
+        if rest is not None:
+            yield from done(rest)
+
+    return run
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text; others are ignored).
 
-    Words are lower-cased (A to Z). Texts without words are empty sets, linked with nothing. A null
+    Linked are documents whose sets of shingles of ``shingle`` words have a Jaccard similarity of
+    ``percent`` / 100 or more. Words are lower-cased (A to Z). Texts without words are empty sets, linked with nothing. A null
     doc_id counts as the greatest; component_id is null where no row of the component has an id.
     Rows that repeat a doc_id are judged by their own texts; a set goes by its least doc_id, and
     sets that go by the same one count as linked.
     """
     spark = docs.sparkSession
     ship(spark)
+    rule = Rule(shingle, percent)
     src = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_DOC)).cast("bigint").alias("doc"), F.col("text").cast("binary").alias("text"))
-    signed = cut(src.mapInArrow(_signatures, SIGNED))
-    links, nodes = rough_links(signed)
+    signed = cut(src.mapInArrow(_signatures(rule), SIGNED))
+    links, nodes = rough_links(signed, rule)
     # A node is the least document of its set; the families of nodes come from rough links.
     family = cut(components(links).withColumnRenamed("component", "family"))
-    exact = components(verified_links(src, nodes, family))
+    exact = components(verified_links(src, nodes, family, rule))
     keys = ["one", "two", "n"]
     # The small side is made first, so that the join with all rows has tables of exchanges on both
     # sides: the key of a set with very many copies is then a partition that can be split.
@@ -345,7 +382,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumns({c: F.nullif(c, F.lit(NO_DOC)) for c in ("doc_id", "component_id")})
 
 
-def rough_links(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rough_links(signed: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that join all nodes that might be similar, and the nodes (one, two, n, doc)."""
     nodes = cut(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc").alias("doc"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
     bands = nodes.select("doc", F.explode("bands").alias("bucket"))
@@ -355,14 +392,14 @@ def rough_links(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = members.join(nodes.select("doc", "signature"), "doc").select("bucket", block, "doc", "signature", "blocks")
     kind = "a bigint, b bigint, bucket bigint, signature binary"
     # A number is given, for these rows are few bytes but much work, and would be coalesced by bytes.
-    found = cut(rows.repartition(partitions(rows.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block", "doc").mapInArrow(_rough_links(NEAR, True), kind))
+    found = cut(rows.repartition(partitions(rows.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block", "doc").mapInArrow(_rough_links(rule.near, True), kind))
     first = found.where("bucket is null").select("a", "b")
     led = found.where("bucket is not null").select("bucket", F.lit(0).cast("bigint").alias("block"), F.col("a").alias("doc"), "signature", F.lit(1).cast("bigint").alias("blocks"))
-    second = led.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(_rough_links(FAR, False), kind).select("a", "b")
+    second = led.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(_rough_links(rule.far, False), kind).select("a", "b")
     return first.union(second), nodes.select("one", "two", "n", "doc")
 
 
-def verified_links(src: DataFrame, nodes: DataFrame, family: DataFrame) -> DataFrame:
+def verified_links(src: DataFrame, nodes: DataFrame, family: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Tree links (a, b) of exactly verified pairs inside the families."""
     sized = family.join(nodes.select(F.col("doc").alias("id"), "n"), "id")
     blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_BLOCK).cast("bigint").alias("blocks"))
@@ -370,8 +407,8 @@ def verified_links(src: DataFrame, nodes: DataFrame, family: DataFrame) -> DataF
     if family.count() <= MOST_BROADCAST:
         placed = F.broadcast(placed)
     texts = src.join(placed, src["doc"] == placed["id"]).select("family", "blocks", "block", "doc", "text")
-    sets = texts.mapInArrow(_sets, "family bigint, x bigint, y bigint, doc bigint, elements binary")
-    return sets.repartition(partitions(src.sparkSession), "family", "x", "y").sortWithinPartitions("family", "x", "y", "doc").mapInArrow(_verify, "a bigint, b bigint")
+    sets = texts.mapInArrow(_sets(rule.shingle), "family bigint, x bigint, y bigint, doc bigint, elements binary")
+    return sets.repartition(partitions(src.sparkSession), "family", "x", "y").sortWithinPartitions("family", "x", "y", "doc").mapInArrow(_verify(rule.percent), "a bigint, b bigint")
 
 
 def op3_superminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import hashlib
 import os
+import random
 
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from docloom.llm import bpe  # noqa: E402
-from tests.llm.test_dedup import cut_texts, near_copies  # noqa: E402
+from tests.llm.test_dedup import cut_texts, frame, near_copies, prose  # noqa: E402
 from tests.llm.test_native import fill  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -53,3 +54,15 @@ def test_run(spark):
 
     assert "pipeline" in __spark_entry__.queries()
     assert corpus_pipeline.run(spark, DATA).where("n_tokens > 0").count() > 0
+
+
+def test_near_copies_by_five_words_at_80(spark):
+    """Copies with one block added or cut off have a similarity of 0.80 to 0.85, and go."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(12):
+        base = prose(rng, 200, 10**6).split()
+        added, cut_off = base[:90] + prose(rng, 34 + k % 5, 10**6).split() + base[90:], base[: 164 + k % 6]
+        rows += [(10 * k + j, " ".join(w)) for j, w in enumerate((base, added, cut_off))]
+    got = corpus_pipeline.near_copies(spark, frame(spark, rows).drop("score", "size"), "")
+    assert {r.doc_id for r in got.collect()} == {10 * k for k in range(12)}
