@@ -1,12 +1,13 @@
 """Exact vector search: score every row in an expression, keep the best k.
 
 Scoring is one narrow stage in the JVM and the best k of every task meet in ``TakeOrderedAndProject``,
-so a search moves k rows a task. Several queries at once are broadcast (bounded by a check) and
+so a search moves k rows a task. Several queries at once are broadcast in blocks of bounded size and
 ranked with a grouped limit before the shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ from docloom.functions import scalars
 from docloom.plans.filters import find
 
 METRICS = ("cosine", "l2", "ip")
-#: A batch of queries is broadcast; more bytes than this are refused.
+#: Queries are broadcast in blocks of about so many bytes.
 MOST_QUERY_BYTES = 64 << 20
 
 
@@ -65,18 +66,24 @@ def knn(
 def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", vector: str = "vector", id_col: str = "_id", query_id: str = "query_id", query_vector: str = "query_vector", score: str = "similarity") -> DataFrame:
     """(query_id, rank, id, score): the k best rows of ``df`` for each row of ``queries``.
 
-    The query side must be small: its size is checked before it is sent to all executors. Rows are
-    compared with queries as they are read; a grouped limit keeps k rows for each query and task
-    before the shuffle by query.
+    Any number of queries: blocks of them, dealt out by a hash of the id, are sent to all executors
+    in turn, and ``df`` is read once for each block. Rows are compared with queries as they are read;
+    a grouped limit keeps k rows for each query and task before the shuffle by query.
     """
     n, longest = queries.agg(F.count("*"), F.max(F.size(query_vector))).first()
-    if n * max(longest or 0, 0) * 8 > MOST_QUERY_BYTES:
-        raise ValueError("too many queries to broadcast; split them")
-    q = F.broadcast(queries.select(F.col(query_id), F.col(query_vector).alias("_q")))
-    rows = df.select(F.col(id_col), F.col(vector).alias("_v")).join(q, F.size("_v") == F.size("_q"))
-    rows = rows.select(query_id, id_col, similarity(F.col("_v"), F.col("_q"), metric).alias(score)).where(F.col(score).isNotNull())
+    blocks = max(1, -(-n * max(longest or 0, 0) * 8 // MOST_QUERY_BYTES))
+    q = queries.select(F.col(query_id), F.col(query_vector).alias("_q"))
     w = Window.partitionBy(query_id).orderBy(F.col(score).desc(), F.col(id_col).asc())
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def searched(part: DataFrame) -> DataFrame:
+        rows = df.select(F.col(id_col), F.col(vector).alias("_v")).join(F.broadcast(part), F.size("_v") == F.size("_q"))
+        rows = rows.select(query_id, id_col, similarity(F.col("_v"), F.col("_q"), metric).alias(score)).where(F.col(score).isNotNull())
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return searched(q)
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return reduce(DataFrame.unionAll, [searched(q.where(block == b)) for b in range(blocks)])
 
 
 def stats(df: DataFrame, vector: str = "vector") -> DataFrame:

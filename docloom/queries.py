@@ -265,6 +265,20 @@ def knn_batch(spark, d):
     return out.select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    "knn_batch_every_50th",
+    """SELECT query_id, vec_id, rank, round(s, 6) AS similarity FROM (
+      SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (
+        SELECT a.vec_id, b.vec_id AS query_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) + 1e-10) AS s
+        FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0)) WHERE rank <= 5""",
+)
+def knn_batch_every_50th(spark, d):
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    out = vector.knn_batch(e, queries, 5, "cosine", "embedding", "vec_id")
+    return out.select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query("vector_stats", "SELECT count(*) AS n, max(len(embedding)) AS dims, min(len(embedding)) AS least_dims FROM embeddings")
 def vector_stats(spark, d):
     return vector.stats(table(spark, d, "embeddings"), "embedding")

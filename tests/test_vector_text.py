@@ -57,6 +57,19 @@ def test_batch_and_checks(spark, axes):
     assert vector.stats(axes).first().asDict() == {"n": 6, "dims": 4, "least_dims": 2}
 
 
+def test_batch_in_blocks(spark, monkeypatch):
+    """More queries than one broadcast takes give the same rows as one by one."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "_id bigint, vector array<double>")
+    queries = df.where("_id % 50 = 0").selectExpr("_id AS query_id", "vector AS query_vector")
+    want = {(r.query_id, r.rank, r._id) for r in vector.knn_batch(df, queries, 4).collect()}
+    monkeypatch.setattr(vector, "MOST_QUERY_BYTES", 2 * 6 * 8)
+    got = [(r.query_id, r.rank, r._id) for r in vector.knn_batch(df, queries, 4).collect()]
+    assert len(got) == 24 and set(got) == want
+    assert {(q, 1, q) for q in range(0, 300, 50)} <= set(got)
+
+
 def test_tfidf(spark):
     docs = {"1": "Machine learning is a field", "2": "deep learning and machine vision machine", "3": "the database of records", "4": ""}
     df = spark.createDataFrame(list(docs.items()), "_id string, text string")
