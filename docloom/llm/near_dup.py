@@ -4,7 +4,8 @@
    pipeline's stage; see ``Rule``), a 128-bit name of that set and a
    SuperMinHash signature (Ertl, 2017): each shingle deals out correlated ranks by a random
    permutation of the components, level by level, and stops as soon as no component can fall.
-2. Documents with equal sets are one node, named by their least doc_id.
+2. Rows with equal sets are one node with a number of its own; ids play no part until the end, for
+   they may be null or repeated.
 3. Signatures are cut into bands. Nodes that share a band are compared by signature in their bucket:
    a node that is close to a leader joins its ball, others become leaders, so a bucket of n close
    copies costs n comparisons and gives n - 1 links. Jaccard distance is a metric, so the wider
@@ -24,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import grams, words
@@ -40,7 +41,7 @@ PERCENT = 85
 BALL, ROOM = 0.80, 0.13
 #: Nodes of a bucket, and shingles of a family, that one task handles.
 BUCKET_BLOCK, FAMILY_BLOCK = 20000, 1 << 21
-#: Families with no more documents than this are sent to all executors (16 bytes each).
+#: Families with no more nodes than this are sent to all executors (56 bytes each).
 MOST_BROADCAST = 1 << 18
 ELEMENT = 52
 NO_DOC = 2**63 - 1
@@ -144,20 +145,22 @@ def _signatures(rule: Rule):
                 full = count > 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(chunk.first, chunk.rows),
+                        *(batch.column(i).slice(chunk.first, chunk.rows) for i in (0, 2, 3)),
                         pa.array(count, pa.int64()),
                         pa.array(one),
                         pa.array(two),
                         pa.array([x.tobytes() if k else None for x, k in zip(bytes_, full, strict=True)], pa.binary()),
                         pa.array([x.tolist() if k else None for x, k in zip(band, full, strict=True)], pa.list_(pa.int64())),
                     ],
-                    names=["doc", "n", "one", "two", "signature", "bands"],
+                    names=[*ROW, "n", "one", "two", "signature", "bands"],
                 )
 
     return run
 
 
-SIGNED = "doc bigint, n bigint, one bigint, two bigint, signature binary, bands array<bigint>"
+#: Names a row by its id and 128 bits of its text; rows with the same name are repeats.
+ROW = ["doc", "h1", "h2"]
+SIGNED = "doc bigint, h1 bigint, h2 bigint, n bigint, one bigint, two bigint, signature binary, bands array<bigint>"
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -359,55 +362,82 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Linked are documents whose sets of shingles of ``shingle`` words have a Jaccard similarity of
     ``percent`` / 100 or more. Words are lower-cased (A to Z). Texts without words are empty sets, linked with nothing. A null
     doc_id counts as the greatest; component_id is null where no row of the component has an id.
-    Rows that repeat a doc_id are judged by their own texts; a set goes by its least doc_id, and
-    sets that go by the same one count as linked.
+    Rows that repeat a doc_id are judged by their own texts, so two components may have the same
+    least id.
+    """
+    out, _ = judged(docs, shingle, percent)
+    out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("top.doc").alias("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumns({c: F.nullif(c, F.lit(NO_DOC)) for c in ("doc_id", "component_id")})
+
+
+def named_rows(docs: DataFrame, prefix: str = "") -> list[Column]:
+    """The columns of ``ROW`` for rows of ``docs``."""
+    text = F.col("text").cast("binary")
+    columns = F.coalesce(F.col("doc_id"), F.lit(NO_DOC)).cast("bigint"), F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    return [c.alias(prefix + name) for c, name in zip(columns, ROW, strict=True)]
+
+
+def judged(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc, h1, h2, n, top) for every row of ``docs``, and the names of rows with words that repeat.
+
+    ``top`` is the least name of a row (id first) in the row's component.
     """
     spark = docs.sparkSession
     ship(spark)
     rule = Rule(shingle, percent)
-    src = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_DOC)).cast("bigint").alias("doc"), F.col("text").cast("binary").alias("text"))
+    doc, h1, h2 = named_rows(docs)
+    src = docs.select(doc, F.col("text").cast("binary").alias("text"), h1, h2)
     signed = cut(src.mapInArrow(_signatures(rule), SIGNED))
+    repeats = cut(signed.where("n > 0").groupBy(*ROW).count().where("count > 1").select(*ROW))
     links, nodes = rough_links(signed, rule)
-    # A node is the least document of its set; the families of nodes come from rough links.
+    # The families of nodes come from rough links.
     family = cut(components(links).withColumnRenamed("component", "family"))
-    exact = components(verified_links(src, nodes, family, rule))
+    exact = components(verified_links(src, nodes, family, rule, not repeats.isEmpty()))
+    linked = cut(exact.join(nodes.select("node", "row"), F.col("id") == F.col("node")).select("node", "component", "row"))
+    tops = cut(linked.groupBy("component").agg(F.min("row").alias("top")))
     keys = ["one", "two", "n"]
-    # The small side is made first, so that the join with all rows has tables of exchanges on both
+    # The small sides are made first, so that the join with all rows has tables of exchanges on both
     # sides: the key of a set with very many copies is then a partition that can be split.
-    named = nodes.join(exact, F.col("doc") == F.col("id"), "left").select(*keys, F.coalesce("component", "doc").alias("component"))
-    out = signed.select("doc", *keys).join(named, keys, "left")
-    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
-    out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return out.withColumns({c: F.nullif(c, F.lit(NO_DOC)) for c in ("doc_id", "component_id")})
+    linked = linked.join(tops, "component").select("node", "top")
+    named = nodes.join(linked, "node", "left").select(*keys, F.coalesce("top", "row").alias("top"))
+    out = signed.select(*ROW, *keys).join(named, keys, "left")
+    top = F.when(F.col("n") > 0, F.col("top")).otherwise(F.struct(*ROW))
+    return out.select(*ROW, "n", top.alias("top")), repeats
 
 
 def rough_links(signed: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that join all nodes that might be similar, and the nodes (one, two, n, doc)."""
-    nodes = cut(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc").alias("doc"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
-    bands = nodes.select("doc", F.explode("bands").alias("bucket"))
+    """Links (a, b) that join all nodes that might be similar, and the nodes (one, two, n, node, row)."""
+    nodes = signed.where("n > 0").groupBy("one", "two", "n").agg(F.min(F.struct(*ROW)).alias("row"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    bands = nodes.select("node", F.explode("bands").alias("bucket"))
     company = bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     members = bands.join(company, "bucket").withColumn("blocks", F.ceil(F.col("c") / BUCKET_BLOCK).cast("bigint"))
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")
-    rows = members.join(nodes.select("doc", "signature"), "doc").select("bucket", block, "doc", "signature", "blocks")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    rows = members.join(nodes.select("node", "signature"), "node").select("bucket", block, "node", "signature", "blocks")
     kind = "a bigint, b bigint, bucket bigint, signature binary"
     # A number is given, for these rows are few bytes but much work, and would be coalesced by bytes.
-    found = cut(rows.repartition(partitions(rows.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block", "doc").mapInArrow(_rough_links(rule.near, True), kind))
+    found = cut(rows.repartition(partitions(rows.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block", "node").mapInArrow(_rough_links(rule.near, True), kind))
     first = found.where("bucket is null").select("a", "b")
-    led = found.where("bucket is not null").select("bucket", F.lit(0).cast("bigint").alias("block"), F.col("a").alias("doc"), "signature", F.lit(1).cast("bigint").alias("blocks"))
-    second = led.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(_rough_links(rule.far, False), kind).select("a", "b")
-    return first.union(second), nodes.select("one", "two", "n", "doc")
+    led = found.where("bucket is not null").select("bucket", F.lit(0).cast("bigint").alias("block"), F.col("a").alias("node"), "signature", F.lit(1).cast("bigint").alias("blocks"))
+    second = led.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_rough_links(rule.far, False), kind).select("a", "b")
+    return first.union(second), nodes.select("one", "two", "n", "node", "row")
+
 
+def verified_links(src: DataFrame, nodes: DataFrame, family: DataFrame, rule: Rule = Rule(), repeated: bool = True) -> DataFrame:
+    """Tree links (a, b) of exactly verified pairs inside the families.
 
-def verified_links(src: DataFrame, nodes: DataFrame, family: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """Tree links (a, b) of exactly verified pairs inside the families."""
-    sized = family.join(nodes.select(F.col("doc").alias("id"), "n"), "id")
+    A node's set is read from its least row; ``repeated`` tells that a row may stand there many times.
+    """
+    sized = family.join(nodes.select(F.col("node").alias("id"), "n", "row"), "id")
     blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_BLOCK).cast("bigint").alias("blocks"))
-    placed = sized.join(blocks, "family").select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).distinct()
+    placed = sized.join(blocks, "family").select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "row.*").distinct()
     if family.count() <= MOST_BROADCAST:
         placed = F.broadcast(placed)
-    texts = src.join(placed, src["doc"] == placed["id"]).select("family", "blocks", "block", "doc", "text")
-    sets = texts.mapInArrow(_sets(rule.shingle), "family bigint, x bigint, y bigint, doc bigint, elements binary")
+    texts = src.join(placed, ROW)
+    if repeated:
+        texts = texts.dropDuplicates(["id"])
+    sets = texts.select("family", "blocks", "block", "id", "text").mapInArrow(_sets(rule.shingle), "family bigint, x bigint, y bigint, doc bigint, elements binary")
     return sets.repartition(partitions(src.sparkSession), "family", "x", "y").sortWithinPartitions("family", "x", "y", "doc").mapInArrow(_verify(rule.percent), "a bigint, b bigint")
 
 

@@ -124,6 +124,17 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == sorted([(-1, 5, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (9, 5, False), (-1, -1, True)])
 
 
+def test_near_duplicates_do_not_meet_in_null_or_repeated_ids(spark):
+    rng = random.Random(11)
+    five, nine, seven, eight = (prose(rng, 100, 10**6) for _ in range(4))
+    rows = [(5, five), (9, nine), (None, five + " x"), (None, nine + " y"), (None, nine + " y")]
+    rows += [(7, seven), (8, eight), (20, seven + " x"), (20, eight + " y")]
+    rows += [(None, prose(rng, 40, 10**6)) for _ in range(50)]
+    got = near_dup.near_duplicates(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id} == {(i, i, True) for i in (5, 7, 8, 9)} | {(20, 7, False), (20, 8, False)}
+    assert sorted(r.component_id or -1 for r in got if r.doc_id is None) == [-1] * 50 + [5, 9, 9]
+
+
 def test_blocks_of_buckets_and_families(spark, monkeypatch):
     """Small limits, so that buckets and families are dealt out in many blocks."""
     rng = random.Random(5)
