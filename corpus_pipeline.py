@@ -15,7 +15,7 @@ from docloom.llm import bpe, mixing, near_dup, quality_model, suffix_dedup
 from docloom.llm.common import cut, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Dropped ids of up to so many documents (8 bytes each) are sent to all executors.
+#: Names of up to so many dropped rows (24 bytes each) are sent to all executors.
 MOST_BROADCAST = 1 << 20
 #: Near copies share 80 % or more of their shingles of five words.
 SHINGLE, PERCENT = 5, 80
@@ -29,11 +29,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least doc_id. Rows without an id stay."""
+    """One row of each group of near copies, of the least doc_id; null ids come last. Rows without words stay."""
     docs = docs.select(*COLUMNS)
-    dropped = cut(near_dup.near_duplicates(docs, SHINGLE, PERCENT).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct())
+    own = [f"_{c}" for c in near_dup.ROW]
+    rows, repeats = near_dup.judged(docs, SHINGLE, PERCENT)
+    dropped = cut(rows.where(F.struct(*near_dup.ROW) != F.col("top")).select(*(F.col(c).alias(f"_{c}") for c in near_dup.ROW)).distinct())
     dropped = F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    left = docs.select("*", *near_dup.named_rows(docs, "_")).join(dropped, own, "left_anti")
+    if repeats.isEmpty():
+        return left.select(*COLUMNS)
+    # Of rows with the same id and text one stays, the least by the other columns.
+    repeats = repeats.select(*(F.col(c).alias(f"_{c}") for c in near_dup.ROW))
+    once = left.join(repeats, own, "left_semi").groupBy(*own).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return left.join(repeats, own, "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

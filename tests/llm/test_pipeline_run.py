@@ -66,3 +66,15 @@ def test_near_copies_by_five_words_at_80(spark):
         rows += [(10 * k + j, " ".join(w)) for j, w in enumerate((base, added, cut_off))]
     got = corpus_pipeline.near_copies(spark, frame(spark, rows).drop("score", "size"), "")
     assert {r.doc_id for r in got.collect()} == {10 * k for k in range(12)}
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null and repeated ids: rows are judged, not ids."""
+    rng = random.Random(12)
+    x, y, z, u, v = (prose(rng, 60, 10**6) for _ in range(5))
+    rows = [(3, x), (5, x), (5, y), (None, z), (None, z), (None, z + " more"), (8, u), (8, u), (8, u), (None, v), (10, v), (11, ""), (11, "")]
+    rows += [(None, x)] * 3
+    out = corpus_pipeline.near_copies(spark, frame(spark, rows).drop("score", "size"), "").collect()
+    got = sorted((r.doc_id or -1, r.text) for r in out if r.text not in (z, z + " more"))
+    assert got == sorted([(3, x), (5, y), (8, u), (10, v), (11, ""), (11, "")])
+    assert [r.doc_id for r in out if r.text in (z, z + " more")] == [None]
