@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import grams
-from docloom.llm.common import NO_ID, ship, table
+from docloom.llm.common import NO_ID, cut, ship, table
 
 THRESHOLD = 100
 GRAM = 32
@@ -39,7 +39,7 @@ CHUNK, COMBINE = 1 << 17, 1 << 21
 SPAN, PLACE, SIGNAL, KNOWN, EDGE = 0, 1, 2, 3, 4
 ROW = "key bigint, sub bigint, doc bigint, pos bigint"
 NAMES = ["key", "sub", "doc", "pos"]
-#: pos: kind (from bit 60), check of the text (20 bits from 40), place (40 bits). sub: distances from
+#: pos: kind (from bit 60), check (20 bits from 40; 0, as doc names the text), place (40 bits). sub: distances from
 #: the first and the last window to the gram (7 bits from 57 and from 50), sides that are still
 #: alive (2 bits from 48), and 48 bits of a name; for spans the end. Few bytes a row keep the
 #: shuffles small.
@@ -461,6 +461,14 @@ def _cut_texts(keep_text: bool):
     return run
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a number for each different (id, h1, h2), in the order of these."""
+    names = ["id", "h1", "h2"]
+    # Numbers of a sorted table grow with its rows; the checkpoint holds them fast.
+    numbers = cut(rows.select(*names).distinct().orderBy(*names).withColumn("number", F.monotonically_increasing_id()))
+    return rows.join(numbers, names)
+
+
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """Remove bytes of ``text`` that a string of 100 bytes covers which also starts earlier.
 
@@ -470,17 +478,27 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool
     as text without characters of which a part is gone.
 
     A null text is empty; a null doc_id comes before all others. Rows that repeat a doc_id with
-    other texts are documents of their own, in the order of a hash of the text; equal rows are one
-    document, and none loses a byte to the other.
+    other texts are documents of their own, in the order of a 128-bit hash of the text; equal rows
+    are one document, and none loses a byte to the other. Where ids repeat, every (doc_id, text) gets
+    a number in that order, and the rounds go by it.
     """
     spark = docs.sparkSession
     ship(spark)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     ids = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("bigint")
-    # The check only tells texts of one id apart; where ids are unique it would make rows longer.
     unique = docs.groupBy(ids.alias("doc")).count().where("count > 1").isEmpty()
-    check = F.lit(0).cast("bigint") if unique else F.xxhash64(body).bitwiseAND(F.lit((1 << 20) - 1).cast("bigint"))
-    src = docs.select(ids.alias("doc"), check.alias("check"), body.alias("body"), *carry)
+    # Ids or numbers tell all documents apart, so the check, which only spreads rows, is 0.
+    check = F.lit(0).cast("bigint")
+    own = "doc_id"
+    if unique:
+        src = docs.select(ids.alias("doc"), check.alias("check"), body.alias("body"), *carry)
+    else:
+        own = "_own"
+        while own in carry:
+            own += "_"
+        src = numbered(docs.select(ids.alias("id"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2"), body.alias("body"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry))))
+        src = src.select(F.col("number").alias("doc"), check.alias("check"), "body", F.col("id").alias(own), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
+        carry = (own, *carry)
     kinds = dict(src.dtypes)
     extra = "".join(f", `{c}` {kinds[c]}" for c in carry)
     texts = src.mapInArrow(_squeeze, f"doc bigint, check bigint, body binary{extra}").repartition("doc", "check")
@@ -505,6 +523,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool
     out = fetched(rows)
     more = ", spans array<struct<start: bigint, end: bigint>>, kept binary, kept_text string" if keep_text else ""
     out = out.mapInArrow(_cut_texts(keep_text), f"doc_id bigint{extra}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
+    if own != "doc_id":
+        out = out.drop("doc_id").withColumnRenamed(own, "doc_id")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

@@ -70,6 +70,23 @@ def test_suffix_dedup_keeps_ties_and_null_ids(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_many_texts_under_one_id(spark):
+    """Pairs that share a passage: one text of each loses it and nothing else, however many share the id."""
+    rng = random.Random(13)
+    rows, passages = [], {}
+    for k in range(3000):
+        passage = f"<{k}>" + "".join(rng.choices("abcdefgh", k=140)) + f"<{k}>"
+        passages[k] = passage
+        rows += [(None, "0" * rng.randrange(60) + "xy"[side] + passage + f"{'pq'[side]}#{k}") for side in (0, 1)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), keep_text=True).collect()
+    assert len(got) == 6000
+    lost = {}
+    for r in got:
+        k = int(re.search(r"#(\d+)$", r.kept_text)[1])
+        lost.setdefault(k, []).append(r.n_removed)
+    assert {k: sorted(x) for k, x in lost.items()} == {k: [0, len(p)] for k, p in passages.items()}
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
