@@ -39,6 +39,8 @@ SIZE, ROWS, MISSED = 130, 5, 1e-6
 PERCENT = 85
 #: Estimated similarity to a leader that joins its ball, and room for the estimate's error.
 BALL, ROOM = 0.80, 0.13
+#: A ball that nothing joins: leaders of blocks are all compared, or they would stand four balls apart.
+ALL = 2.0
 #: Nodes of a bucket, and shingles of a family, that one task handles.
 BUCKET_BLOCK, FAMILY_BLOCK = 20000, 1 << 21
 #: Families with no more nodes than this are sent to all executors (56 bytes each).
@@ -188,11 +190,14 @@ def leaders(nodes: np.ndarray, signatures: np.ndarray, near: float, ball: float
     return label, np.array(led)
 
 
-def _rough_links(near: float, tell_leaders: bool):
-    """Sorted (bucket, block, doc, signature, blocks) rows to links (a, b), and to leaders of buckets with several blocks."""
+def _rough_links(near: float, tell_leaders: bool, ball: float = BALL):
+    """Sorted (bucket, block, doc, signature, blocks) rows to links (a, b), and to leaders of buckets with several blocks.
+
+    With a ball above 1 no row is absorbed, and all are compared.
+    """
 
     def bucket(key, block, docs, signatures, blocks):
-        label, led = leaders(docs, signatures, near)
+        label, led = leaders(docs, signatures, near, ball)
         least = np.full(len(docs), NO_DOC)
         np.minimum.at(least, label, docs)
         far = docs != least[label]
@@ -420,7 +425,7 @@ def rough_links(signed: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Data
     found = cut(rows.repartition(partitions(rows.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block", "node").mapInArrow(_rough_links(rule.near, True), kind))
     first = found.where("bucket is null").select("a", "b")
     led = found.where("bucket is not null").select("bucket", F.lit(0).cast("bigint").alias("block"), F.col("a").alias("node"), "signature", F.lit(1).cast("bigint").alias("blocks"))
-    second = led.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_rough_links(rule.far, False), kind).select("a", "b")
+    second = led.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_rough_links(rule.far, False, ALL), kind).select("a", "b")
     return first.union(second), nodes.select("one", "two", "n", "node", "row")
 
 

@@ -179,6 +179,26 @@ def test_superminhash_estimates():
     assert sorted(one[0] >> np.uint64(32)) == list(range(16)) and (one[1] >> np.uint64(32) == 16).all()
 
 
+def test_leaders_of_blocks_are_all_compared(spark, monkeypatch):
+    """Leaders that are each close to another one, but to each other only by the wider threshold."""
+    rng = np.random.default_rng(14)
+    one, two = rng.integers(0, 2**8, (2, 130)).astype(np.uint8)
+    two[:49] = one[:49]  # similar by 0.38
+    heads = [x.copy() for x in (one, two)]
+    for head, part in zip(heads, (slice(0, 24), slice(25, 49)), strict=True):
+        head[part] = ~head[part]  # 0.82 to their own, 0.19 or less to the other
+    assert near_dup.estimate(one, two) > near_dup.Rule().far > max(near_dup.estimate(heads[0], two), near_dup.estimate(heads[1], one), near_dup.estimate(*heads))
+    found = []
+    mapped = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, kind, *a: found.append(f) or mapped(self, f, kind, *a))
+    near_dup.rough_links(spark.createDataFrame([], near_dup.SIGNED))
+    rows = [heads[0], heads[1], one, two]
+    columns = [pa.array([5] * 4), pa.array([0] * 4), pa.array(range(4)), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([1] * 4)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "node", "signature", "blocks"])
+    pairs = [(a, b) for out in found[-1](iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    assert joined(4, pairs) == [0] * 4
+
+
 def test_exact_forest_finds_all_components():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**50, 60, dtype=np.uint64)
