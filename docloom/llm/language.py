@@ -12,6 +12,8 @@ So the work is the same for one long text as for many short ones.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,14 +25,17 @@ from pyspark.sql import functions as F
 from docloom.llm import grams, words
 from docloom.llm.common import fold, ship, table
 
-#: Labelled texts of each language to learn from, about; buckets of trigrams; cost of a switch.
-SAMPLE, BUCKETS, PENALTY = 2000, 1 << 16, 12.0
-BLOCK = 256
+#: Labelled texts of each language to learn from, about; languages to learn at most (the most
+#: frequent ones); buckets of trigrams; cost of a switch.
+SAMPLE, MOST_LANGUAGES, BUCKETS, PENALTY = 2000, 128, 1 << 16, 12.0
+#: Words of a block, and numbers that a step over blocks holds at most.
+BLOCK, ROOM = 256, 1 << 22
 #: A language is a candidate for a script that at least this share of its words is written in.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
 #: First code points of script ranges (Unicode blocks) and the script of each;
-#: 0 stands for signs that belong to no script, 1 for Latin.
+#: 0 stands for no script of these, 1 for Latin. They only choose candidates: what is a letter
+#: follows from the Unicode category.
 SCRIPTS = [
     (0x0000, 0), (0x0041, 1), (0x005B, 0), (0x0061, 1), (0x007B, 0), (0x00AA, 1), (0x00AB, 0), (0x00BA, 1), (0x00BB, 0),
     (0x00C0, 1), (0x00D7, 0), (0x00D8, 1), (0x00F7, 0), (0x00F8, 1), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5),
@@ -43,11 +48,18 @@ _FIRST, _SCRIPT = (np.array(x) for x in zip(*SCRIPTS, strict=True))
 N_SCRIPTS = int(_SCRIPT.max()) + 1
 
 
-def scripts_of_bytes(data: np.ndarray) -> np.ndarray:
-    """Script of the character that begins at each byte; 0 at bytes inside a character."""
-    out = np.zeros(len(data), np.int8)
+@functools.cache
+def letter_table() -> np.ndarray:
+    """Which code points are letters (categories L*)."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+
+
+def scripts_of_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a letter begins at each byte, and its script; 0 at other bytes."""
+    script = np.zeros(len(data), np.int8)
     low = data | 0x20
-    out[(low >= 0x61) & (low <= 0x7A) & (data < 0x80)] = 1
+    letter = (low >= 0x61) & (low <= 0x7A) & (data < 0x80)
+    script[letter] = 1
     at = np.flatnonzero(data >= 0xC0)
     if len(at):
         b = data[at].astype(np.int64)
@@ -56,8 +68,10 @@ def scripts_of_bytes(data: np.ndarray) -> np.ndarray:
         for k in range(1, 4):
             more = size > k
             point = np.where(more, point << 6 | data[np.minimum(at + k, len(data) - 1)] & 0x3F, point)
-        out[at] = _SCRIPT[np.searchsorted(_FIRST, point, "right") - 1]
-    return out
+        point = np.minimum(point, 0x10FFFF)
+        letter[at] = letter_table()[point]
+        script[at] = np.where(letter[at], _SCRIPT[np.searchsorted(_FIRST, point, "right") - 1], 0)
+    return letter, script
 
 
 def buckets_of_bytes(chunk: words.Chunk) -> np.ndarray:
@@ -90,12 +104,12 @@ def learn(rows: list[tuple[str, int, int, int]], languages: list[str]) -> Model:
 
 def word_scores(chunk: words.Chunk, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(words, languages) log scores, 0 for words without letters, and letters of each word."""
-    script = scripts_of_bytes(chunk.data)
+    letter, script = scripts_of_bytes(chunk.data)
     n = len(chunk.start)
     k = len(model.languages)
     if not n:
         return np.zeros((0, k)), np.zeros(0, np.int64)
-    sums = np.r_[0, np.cumsum(script > 0)]
+    sums = np.r_[0, np.cumsum(letter)]
     letters = sums[chunk.end] - sums[chunk.start]
     kind = np.maximum.reduceat(script, chunk.start)  # up to the next word; blanks between are 0
     bucket = buckets_of_bytes(chunk)
@@ -110,71 +124,69 @@ def word_scores(chunk: words.Chunk, model: Model) -> tuple[np.ndarray, np.ndarra
 
 
 def viterbi(scores: np.ndarray, count: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """Best language of each word; ``count`` words a text, in order."""
+    """Best language of each word; ``count`` words a text, in order. Ties go to the first language.
+
+    First every block gives the value of its best path from each language to each, then the blocks of
+    a text are joined in order, then the path inside each block follows from its known ends. What is
+    kept for a word is one truth value a language.
+    """
     n, k = scores.shape
     if not n:
         return np.zeros(0, np.int64)
     blocks = -(-count // BLOCK)
     first = np.cumsum(count) - count
     text = np.repeat(np.arange(len(count)), blocks)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    base = np.cumsum(blocks) - blocks
+    nth = np.arange(len(text)) - np.repeat(base, blocks)
     begin = first[text] + nth * BLOCK
     size = np.minimum(BLOCK, (first + count)[text] - begin)
-    order = np.argsort(-size, kind="stable")
-    begin, size = begin[order], size[order]
-    steps = int(size[0])
-    active = np.searchsorted(-size, -np.arange(1, steps + 1), "right")  # blocks with more than t words
-    eye = np.where(np.eye(k, dtype=bool), 0.0, -penalty)
-    value = eye[None] + scores[begin][:, None, :]
-    stay = [None]
-    source = [None]
-    for t in range(1, steps):
-        m = int(active[t])
-        v = value[:m]
-        top = v.max(axis=2, keepdims=True) - penalty
-        keep = v >= top
-        stay.append(keep)
-        source.append(v.argmax(axis=2).astype(np.int16))
-        value[:m] = np.where(keep, v, top) + scores[begin[:m] + t][:, None, :]
-    # Join the blocks of a text: best score at the end of each, and the language before it.
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    start_of = np.zeros(len(text), np.int64)
-    end_of = np.zeros(len(text), np.int64)
-    base = np.cumsum(blocks) - blocks
-    # The first block may begin in any language: the penalty of its first word is not due.
+    order = np.argsort(-size, kind="stable")  # blocks with more than t words come first
+    active = np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 1), "right")
+    enter = np.where(np.eye(k, dtype=bool), 0.0, -penalty)
+    value = np.empty((len(text), k, k))
+    step = max(1, ROOM // (k * k))
+    for low in range(0, len(order), step):
+        own = order[low : low + step]
+        v = enter[None] + scores[begin[own]][:, None, :]
+        for t in range(1, int(size[own[0]])):
+            m = min(len(own), int(active[t]) - low)
+            part = v[:m]
+            v[:m] = np.maximum(part, part.max(axis=2, keepdims=True) - penalty) + scores[begin[own[:m]] + t][:, None, :]
+        value[own] = v
+    # Join the blocks of a text: the best score at the end of each, and the language before it. The
+    # first block may begin in any language: the penalty of its first word is not due.
+    before, after = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
     reach = np.full((len(count), k), -np.inf)
-    came = {}
-    for b in range(int(blocks.max())):
+    came = []
+    most = int(blocks.max())
+    for b in range(most):
         who = np.flatnonzero(blocks > b)
-        v = value[back[base[who] + b]]
-        if b == 0:
-            came[b] = np.broadcast_to(np.arange(k), (len(who), k))
-            own = np.full((len(who), k), -np.inf)
-            # From a start in the best first language, which costs nothing.
-            from_any = v.max(axis=1)
-            own = np.maximum(own, from_any)
-            came[b] = v.argmax(axis=1)
-            reach[who] = own
-        else:
-            all_ = reach[who][:, :, None] + v
-            came[b] = all_.argmax(axis=1)
-            reach[who] = all_.max(axis=1)
+        paths = value[base[who] + b] if b == 0 else reach[who][:, :, None] + value[base[who] + b]
+        came.append(paths.argmax(axis=1))
+        reach[who] = paths.max(axis=1)
     last = reach.argmax(axis=1)
-    for b in range(int(blocks.max()) - 1, -1, -1):
+    for b in range(most - 1, -1, -1):
         who = np.flatnonzero(blocks > b)
-        end_of[base[who] + b] = last[who]
-        start_of[base[who] + b] = came[b][np.arange(len(who)), last[who]]
-        last[who] = start_of[base[who] + b]
+        after[base[who] + b] = last[who]
+        last[who] = before[base[who] + b] = came[b][np.arange(len(who)), last[who]]
+    # The path inside a block, from the language before it to that at its end.
+    own = order
+    v = enter[before[own]] + scores[begin[own]]
+    kept, source = [None], [None]
+    for t in range(1, len(active)):
+        m = int(active[t])
+        part = v[:m]
+        top = part.max(axis=1, keepdims=True) - penalty
+        kept.append(part >= top)
+        source.append(part.argmax(axis=1))
+        v[:m] = np.maximum(part, top) + scores[begin[own[:m]] + t]
     out = np.zeros(n, np.int64)
-    now, begun = end_of[order], start_of[order]
-    for t in range(steps - 1, -1, -1):
+    now = after[own]
+    for t in range(len(active) - 1, -1, -1):
         m = int(active[t])
-        out[begin[:m] + t] = now[:m]
+        out[begin[own[:m]] + t] = now[:m]
         if t:
-            rows = np.arange(m)
-            s = begun[:m]
-            now[:m] = np.where(stay[t][rows, s, now[:m]], now[:m], source[t][rows, s])
+            now[:m] = np.where(kept[t][np.arange(m), now[:m]], now[:m], source[t])
     return out
 
 
@@ -184,11 +196,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         for chunk in words.chunks(batch.column(1)):
-            bucket, script = buckets_of_bytes(chunk), scripts_of_bytes(chunk.data)
+            bucket, (letter, script) = buckets_of_bytes(chunk), scripts_of_bytes(chunk.data)
             if not len(chunk.start):
                 continue
             kind = np.maximum.reduceat(script, chunk.start)
-            sums = np.r_[0, np.cumsum(script > 0)]
+            sums = np.r_[0, np.cumsum(letter)]
             lettered = sums[chunk.end] > sums[chunk.start]
             own = langs[chunk.first : chunk.first + chunk.rows]
             # Trigrams that begin at the blank before a word's letters and up to its last letter.
@@ -208,14 +220,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(counts[at])], names=["lang", "kind", "key", "n"])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = MOST_LANGUAGES) -> Model:
     """Learn from about ``sample`` texts of each language outside fold 1, drawn by a hash of doc_id.
 
-    The driver gets at most languages x (buckets + scripts) counts.
+    Of more than ``most`` languages the most frequent ones are learned (ties: those whose names are
+    first). The driver gets at most ``most`` x (buckets + scripts) counts.
     """
     ship(docs.sparkSession)
     known = docs.where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not sizes:
         return learn([], [])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20).cast("bigint"))
@@ -225,19 +238,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         share = F.when(F.col("lang") == lang, limit) if share is None else share.when(F.col("lang") == lang, limit)
     texts = known.where(draw < share).select("lang", F.col("text").cast("binary").alias("text"))
     counted = texts.mapInArrow(_counts, "lang string, kind int, key bigint, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    return learn([tuple(r) for r in counted.collect()], sorted(sizes))
-
-
-def _has_letter(text: bytes) -> bool:
-    return any(c.isalpha() for c in text.decode("utf-8", "replace"))
+    got = counted.toPandas()
+    return learn(list(zip(got["lang"], got["kind"], got["key"], got["n"], strict=True)), sorted(sizes))
 
 
 def label(docs: DataFrame, model: Model, spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, columns of ``carry``, lang_pred, score and, if asked for, spans (start and end byte, lang).
 
-    ``und`` with score 0 where a text is null or has no letter, or nothing was learned. The score is
-    the share of the letters that the path gives to the language. Ties go to the language whose name
-    is first. One pass, no shuffle.
+    ``und`` with score 0 where a text is null or has no letter (of a Unicode category L*), or nothing
+    was learned. The score is the share of the letters that the path gives to the language. Ties go to
+    the language whose name is first; equal texts give equal rows; no rows give none. Texts of any
+    length are taken whole, in memory of about 60 bytes a byte and language. One pass, no shuffle.
     """
     ship(docs.sparkSession)
     languages = np.array([*model.languages, UNKNOWN], object)
@@ -254,12 +265,6 @@ def label(docs: DataFrame, model: Model, spans: bool = False, carry: tuple[str,
                 path = viterbi(scores, chunk.count)
                 by = np.bincount(chunk.row * k + path, np.maximum(letters, 0), minlength=chunk.rows * k).reshape(chunk.rows, k)
                 total = by.sum(axis=1)
-                for i in np.flatnonzero(total == 0):
-                    # No letter of a known range: letters of others still make it a text in some language.
-                    if _has_letter(chunk.data[chunk.bounds[i] : chunk.bounds[i + 1]].tobytes()):
-                        own = path[chunk.row == i]
-                        by[i] = np.bincount(own, minlength=k)
-                        total[i] = max(1, by[i].sum())
                 some = total > 0
                 at = slice(chunk.first, chunk.first + chunk.rows)
                 pred[at] = np.where(some, by.argmax(axis=1), k)

@@ -180,11 +180,33 @@ def test_viterbi(block, monkeypatch):
 def test_scripts():
     text = "aé жЩ ελ 漢字 かな 한글 ש ع ह 42 ×÷ 😀 𝐀"
     data = np.frombuffer(text.encode(), np.uint8)
-    script = language.scripts_of_bytes(data)
+    letter, script = language.scripts_of_bytes(data)
     at = np.cumsum([0, *(len(c.encode()) for c in text)])[:-1]
     by = {c: int(script[i]) for c, i in zip(text, at, strict=True)}
     assert by["a"] == by["é"] == 1 and by["ж"] == by["Щ"] == 3 and by["ε"] == 2 and by["漢"] == 17 and by["か"] == 15 and by["한"] == 13
     assert [by[c] for c in " 42×÷😀"] == [0] * 6
+    assert [bool(letter[i]) for i in at] == [c.isalpha() for c in text]
+
+
+WITHOUT_LETTERS = ["١٢٣", "०१२३", "\u0301\u0300 \u0323", "⸺ ⸺", "\u037e", "\U00010100\U00010102", "42 17!", "×÷ 😀", "ּ ֱ", "㈠ 〇", "\u2160 \u00b2"]
+
+
+def test_texts_without_letters_are_undetermined(spark, corpus):
+    """Digits, marks and signs of any script are no letters; letters of rare scripts are."""
+    docs, _, _ = corpus
+    model = language.fit(docs)
+    texts = [*WITHOUT_LETTERS, "\u2102", "ª", "ꓐꓑ", "𝐀", "ᏣᎳᎩ", "42 x"]
+    df = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.label(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i][0] == "und") == (not any(c.isalpha() for c in t)) == (got[i][1] == 0.0), t
+
+
+def test_most_frequent_languages(spark, corpus):
+    docs, _, _ = corpus
+    known = Counter(r.lang for r in docs.collect() if r.lang and not (r.doc_id is not None and held_out(r.doc_id)))
+    want = sorted(known, key=lambda x: (-known[x], x))[:2]
+    assert language.fit(docs, most=2).languages == sorted(want)
 
 
 def reference_encoding():
@@ -193,6 +215,42 @@ def reference_encoding():
     return path, pattern, public_tokenizers
 
 
+def test_very_long_runs_are_encoded():
+    """A million characters of one class, for which the library's own split may run out of stack."""
+    path, pattern, _ = reference_encoding()
+    enc = bpe.encoding(bpe.read_ranks(path), pattern)
+    n = 10**6
+    for c in (" ", "\n", "\t", "\u3000", "\r\n", " \n"):
+        for text in (c * n, "a" + c * n, c * n + "b", "a" + c * n + " b" + c * n + "\nc"):
+            ids = enc.encode(text)
+            assert enc.decode(ids) == text.encode()
+        # The run is one match but for its last character, which goes to what follows.
+        want = enc.single.encode_ordinary((c * n)[:-1]) + enc.own.encode_ordinary(c[-1] + "b")
+        assert enc.encode(c * n + "b") == want and enc.encode(c * n) == enc.single.encode_ordinary(c * n)
+    for c in ("x", "漢", "1", "!", "'s", "é1", "\x1c", "a ", "😀"):
+        assert enc.encode(c * n) == enc.own.encode_ordinary(c * n)
+
+
+def test_long_runs_as_the_library_does(monkeypatch):
+    """With small limits, on texts that the library splits by itself."""
+    path, pattern, _ = reference_encoding()
+    enc = bpe.encoding(bpe.read_ranks(path), pattern)
+    monkeypatch.setattr(bpe, "PIECE", 30)
+    monkeypatch.setattr(bpe, "_LONG_WHITE", re.compile(f"[{bpe.WHITE}]{{3,}}"))
+    rng = random.Random(10)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "b'", "s", " ", "\n", "\u3000", "1", "\x1c", "\x85", "é", "'ll"]) * rng.choice([1, 1, 2, 5]) for _ in range(80))
+        assert enc.encode(text) == enc.own.encode_ordinary(text)
+
+
+def test_other_patterns_are_not_cut(monkeypatch):
+    path, _, _ = reference_encoding()
+    enc = bpe.encoding(bpe.read_ranks(path), r"\S+ |\S+|\s")
+    monkeypatch.setattr(bpe, "PIECE", 20)
+    text = "some words and more of them " * 9
+    assert enc.encode(text) == enc.own.encode_ordinary(text)
+
+
 def merge(piece, ranks):
     """Plain byte-level BPE of one match."""
     parts = [bytes([b]) for b in piece]
@@ -235,7 +293,7 @@ def test_long_texts_are_cut_safely(monkeypatch):
             text = "".join(rng.choice(["a", "b'", "s", " ", "  ", "\n", "1", "!", "é", "　", "'ll"]) for _ in range(120))
             pieces = list(bpe.safe_pieces(text, size))
             assert "".join(pieces) == text
-            assert [x for p in pieces for x in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+            assert [x for p in pieces for x in enc.own.encode_ordinary(p)] == enc.own.encode_ordinary(text)
     monkeypatch.setattr(bpe, "PIECE", 50)
     long = "word and more  " * 5000 + "y" * 30000
-    assert bpe.encode_text(enc, long) == enc.encode_ordinary(long)
+    assert enc.encode(long) == enc.own.encode_ordinary(long)

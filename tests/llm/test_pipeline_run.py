@@ -46,7 +46,7 @@ def test_stages(spark, tmp_path):
     assert len(tokens) == frames[4].count()
     enc = bpe.encoding(bpe.read_ranks(bpe.vocabulary()[0]), bpe.vocabulary()[1])
     texts = {hashlib.sha256(r.text.encode()).hexdigest() for r in frames[4].collect()}
-    assert all(r.n_tokens == len(r.token_ids) and r.decoded_sha256 in texts and hashlib.sha256(enc.decode_bytes(r.token_ids)).hexdigest() == r.decoded_sha256 for r in tokens)
+    assert all(r.n_tokens == len(r.token_ids) and r.decoded_sha256 in texts and hashlib.sha256(enc.decode(r.token_ids)).hexdigest() == r.decoded_sha256 for r in tokens)
 
 
 def test_run(spark):
