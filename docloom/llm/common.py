@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,32 @@ def partitions(spark: SparkSession) -> int:
 def fold(doc_id: Column) -> Column:
     """crc32 of doc_id as text, mod 3; rows of fold 1 are held out of all learning (null: as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in the first ``keys`` columns (numbers), one table for each.
+
+    Rows of a run may stand in many batches; each batch is looked at once.
+    """
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(n, bool)
+        new[0] = last != tuple(c[0] for c in columns)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        last = tuple(c[-1] for c in columns)
+        starts = np.flatnonzero(new).tolist()
+        ends = [*starts, n]
+        if ends[0]:
+            held.append(batch.slice(0, ends[0]))
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [batch.slice(a, b - a)]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -15,11 +15,13 @@ QUERIES = {
     "op8_jump_hash_sharding": sharding.op8_jump_hash_sharding,
     "op9_itq_embedding_dup": embedding_dup.op9_itq_embedding_dup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "embedding_dup_of_copies": embedding_dup.embedding_dup_of_copies,
 }
 
 SQL = {
     "op3_superminhash_near_dup": near_dup.OP3_SQL,
     "op9_itq_embedding_dup": embedding_dup.OP9_SQL,
+    "embedding_dup_of_copies": embedding_dup.COPIES_SQL,
     "op8_jump_hash_sharding": sharding.OP8_SQL,
     "op4_revisit_resolution": revisits.OP4_SQL,
     "op5_water_filling_mix": mixing.OP5_SQL,

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from docloom.llm import components, embedding_dup, near_dup, suffix_dedup, words
+from docloom.llm import common, components, embedding_dup, near_dup, suffix_dedup, words
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size int"
 
@@ -229,6 +231,24 @@ def test_components(spark):
 EMBEDDED = "vec_id bigint, embedding array<float>, label int, node string, weight string"
 
 
+def linked_vectors(rows, cosine=0.98):
+    """Brute force by row: (links, place of the least id of the component) for (id, vector, label) rows; null ids last."""
+    sound = [v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and np.any(v) and y is not None for _, v, y in rows]
+    links = np.zeros((len(rows), len(rows)), bool)
+    for d in {len(v) for (_, v, _), ok in zip(rows, sound, strict=True) if ok}:
+        for label in {y for _, _, y in rows if y is not None}:
+            at = np.array([i for i, (_, v, y) in enumerate(rows) if sound[i] and len(v) == d and y == label], int)
+            if len(at):
+                x = np.array([rows[i][1] for i in at], float)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                links[np.ix_(at, at)] = x @ x.T >= cosine
+    np.fill_diagonal(links, False)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    back = {i: k for k, i in enumerate(order)}
+    root = joined(len(rows), [(back[i], back[j]) for i, j in zip(*np.nonzero(links), strict=True)])
+    return links.sum(axis=1), [rows[order[root[back[i]]]][0] for i in range(len(rows))]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(16), i % 3) for i in range(400)]
@@ -240,18 +260,52 @@ def test_embeddings(spark):
     odd = [(3000, None, 1), (3001, [0.0] * 16, 1), (3002, [float("nan")] * 16, 1), (3003, [1.0] * 16, None), (3004, [None] + [1.0] * 15, 1), (3005, [], 1), (3006, [float("inf")] * 16, 1), (3007, [1.0] * 3, 1)]
     df = spark.createDataFrame([(*r, "x", "y") for r in data + odd], EMBEDDED)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dup.near_duplicates(df, sample=200).collect()}
-    x = np.array([v for _, v, _ in data])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = np.array([r[2] for r in data])
-    linked = (x @ x.T >= 0.98) & (y[:, None] == y[None, :]) & ~np.eye(len(x), dtype=bool)
-    root = joined(len(x), zip(*np.nonzero(linked), strict=True))
-    want = {data[i][0]: (int(linked[i].sum()), data[root[i]][0], root[i] == i) for i in range(len(x))}
-    assert sum(got[i][0] for i in want) >= 0.9 * linked.sum() and all(got[i][0] <= want[i][0] for i in want)
+    links, tops = linked_vectors(data)
+    want = {data[i][0]: (int(links[i]), tops[i], tops[i] == data[i][0]) for i in range(len(data))}
+    assert sum(got[i][0] for i in want) >= 0.9 * links.sum() and all(got[i][0] <= want[i][0] for i in want)
     assert sum(got[i][1:] == want[i][1:] for i in want) >= 0.9 * len(want)
     assert all(got[i] == (0, i, True) for i, _, _ in odd)
     assert {got[2000 + i] for i in range(1, 30)} == {(30, 2000, False)} and got[2101][0] == 0
 
 
+@pytest.mark.parametrize("cosine", [0.9805, 0.985])
+def test_recall_in_64_dimensions(spark, cosine):
+    """Pairs planted just above the threshold among many others, in labels of different sizes."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((6000, 64)) * np.linspace(0.5, 2, 64)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    across = rng.standard_normal((600, 64))
+    across -= (across * base[:600]).sum(axis=1, keepdims=True) * base[:600]
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    planted = cosine * base[:600] + np.sqrt(1 - cosine**2) * across
+    label = np.where(np.arange(6000) < 4500, 1, 2)
+    rows = [(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(base, label, strict=True))] + [(10_000 + i, v.tolist(), 1) for i, v in enumerate(planted)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], EMBEDDED.replace("float", "double"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dup.near_duplicates(df).collect()}
+    links, tops = linked_vectors(rows)
+    found = sum(n for n, _ in got.values())
+    assert links.sum() >= 1200 and links.sum() >= found >= 0.98 * links.sum()
+    assert sum(got[i][1] == t for (i, _, _), t in zip(rows, tops, strict=True)) >= 0.98 * len(rows)
+
+
+def test_embeddings_do_not_meet_in_null_or_repeated_ids(spark):
+    """By row: null and repeated ids in several labels, two lengths, labels that are no whole numbers."""
+    rng = np.random.default_rng(10)
+    a, b, c, d = rng.standard_normal((4, 24))
+    near = lambda x: x + 0.01 * rng.standard_normal(len(x))
+    rows = [(None, a, 1.2), (1, near(a), 1.2), (None, b, 1.7), (2, near(b), 1.7), (7, c, 1.2), (7, d, 1.7), (8, near(c), 1.2), (9, near(d), 1.7), (10, a, 1.7)]
+    rows += [(20 + i, near(a[:5]), 1.2) for i in range(3)] + [(None, a[:5], 1.2), (None, a[:5], 1.2), (30, [1.0], 1.2), (31, [2.0], 1.2), (32, [-1.0], 1.2)]
+    rows += [(None, x, 1.2) for x in rng.standard_normal((40, 24))] + [(40, c, 0.0), (41, c, -0.0), (42, c, float("nan")), (43, c, float("nan"))]
+    rows = [(i, [float(x) for x in v], y) for i, v, y in rows]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], EMBEDDED.replace("float", "double").replace("label int", "label double")).repartition(3)
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dup.near_duplicates(df).collect())
+    links, tops = linked_vectors([r for r in rows if r[2] == r[2]])
+    want = Counter((r[0], int(n), t, r[0] == t) for r, n, t in zip([r for r in rows if r[2] == r[2]], links, tops, strict=True))
+    assert got == want + Counter({(42, 1, 42, True): 1, (43, 1, 42, False): 1})  # Spark takes NaN labels as equal
+    words_ = df.selectExpr("CAST(vec_id AS string) AS vec_id", "embedding", "CAST(label AS string) AS label")
+    assert {(r.vec_id, r.component_id) for r in embedding_dup.near_duplicates(words_).collect()} >= {("1", "1"), ("8", "7"), ("9", "7"), ("31", "30"), ("32", "32")}
+
+
 def test_embeddings_of_odd_tables(spark, monkeypatch):
     assert embedding_dup.near_duplicates(spark.createDataFrame([], EMBEDDED)).count() == 0
     only = spark.createDataFrame([(1, None, 1, "", "")], EMBEDDED)
@@ -259,10 +313,16 @@ def test_embeddings_of_odd_tables(spark, monkeypatch):
     monkeypatch.setattr(embedding_dup, "BLOCK", 4)
     rng = np.random.default_rng(3)
     base = rng.standard_normal(8)
-    rows = [(i, [float(v) for v in base + 0.01 * rng.standard_normal(8)], 1, "", "") for i in range(30)] + [(None, [float(v) for v in base], 1, "", "")]
+    rows = [(i, [float(v) for v in base + 0.01 * rng.standard_normal(8)], 1, "", "") for i in range(80)] + [(None, [float(v) for v in base], 1, "", "")]
     got = embedding_dup.near_duplicates(spark.createDataFrame(rows, EMBEDDED)).collect()
-    assert {r.component_id for r in got} == {0} and sum(r.kept or False for r in got) == 1
-    assert all(r.n_links <= 30 for r in got) and sum(r.n_links for r in got) >= 0.9 * 31 * 30
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    assert all(r.n_links <= 80 for r in got) and sum(r.n_links for r in got) >= 0.9 * 81 * 80
+
+
+def test_runs():
+    batches = [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["a", "b", "c"]) for a, b, c in (([1, 1], [1, 2], [0, 1]), ([], [], []), ([1], [2], [2]), ([1, 2, 2], [2, 2, 2], [3, 4, 5]), ([3], [1], [6]))]
+    batches[1] = batches[0].slice(0, 0)
+    assert [t.column("c").to_pylist() for t in common.runs(iter(batches), 2)] == [[0], [1, 2, 3], [4, 5], [6]]
 
 
 def test_itq_codes_are_balanced():
