@@ -4,7 +4,9 @@ Every source gets a share of the mix by its weight, but at most ``max_epochs`` t
 what a source can't take is shared out again by weight. The fixed point of that is a water level:
 target = min(cap, level x weight). With the sources sorted by cap / weight, the level follows from
 two running sums, so no rounds are needed. Whole repetitions go to every document of a source, the
-fractional one to a seeded sample of them: documents ordered by a hash, until the words are used up.
+fractional one to a seeded sample of them: documents in the order of a hash, until the words are used
+up. Only the bin of the hash in which that happens is sorted; texts take part in no shuffle but
+those of that bin.
 """
 
 from __future__ import annotations
@@ -18,19 +20,36 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
-#: Bins of the seeded order within a source; running sums are taken within a bin, then over bins.
-BINS = 1024
+#: Bits of the hash that orders documents, and of its bins within a source.
+HASH_BITS, BIN_BITS = 60, 16
+#: The plan (about 60 bytes a source) is sent to all executors for at most so many sources.
+MOST_BROADCAST = 1 << 17
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def place(seed: str = SEED) -> Column:
+    """The seeded order: 60 bits of the md5 of seed, doc_id and text; nulls count as ''.
+
+    The text takes part so that rows which share an id, or have none, are spread out too.
+    """
+    part = lambda c: F.coalesce(c, F.lit(""))
+    digest = F.md5(F.concat(F.lit(seed + ":"), part(F.col("doc_id").cast("string")), F.lit(":"), part(F.col("text"))).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def bin_of(u: Column, bits: int = BIN_BITS) -> Column:
+    return F.shiftright(u, HASH_BITS - bits)
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size) to (source, source_size, target).
 
     Sources in order of code point, null last, take the weights in turn. The windows without a
-    partition key run over one row for each source, after the aggregation.
+    partition key run over one row for each source, after the aggregation: some 50 bytes each, which
+    a task sorts on disk if need be.
     """
     turn = Window.orderBy(F.col("source").asc_nulls_last())
     k = (F.row_number().over(turn) - 1) % len(weights)
@@ -49,63 +68,92 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, bins: int = BINS) -> DataFrame:
-    """(doc_id, source, size, ...) to the same rows with source_size, target and taken.
+def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(source, bin, words) to one row a source: source_size, target, repeats, rest, edge and below.
+
+    Every document is taken ``repeats`` times whole; ``rest`` words more come from the documents
+    before bin ``edge`` (null: from all) and from those in it, before which stand ``below`` words.
+    """
+    sizes = cut(sizes)
+    goals = targets(sizes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
+    repeats = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("bigint")
+    goals = goals.withColumn("repeats", repeats).withColumn("rest", F.floor(F.col("target") + F.lit(0.5)).cast("bigint") - F.col("repeats") * F.col("source_size"))
+    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = sizes.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    same = F.col("b.source").eqNullSafe(F.col("g.source"))
+    inside = (F.col("b.below") <= F.col("g.rest")) & (F.col("g.rest") < F.col("b.below") + F.col("b.words"))
+    edges = bins.alias("b").join(goals.alias("g"), same).where(inside).select("b.source", F.col("bin").alias("edge"), "below")
+    out = goals.alias("g").join(edges.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left")
+    out = cut(out.select("g.source", "source_size", "target", "repeats", "rest", "edge", "below"))
+    return F.broadcast(out) if out.count() <= MOST_BROADCAST else out
+
+
+def planned(rows: DataFrame, goals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (with source and _u) that the edge of their source doesn't cut, and the others, with the plan's columns.
+
+    The first have ``_full``: whether the fractional repetition takes them.
+    """
+    joined = rows.alias("r").join(goals.withColumnRenamed("source", "_source").alias("g"), F.col("r.source").eqNullSafe(F.col("_source")))
+    joined = joined.select("r.*", *[F.col(f"g.{c}").alias(f"_{c}") for c in ("source_size", "target", "repeats", "rest", "edge", "below")])
+    at = bin_of(F.col("_u"))
+    away = joined.where(F.col("_edge").isNull() | (at != F.col("_edge"))).withColumn("_full", F.coalesce(at < F.col("_edge"), F.lit(True)))
+    return away, joined.where(at == F.col("_edge"))
+
+
+def part_taken(size: Column) -> Column:
+    """Words that the fractional repetition takes from a row in its source's edge."""
+    inner = Window.partitionBy("source").orderBy("_u", "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_rest") - F.col("_below") - F.coalesce(F.sum(size).over(inner), F.lit(0))
+    return F.greatest(F.lit(0).cast("bigint"), F.least(left, size))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target and taken for all of ``docs`` (doc_id, text, source; others are ignored).
 
     ``taken`` is the words that the mix takes from a document: size times the whole repetitions of
     its source, plus size, nothing or, for one document of each source, a part of it for the
     fractional repetition. The sum over a source is its target to the nearest word. The sample's
-    order is the md5 of seed and doc_id, so reruns agree; a null doc_id counts as ''. Rows that
-    repeat a doc_id stay separate rows. A source of size 0 has target 0.
+    order is a hash of seed, doc_id and text (null as ''), so reruns agree. Rows that repeat a doc_id
+    stay separate rows; equal rows share what the edge leaves them in any order. A null text has size
+    0, a source of size 0 has target 0, no rows give none. Texts of any length are counted whole.
 
-    A hot source is no hot task: running sums are taken by (source, bin of the hash).
-    """
-    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = rows.withColumn("_u", digest).withColumn("_bin", (F.conv(F.substring("_u", 1, 8), 16, 10).cast("bigint") * bins / F.lit(2**32)).cast("bigint"))
-    per_bin = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_size"))
-    goals = targets(per_bin.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, max_epochs)
-    whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("bigint")
-    goals = goals.withColumn("_whole", whole).withColumn("_rest", F.floor(F.col("target") + F.lit(0.5)).cast("bigint") - F.col("_whole") * F.col("source_size"))
-    before = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    table_ = per_bin.select("source", "_bin", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_below"))
-    table_ = table_.alias("b").join(goals.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select("b.source", "_bin", "_below", "source_size", "target", "_whole", "_rest")
-    out = rows.alias("r").join(table_.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r._bin") == F.col("t._bin")))
-    out = out.select("r.*", "_below", "source_size", "target", "_whole", "_rest")
-    inner = Window.partitionBy("source", "_bin").orderBy("_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("_rest") - F.col("_below") - F.coalesce(F.sum("size").over(inner), F.lit(0))
-    part = F.greatest(F.lit(0).cast("bigint"), F.least(left, F.col("size")))
-    out = out.withColumn("taken", F.col("_whole") * F.col("size") + part)
-    return out.drop("_u", "_bin", "_below", "_whole", "_rest")
-
-
-def mix_documents(docs: DataFrame, **kwargs) -> DataFrame:
-    """doc_id, size, source_size, target and taken for all of ``docs``.
-
-    Texts are read once: ids, sources and sizes are kept by a checkpoint, and the sums run on that.
+    Texts are read once: ids, sources, sizes and hashes are kept by a checkpoint. A hot source is no
+    hot task: sums are taken by (source, bin of the hash), and only the bin at the edge is sorted.
     """
-    rows = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
-    return mix(rows, **kwargs).select("doc_id", "size", "source_size", "target", "taken")
-
-
-def repeated_documents(docs: DataFrame, **kwargs) -> DataFrame:
+    rows = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), place(seed).alias("_u")))
+    goals = plan(rows.groupBy("source", bin_of(F.col("_u")).alias("bin")).agg(F.sum("size").alias("words")), weights, share, max_epochs)
+    away, edge = planned(rows, goals)
+    size = F.col("size")
+    away = away.withColumn("_part", F.when(F.col("_full"), size).otherwise(F.lit(0)))
+    edge = edge.withColumn("_part", part_taken(size))
+    taken = (F.col("_repeats") * size + F.col("_part")).alias("taken")
+    columns = ["doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken]
+    return away.select(*columns).unionAll(edge.select(*columns))
+
+
+def repeated_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as the mix takes them, with the same columns.
 
     A document whose last repetition is a part has that part's words, joined by blanks, in one row
-    more; where there is a column n_chars, that row has the part's length.
+    more; where there is a column n_chars, that row has the part's length. Texts without words are in
+    no mix. Only texts in the bin at the edge of a source are shuffled.
     """
     columns = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
-    out = mix(docs.select(row, "doc_id", "source", words(F.col("text")).alias("size")), **kwargs).select("_row", "size", "taken")
-    safe = F.greatest("size", F.lit(1))
-    part = F.when(F.col("size") > 0, F.col("taken") % safe).otherwise(0).cast("int")
-    whole = F.when(F.col("size") > 0, ((F.col("taken") - F.col("taken") % safe) / safe)).otherwise(0).cast("int")
-    out = out.withColumns({"_part": part, "_whole": whole, "_text": F.col("_row.text")})
-    first = F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), 1, F.greatest("_part", F.lit(1)))
-    rest = F.when(F.col("_part") > 0, F.array(F.array_join(first, " "))).otherwise(F.array().cast("array<string>"))
-    out = out.select("_row", F.explode(F.concat(F.array_repeat("_text", F.col("_whole")), rest)).alias("_text"))
-    own = {"text": F.col("_text")}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "source", "text", place(seed).alias("_u"))
+    sizes = rows.select("source", bin_of(F.col("_u")).alias("bin"), words(F.col("text")).alias("size")).groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    away, edge = planned(rows, plan(sizes, weights, share, max_epochs))
+    copies = F.col("_repeats") + F.when(F.col("_full"), 1).otherwise(0)
+    out = away.where(F.col("text").rlike(WORD)).select("_row", F.explode(F.array_repeat(F.lit(None).cast("string"), copies.cast("int"))).alias("_text"))
+    edge = edge.withColumn("size", words(F.col("text")))
+    edge = edge.withColumn("_part", part_taken(F.col("size")))
+    whole = F.when(F.col("size") > 0, F.col("_repeats") + F.when(F.col("_part") == F.col("size"), 1).otherwise(0)).otherwise(0).cast("int")
+    first = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest("_part", F.lit(1)).cast("int"))
+    rest = F.when((F.col("_part") > 0) & (F.col("_part") < F.col("size")), F.array(F.array_join(first, " "))).otherwise(F.array().cast("array<string>"))
+    cuts = edge.select("_row", F.explode(F.concat(F.array_repeat(F.lit(None).cast("string"), whole), rest)).alias("_text"))
+    out = out.unionAll(cuts)
+    own = {"text": F.coalesce("_text", F.col("_row.text"))}
     if "n_chars" in columns:
-        own["n_chars"] = F.length("_text").cast(dict(docs.dtypes)["n_chars"])
+        own["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.length("_row.text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*[own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
 
 
@@ -116,7 +164,7 @@ def op5_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS u
+         ('0x' || substring(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS u
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS w FROM s),

@@ -23,6 +23,8 @@ from docloom.llm.labelled import training_texts
 PASSAGE = 64
 #: Labelled documents to learn from at most, and how.
 SAMPLE, EPOCHS, RATE, DECAY, SEED = 4000, 200, 0.02, 1e-4, 5
+#: Passages of a document to learn from at most, spread evenly over it; scores take all passages.
+MOST_PASSAGES = 128
 HIDDEN, ATTENTION = 16, 8
 #: Signs that get a class of their own; other bytes: letters of either case, digits, blanks, line
 #: ends, the rest of ASCII, and bytes of longer characters.
@@ -150,15 +152,16 @@ def learn(x: np.ndarray, row: np.ndarray, labels: np.ndarray, epochs: int = EPOC
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, quality) to (label, passages, features as float32 bytes), a row for each document."""
+    """(doc_id, text, quality) to (label, features of passages as float32 bytes), a row for each document."""
     for batch in batches:
         labels = batch.column(2)
         for chunk in words.chunks(batch.column(1)):
             x, row = passages(chunk)
             begin = np.searchsorted(row, np.arange(chunk.rows + 1))
             x = x.astype(np.float32)
+            spread = [a + np.arange(min(b - a, MOST_PASSAGES)) * (b - a) // min(b - a, MOST_PASSAGES) for a, b in zip(begin[:-1], begin[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(chunk.first, chunk.rows), labels.slice(chunk.first, chunk.rows), pa.array([x[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())],
+                [batch.column(0).slice(chunk.first, chunk.rows), labels.slice(chunk.first, chunk.rows), pa.array([x[s].tobytes() for s in spread], pa.binary())],
                 names=["doc_id", "label", "x"],
             )
 
@@ -166,7 +169,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttention:
     """Learn from at most ``sample`` labelled documents outside fold 1, on the driver.
 
-    The features of a passage are about 200 bytes, so the sample is some 20 MB for usual texts.
+    Of a long document ``MOST_PASSAGES`` passages take part, so the sample is at most ``sample`` x
+    ``MOST_PASSAGES`` x 200 bytes (100 MB), some 20 MB for usual texts.
     """
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
@@ -181,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttent
 def score(docs: DataFrame, model: GatedAttention, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, columns of ``carry``, and score (0 to 1) for each row; null and empty texts get one too.
 
-    One pass without a shuffle; a row's score follows from its text alone.
+    One pass without a shuffle; a row's score follows from its text alone, so equal texts tie. Texts
+    of any length are taken whole, in memory of about 60 bytes a byte; no rows give none.
     """
     ship(docs.sparkSession)
 

@@ -253,7 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, counts, base_failed, rule (0: none) and kept for each row of ``docs``.
 
-    A null or empty text has no words and so fails the base rules. Equal rows get equal results.
+    A null or empty text has no words and so fails the base rules. A row's result follows from its
+    text alone, so equal texts get equal results; null and repeated ids stay rows of their own, other
+    columns are ignored, no rows give none. Texts of any length are counted whole, in memory of about
+    60 bytes a byte.
     """
     rules = fit(docs, labels, sample)
     out = statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))

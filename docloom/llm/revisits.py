@@ -42,12 +42,19 @@ def canonical_url(url: Column) -> Column:
     return F.when(host == "", url).otherwise(F.concat(host, path, asked))
 
 
+def lower_names(headers: Column) -> Column:
+    """A map with lower-case keys; of several spellings of a name the last by code point stays."""
+    entries = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, last))
+
+
 def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every revisit of ``records`` with its response.
 
     records: record_id, kind ('response' or 'revisit'), url, ts (bigint), status, etag,
-    last_modified, digest (of the payload), headers (map of lower-cased names). Other columns are
-    ignored. Returns, for each revisit, record_id, url (canonical), ts, ref_id, ref_ts, outcome,
+    last_modified, digest (of the payload), headers (map of names in either case; of names that
+    differ in case only, the last by code point counts). Other columns are ignored. Returns, for each revisit, record_id, url (canonical), ts, ref_id, ref_ts, outcome,
     status, digest and headers (merged).
 
     outcome: 'resolved'; 'mismatch' if the latest earlier response has other validators;
@@ -56,7 +63,7 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     date, the date before the digest. Captures at the same ts are not earlier; of responses at the
     same ts, the greatest record_id counts. A null URL or ts finds nothing.
     """
-    rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), "ts", "status", "etag", "last_modified", "digest", "headers")
+    rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), "ts", "status", "etag", "last_modified", "digest", lower_names(F.col("headers")).alias("headers"))
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull() & F.col("url").isNotNull()
     rows = rows.where(full | (F.col("kind") == "revisit"))
     # Revisits without a URL or a time stay, spread out, and find nothing.

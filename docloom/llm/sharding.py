@@ -48,21 +48,23 @@ def assign(df: DataFrame, key: str, shards: int = SHARDS) -> DataFrame:
     return df.withColumns({"shard": jump_hash(k, shards), "grown_shard": jump_hash(k, shards + 1)})
 
 
-def slots(df: DataFrame, order: list[str], key: str, bins: int = BINS) -> DataFrame:
+def slots(df: DataFrame, order: list[str], key: str, salt: Column, bins: int = BINS) -> DataFrame:
     """``df`` (with ``shard``) plus ``slot``, gapless from 0 in each shard.
 
-    Rows are counted by (shard, bin of the key's hash) with partial aggregation; a bin's offset is
-    the running sum over that table, which has at most shards x bins rows and so is safe to
-    broadcast. Rows are ranked inside their bin only, so a task sorts 1 / (shards x bins) of them.
-    Rows that share a key share a bin; equal rows get consecutive slots in either order.
+    Rows are counted by (shard, bin) with partial aggregation; a bin's offset is the running sum over
+    that table of shards x bins rows at most. Rows are ranked inside their bin only, so a task sorts
+    1 / (shards x bins) of them. The join with the offsets and the ranking go by the same key, so
+    they share one exchange. A row's bin follows from its key's hash and ``salt`` (a whole number), so
+    rows that share a key, or have none, share a bin only if they have the same salt too; equal rows
+    get consecutive slots in either order.
     """
-    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 17, 8), 16, 10).cast("bigint") % bins
-    df = df.withColumn("_bin", bucket)
+    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 17, 8), 16, 10).cast("bigint")
+    df = df.withColumn("_bin", (bucket + salt) % bins)
     per_bin = df.groupBy("shard", "_bin").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bin.select("shard", "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     ranked = Window.partitionBy("shard", "_bin").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    out = df.join(F.broadcast(offsets), ["shard", "_bin"])
+    out = df.join(offsets, ["shard", "_bin"])
     return out.withColumn("slot", (F.col("_offset") + F.row_number().over(ranked) - 1).cast("bigint")).drop("_bin", "_offset")
 
 
@@ -70,11 +72,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bins: int = BINS) ->
     """Manifest of ``docs`` over ``shards``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     A null text has size 1 and crc 0, like an empty one; a null doc_id hashes as an empty key.
-    Rows that repeat a doc_id go to the same shard. Columns other than doc_id and text are ignored.
+    Rows that repeat a doc_id go to the same shard. Columns other than doc_id and text are ignored;
+    no rows give none. Texts of any length take part by their size and crc only.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    out = slots(assign(rows, "doc_id", shards), ["doc_id", "text_crc32", "size"], "doc_id", bins)
+    out = slots(assign(rows, "doc_id", shards), ["doc_id", "text_crc32", "size"], "doc_id", F.col("text_crc32"), bins)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -89,7 +92,7 @@ WITH RECURSIVE c0(n, c, k) AS (
 tab AS (SELECT list(c ORDER BY n) AS tab FROM c0 WHERE k = 8),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents),
 b AS (SELECT d.*, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS h FROM d),
-s AS (SELECT r, doc_id, strlen(text) + 1 AS size, ('0x' || substring(m, 17, 8))::BIGINT % 4096 AS bin,
+s AS (SELECT r, doc_id, strlen(text) + 1 AS size, ('0x' || substring(m, 17, 8))::BIGINT AS half,
              xor(4294967295, list_reduce(h, lambda a, x: xor(a >> 8, tab[1 + (xor(a, x) & 255)]), 4294967295::BIGINT)) AS text_crc32 FROM b, tab),
 j(r, n, b, j, k) AS (
   SELECT r, n, -1::BIGINT, 0::BIGINT, ('0x' || substring(m, 1, 16))::UBIGINT::HUGEINT FROM d, (VALUES (16), (17)) v(n)
@@ -98,6 +101,6 @@ j(r, n, b, j, k) AS (
   FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM j WHERE j < n)),
 p AS (SELECT r, max(b) FILTER (WHERE n = 16) AS shard, max(b) FILTER (WHERE n = 17) AS grown FROM j WHERE j >= n GROUP BY r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY bin, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown AS INT) AS grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY (half + text_crc32) % 4096, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown AS INT) AS grown_shard
 FROM s JOIN p USING (r)
 """

@@ -1,6 +1,7 @@
 """Quality model, decision lists, language identification, tokens: brute force and held-out accuracy."""
 
 import base64
+import math
 import random
 import re
 import zlib
@@ -67,6 +68,115 @@ def test_quality_model_of_odd_tables(spark, corpus):
     assert quality_model.judge(docs.where("doc_id < 0"), labels).count() == 0
 
 
+def test_scores_by_hand(spark, corpus):
+    """The forward pass of the learned model in plain Python, from the text on."""
+    docs, labels, _ = corpus
+    model = quality_model.fit(docs, labels)
+    w = {k: v.tolist() for k, v in model.weights.items()}
+    classes = [*range(quality_model.CLASSES)]
+
+    def features(body):
+        words_ = list(re.finditer(rb"[^\x20\x09-\x0D]+", body))
+        groups = [words_[i : i + 64] for i in range(0, len(words_), 64)] or [[]]
+        starts = [0, *(g[0].start() for g in groups[1:])]
+        out = []
+        for g, a, b in zip(groups, starts, [*starts[1:], len(body) + 1], strict=True):
+            part = (body + b"\n")[a:b]  # a text is ended by a line end
+            by = Counter(int(quality_model._CLASS[c]) for c in part)
+            x = [math.sqrt(by[c] / max(1, len(part))) for c in classes]
+            ws, n = [m[0] for m in g], max(1, len(g))
+            before = [words_[i - 1][0] if i else None for i in range(words_.index(g[0]), words_.index(g[0]) + len(g))] if g else []
+            lengths = [len(t) for t in ws]
+            mean = sum(lengths) / n
+            x += [math.log1p(len(g)) / 4, sum(p == q for p, q in zip(ws, before, strict=True)) / n, len(set(ws)) / n, mean / 8]
+            x += [math.sqrt(max(0, sum(v * v for v in lengths) / n - mean**2)) / 4, sum(65 <= t[0] <= 90 for t in ws) / n, sum(v <= 2 for v in lengths) / n, sum(v >= 12 for v in lengths) / n]
+            out.append(x)
+        return out
+
+    def layer(x, m, b=None):
+        return [sum(xi * row[j] for xi, row in zip(x, m, strict=True)) + (b[j] if b else 0) for j in range(len(m[0]))]
+
+    def score(text):
+        hidden, energy = [], []
+        for x in features((text or "").encode()):
+            x = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale, strict=True)]
+            h = [math.tanh(v) for v in layer(x, w["w"], w["b"])]
+            gate = [math.tanh(t) / (1 + math.exp(-s)) for t, s in zip(layer(h, w["v"]), layer(h, w["u"]), strict=True)]
+            hidden.append(h)
+            energy.append(sum(a * g for a, g in zip(w["a"], gate, strict=True)))
+        share = [math.exp(e - max(energy)) for e in energy]
+        z = [sum(s * h[j] for s, h in zip(share, hidden, strict=True)) / sum(share) for j in range(len(hidden[0]))]
+        return 1 / (1 + math.exp(-sum(c * v for c, v in zip(w["c"], z, strict=True)) - w["d"]))
+
+    rng = random.Random(5)
+    texts = [None, "", " \n", "one", "a a B " * 200, sentence(rng, "cc", 333), "long" * 50_000, "w x " * 20_000]
+    df = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(texts)], DOCS).repartition(2)
+    got = {r.doc_id: r.score for r in quality_model.score(df, model).collect()}
+    assert got == pytest.approx({i: score(t) for i, t in enumerate(texts)}, abs=1e-9)
+
+
+def test_language_by_hand(spark, corpus):
+    """Counts, scores and paths in plain Python: the prediction of every row of the table."""
+    docs, _, _ = corpus
+    rows = [r for r in docs.collect()]
+    rows += [type(rows[0])(**{**rows[0].asDict(), "doc_id": 5000, "text": "sch ung  ka-lo!\tда"}), type(rows[0])(**{**rows[0].asDict(), "doc_id": 5001, "text": "ka lo mi " * 40_000})]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    langs = sorted({r.lang for r in rows if r.lang and not (held_out(r.doc_id) if r.doc_id is not None else held_out(""))})
+
+    def pieces(text):
+        """(word, trigrams that begin in it, letters, script)."""
+        body = text.encode()
+        low = re.sub(rb"[\x09-\x0D]", b" ", body).lower() if body.isascii() else bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in body)
+        framed = b" " + low + b"    "
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", body):
+            word = m[0].decode()
+            scripts = [int(language._SCRIPT[np.searchsorted(language._FIRST, ord(c), "right") - 1]) for c in word if c.isalpha()]
+            yield [framed[i : i + 3] for i in range(m.start(), m.end())], len(scripts), max(scripts, default=0)
+
+    def bucket(gram):
+        chunk = next(words.chunks(pa.array([gram[1:] + b"x"])))
+        return int(language.buckets_of_bytes(chunk)[0]) if gram[0] == 32 else int(language.buckets_of_bytes(next(words.chunks(pa.array([gram]))))[1])
+
+    names = {}
+    counts, scripts = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for r in rows:
+        if r.lang in counts and not held_out("" if r.doc_id is None else r.doc_id):
+            for grams_, n, kind in pieces(r.text or ""):
+                if n:
+                    scripts[r.lang][kind] += 1
+                    for g in grams_:
+                        counts[r.lang][names.setdefault(g, bucket(g))] += 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    cost = lambda x, b: math.log((counts[x][b] + 0.5) / (total[x] + 0.5 * language.BUCKETS))
+    usual = {x: {k for k, n in c.items() if n >= language.SCRIPT_SHARE * max(1, sum(c.values()))} for x, c in scripts.items()}
+
+    def predict(text):
+        best, letters = None, []
+        back = []
+        for grams_, n, kind in pieces(text or ""):
+            some = any(kind in usual[x] for x in langs)
+            own = [(sum(cost(x, names.setdefault(g, bucket(g))) for g in grams_) - (1e4 if some and kind not in usual[x] else 0)) if n else 0.0 for x in langs]
+            letters.append(n)
+            if best is None:
+                best = own
+            else:
+                top = max(best) - language.PENALTY
+                back.append([i if best[i] >= top else best.index(max(best)) for i in range(len(langs))])
+                best = [max(b, top) + o for b, o in zip(best, own, strict=True)]
+        if not sum(letters):
+            return "und", 0.0
+        at = best.index(max(best))
+        by = [0] * len(langs)
+        for i in range(len(letters) - 1, -1, -1):
+            by[at] += letters[i]
+            if i:
+                at = back[i - 1][at]
+        return langs[by.index(max(by))], max(by) / sum(by)
+
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in language.identify(df).collect())
+    assert got == Counter((r.doc_id, *(lambda p: (p[0], round(p[1], 6)))(predict(r.text))) for r in rows)
+
+
 def test_attention_finds_the_bad_passage():
     rng = random.Random(2)
     good = [sentence(rng, "aa", 300) for _ in range(60)]

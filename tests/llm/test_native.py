@@ -18,6 +18,27 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, s, "en", "x", "y", "z", None) for i, t, s in rows], DOCS)
 
 
+def test_slots_of_rows_without_an_id(spark):
+    """Rows that share an id are dealt to many bins by their text."""
+    df = frame(spark, [(None, f"text {i}", "s") for i in range(3000)] + [(4, f"t{i}", "s") for i in range(500)])
+    got = sharding.shard_documents(df, bins=64).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(slots) <= 2 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    plan = sharding.shard_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hint" not in sharding.shard_documents(df)._jdf.queryExecution().logical().toString().lower() and "Window" in plan
+
+
+def test_header_names_in_either_case(spark):
+    rows = [
+        (1, "response", "http://x.org/a", 1, 200, '"e"', None, "p", {"ETag": '"e"', "Content-Type": "text/html", "content-type": "text/plain", "Server": "s"}),
+        (2, "revisit", "http://x.org/a", 2, 304, '"e"', None, None, {"ETAG": 'W/"e"', "Date": "d", "SERVER": "t"}),
+    ]
+    r = revisits.resolve(spark.createDataFrame([(*r, "own") for r in rows], RECORDS)).first()
+    assert r.outcome == "resolved" and r.headers == {"etag": 'W/"e"', "date": "d", "content-type": "text/plain", "server": "s"}
+
+
 def jump(key, n):
     """The published algorithm on 64-bit integers."""
     b, j = -1, 0
@@ -111,6 +132,33 @@ def test_the_mix_itself(spark):
     assert words == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_the_mix_of_rows_without_ids_and_texts(spark):
+    """Null and repeated ids, null sources and texts: the rows of the mix have the words of the plan."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"v{rng.randrange(9)}" for _ in range(rng.randrange(12)))
+    rows = [(rng.choice([None, None, 3, i]), rng.choice([text(), text(), None, "same words here"]), rng.choice(["a", "b", None])) for i in range(400)]
+    rows += [(None, "x y", "one")] * 7 + [(None, None, "none"), (None, " ", "none")]
+    df = frame(spark, rows).repartition(5)
+    taken, mixed, sizes = Counter(), Counter(), Counter()
+    key = {(i, t): s for i, t, s in rows}
+    for r in mixing.mix_documents(df).collect():
+        taken[r.source_size, r.target] += r.taken
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    goals = fill(sizes, (3, 1, 2), 1.5, 2)
+    for r in mixing.repeated_documents(df).collect():
+        mixed[r.source] += len(r.text.split())
+    assert key and all(abs(mixed[s] - goals[s]) <= 0.51 for s in sizes)
+    assert sum(taken.values()) == sum(mixed.values())
+    assert mixing.repeated_documents(frame(spark, [])).count() == 0
+
+
+def test_only_the_edge_of_a_source_is_shuffled(spark):
+    df = frame(spark, [(i, "some words", "ab"[i % 2]) for i in range(50)])
+    plan = mixing.repeated_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
 RECORDS = "record_id bigint, kind string, url string, ts bigint, status int, etag string, last_modified string, digest string, headers map<string,string>, outcome string"
 
 
