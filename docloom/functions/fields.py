@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import operator
 from functools import reduce
 from typing import Any
 
@@ -40,6 +41,21 @@ def kind_of(value: Any) -> str:
     raise TypeError(f"unsupported operand {value!r}")
 
 
+ORDER = {"$eq": operator.eq, "$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
+
+
+def as_time(value: Any) -> dt.datetime | None:
+    """A date, a time or ISO text as a time; None if the text is neither."""
+    if isinstance(value, dt.datetime):
+        return value
+    if isinstance(value, dt.date):
+        return dt.datetime(value.year, value.month, value.day)
+    try:
+        return dt.datetime.fromisoformat(value)
+    except (TypeError, ValueError):
+        return None
+
+
 def sure(condition: Column) -> Column:
     """Null as false."""
     return F.coalesce(condition, false())
@@ -65,14 +81,17 @@ class Field:
     def equals_nested(self, value: Any) -> Column:
         raise NotImplementedError
 
+    def is_time(self) -> bool:
+        """Whether the values are known to be points in time."""
+        return False
+
     def equals(self, value: Any) -> Column:
         kind = kind_of(value)
         if kind == "null":
             return self.is_null()
         if kind in ("list", "object"):
             return self.equals_nested(value)
-        c = self.as_kind(kind, value)
-        return false() if c is None else c == F.lit(value)
+        return self.compare("$eq", value)
 
     def compare(self, op: str, value: Any, strict: bool = False) -> Column:
         kind = kind_of(value)
@@ -81,8 +100,7 @@ class Field:
             if strict:
                 raise TypeError(f"{op} can't compare with {value!r} here")
             return false()
-        v = F.lit(value)
-        return {"$gt": c > v, "$gte": c >= v, "$lt": c < v, "$lte": c <= v}[op]
+        return ORDER[op](c, F.lit(value))
 
     def one_of(self, values: list) -> Column:
         by_kind: dict[str, list] = {}
@@ -94,6 +112,8 @@ class Field:
                 parts.append(self.is_null())
             elif kind in ("list", "object"):
                 parts += [self.equals(v) for v in own]
+            elif self.is_time():
+                parts += [self.equals(v) for v in own]
             elif (c := self.as_kind(kind, own[0])) is not None:
                 parts.append(c.isin(own))
         return reduce(lambda a, b: a | b, parts) if parts else false()
@@ -118,12 +138,27 @@ class TypedField(Field):
         if isinstance(own, (T.StringType, T.CharType, T.VarcharType)):
             return self.c if kind == "string" else None
         if isinstance(own, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            if kind == "time":
+            if kind == "time" or (kind == "string" and as_time(value)):
                 return self.c
-            if kind == "string":  # times are ISO text to a caller without dates
-                return F.date_format(self.c, "yyyy-MM-dd'T'HH:mm:ss") if "T" in value else F.date_format(self.c, "yyyy-MM-dd")
         return None
 
+    def is_time(self) -> bool:
+        return isinstance(self.dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+    def compare(self, op: str, value: Any, strict: bool = False) -> Column:
+        """Times and ISO text are compared with a bare column as literals, so that scans can skip by them."""
+        at = as_time(value) if self.is_time() and kind_of(value) in ("time", "string") else None
+        if at is None:
+            return super().compare(op, value, strict)
+        if isinstance(self.dtype, T.DateType):
+            day, whole = F.lit(at.date()), at.time() == dt.time()
+            if whole:
+                return ORDER[op](self.c, day)
+            # Between two days: what is after the time is after its day.
+            return false() if op == "$eq" else ORDER["$gt" if op in ("$gt", "$gte") else "$lte"](self.c, day)
+        kind = "timestamp_ntz" if isinstance(self.dtype, T.TimestampNTZType) else "timestamp"
+        return ORDER[op](self.c, F.lit(at.isoformat(" ")).cast(kind))
+
     def text(self) -> Column:
         if self.c is None or isinstance(self.dtype, (T.ArrayType, T.StructType, T.MapType, T.BinaryType)):
             return F.lit(None).cast("string")

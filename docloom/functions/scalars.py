@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that full-text search leaves out.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "will", "with"]
 SHORTEST = 3
+#: Fixed value: rounds of key derivation.
+KEY_ROUNDS = 100_000
 #: Fixed value: keeps the cosine of zero vectors finite.
 EPSILON = 1e-10
 
 
+TOKEN = rf"(?U)\b(?!(?:{'|'.join(w for w in STOP_WORDS if len(w) >= SHORTEST)})\b)\w{{{SHORTEST},}}"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case words of at least 3 characters without stop words, in order, repeats kept."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w+\b"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) >= SHORTEST) & ~t.isin(STOP_WORDS))
+    """Lower-case words of at least 3 characters without stop words, in order, repeats kept.
+
+    One pattern does all of it: lambdas over elements would run outside generated code.
+    """
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def _sum(values: Column) -> Column:
@@ -66,6 +75,16 @@ def short_id(*natural_key: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 16)
 
 
+def derive_key(password: str, salt: bytes, iterations: int = KEY_ROUNDS, size: int = 32) -> bytes:
+    """A key from a password, on the driver: PBKDF2 with HMAC-SHA256."""
+    return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, iterations, size)
+
+
+def array_union(a: Column, b: Column) -> Column:
+    """Elements of both arrays, each once; a null array counts as empty if the other is there."""
+    return F.coalesce(F.array_union(a, b), F.array_distinct(a), F.array_distinct(b))
+
+
 def encrypt(column: Column, key: bytes) -> Column:
     """AES-GCM: 12 bytes of nonce, ciphertext, 16 bytes of tag. Null stays null."""
     return F.aes_encrypt(column.cast("binary"), F.lit(key), F.lit("GCM"))

@@ -1,28 +1,35 @@
-"""Exact vector search: score every row in an expression, keep the best k.
+"""Exact vector search: score every row in blocks, keep the best k of each task.
 
-Scoring is one narrow stage in the JVM and the best k of every task meet in ``TakeOrderedAndProject``,
-so a search moves k rows a task. Several queries at once are broadcast in blocks of bounded size and
-ranked with a grouped limit before the shuffle.
+Vectors go to NumPy in Arrow batches, where a block of them meets all queries in one matrix product
+(about 40 times as fast as folding arrays in expressions; see the README). A task keeps the k best
+rows of each query, so a search moves k rows a query and task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import scalars
 from docloom.plans.filters import find
 
 METRICS = ("cosine", "l2", "ip")
-#: Queries are broadcast in blocks of about so many bytes.
-MOST_QUERY_BYTES = 64 << 20
+#: Queries are sent to all executors in blocks of about so many bytes.
+MOST_QUERY_BYTES = 16 << 20
+#: Rows and queries of one matrix product; scores within this of the k-th are computed again one by one.
+ROWS, QUERIES, SLACK = 4096, 1024, 1e-9
 
 
 def similarity(a: Column, b: Column, metric: str) -> Column:
-    """Greater is closer: cosine, 1 / (1 + squared distance), or the inner product."""
+    """Greater is closer: cosine, 1 / (1 + squared distance), or the inner product. For single pairs of columns."""
     if metric == "cosine":
         return scalars.cosine(a, b)
     if metric == "l2":
@@ -32,6 +39,110 @@ def similarity(a: Column, b: Column, metric: str) -> Column:
     raise ValueError(f"metric is one of {METRICS}")
 
 
+def rough(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """(queries, rows) scores by one matrix product, right but for the last digits."""
+    dots = q @ x.T
+    if metric == "ip":
+        return dots
+    xx, qq = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
+    if metric == "l2":
+        return 1.0 / (1.0 + np.maximum(0.0, qq[:, None] + xx[None, :] - 2 * dots))
+    return dots / (np.sqrt(qq)[:, None] * np.sqrt(xx)[None, :] + scalars.EPSILON)
+
+
+def exact(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of paired rows, alike wherever a row stands, so that equal vectors tie."""
+    if metric == "l2":
+        return 1.0 / (1.0 + ((x - q) ** 2).sum(axis=1))
+    dots = (x * q).sum(axis=1)
+    if metric == "ip":
+        return dots
+    return dots / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)) + scalars.EPSILON)
+
+
+def best_of(x: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of each query; ties go to the first row."""
+    out: list[tuple] = []
+    for low in range(0, len(q), QUERIES):
+        part = q[low : low + QUERIES]
+        s = rough(x, part, metric)
+        if k < len(x):
+            floor = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
+            i, j = np.nonzero(s >= (floor - SLACK * (1 + np.abs(floor)))[:, None])
+        else:
+            i, j = (a.ravel() for a in np.indices(s.shape))
+        score = exact(x[j], part[i], metric)
+        order = np.lexsort((j, -score, i))
+        i, j, score = i[order], j[order], score[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = (rank < k) & ~np.isnan(score)
+        out.append((i[keep] + low, j[keep], score[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, vectors) of those of the right length and without nulls."""
+    size = column.value_lengths()
+    right = np.array(size.fill_null(-1)) == dims
+    rows = np.flatnonzero(right)
+    flat = column.take(pa.array(rows)).flatten()
+    if flat.null_count:
+        holes = np.array(flat.is_null()).reshape(len(rows), dims).any(axis=1)
+        rows = rows[~holes]
+        flat = column.take(pa.array(rows)).flatten()
+    return rows, flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dims)
+
+
+def _search(queries: np.ndarray, k: int, metric: str, score: str):
+    """(id, vector, ...) rows to the k best for each query in this task: query number, score and the rows without the vector."""
+    dims = queries.shape[1]
+
+    def pruned(parts: list[pa.Table]) -> pa.Table:
+        """The k best of each query; rows come in order of id within equal scores by a sort on all."""
+        t = pa.concat_tables(parts)
+        t = t.sort_by([("_q", "ascending"), (score, "descending"), (t.schema.names[2], "ascending")])
+        q = t.column("_q").to_numpy()
+        return t.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        count = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                part = part.take(pa.compute.sort_indices(part.column(0)))  # ties go to the least id
+                rows, x = _matrix(part.column(1), dims)
+                if not len(rows):
+                    continue
+                i, j, s = best_of(x, queries, k, metric)
+                kept = part.take(pa.array(rows[j]))
+                names = [n for n in part.schema.names if n != "_vector"]
+                held.append(pa.table([pa.array(i), pa.array(s), *[kept.column(n) for n in names]], names=["_q", score, *names]))
+                count += len(i)
+            if count > 4 * k * len(queries) + ROWS:
+                held = [pruned(held)]
+                count = held[0].num_rows
+        if held:
+            yield from pruned(held).combine_chunks().to_batches()
+
+    return run
+
+
+def _scored(df: DataFrame, queries: np.ndarray, k: int, metric: str, vector: str, id_col: str, score: str, columns: list[str]) -> DataFrame:
+    """(_q, score, id, columns): the k best rows of each task for each query."""
+    kind = df.schema[vector].dataType
+    v = F.col(f"`{vector}`") if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)) else F.col(f"`{vector}`").cast("array<double>")
+    rest = [c for c in columns if c != id_col]
+    src = df.where(F.size(vector) == queries.shape[1]).select(F.col(f"`{id_col}`"), v.alias("_vector"), *[F.col(f"`{c}`") for c in rest])
+    kinds = dict(src.dtypes)
+    schema = f"_q bigint, `{score}` double, " + ", ".join(f"`{c}` {kinds[c]}" for c in [id_col, *rest])
+    return src.mapInArrow(_search(queries, k, metric, score), schema)
+
+
+def _variants(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.VariantType)]
+
+
 def knn(
     df: DataFrame,
     query: list[float],
@@ -47,8 +158,8 @@ def knn(
     """The k rows most similar to ``query``, best first, ties in order of id, without the vector.
 
     ``filter_mode='post'`` filters the best k, so fewer may come back; ``'pre'`` searches among the
-    rows that match. Rows whose vector is null or of another length are left out. ``dims`` checks
-    the query's length.
+    rows that match. Rows whose vector is null, holds a null or is of another length are left out.
+    ``dims`` checks the query's length.
     """
     if dims is not None and len(query) != dims:
         raise ValueError(f"the vector has {len(query)} dimensions, not {dims}")
@@ -56,34 +167,54 @@ def knn(
         raise ValueError("k can't be negative")
     if filter_mode not in ("post", "pre"):
         raise ValueError("filter_mode is 'post' or 'pre'")
-    q = F.array(*[F.lit(float(x)) for x in query])
+    if metric not in METRICS:
+        raise ValueError(f"metric is one of {METRICS}")
     rows = find(df, filter) if filter and filter_mode == "pre" else df
-    rows = rows.where(F.size(vector) == len(query)).withColumn(score, similarity(F.col(vector), q, metric)).where(F.col(score).isNotNull())
-    best = rows.drop(vector).orderBy(F.col(score).desc(), F.col(id_col).asc()).limit(k)
+    columns = [c for c in df.columns if c != vector]
+    if not k:
+        return rows.select(*[F.col(f"`{c}`") for c in columns], F.lit(0.0).alias(score)).where(F.lit(False))
+    # VARIANT goes through Arrow as its text.
+    loose = _variants(df)
+    rows = rows.withColumns({c: F.to_json(c) for c in loose}) if loose else rows
+    best = _scored(rows, np.array([query], np.float64), k, metric, vector, id_col, score, columns)
+    best = best.orderBy(F.col(score).desc(), F.col(f"`{id_col}`").asc()).limit(k)
+    best = best.withColumns({c: F.parse_json(c) for c in loose}) if loose else best
+    best = best.select(*[F.col(f"`{c}`") for c in columns], score)
     return find(best, filter) if filter and filter_mode == "post" else best
 
 
 def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", vector: str = "vector", id_col: str = "_id", query_id: str = "query_id", query_vector: str = "query_vector", score: str = "similarity") -> DataFrame:
-    """(query_id, rank, id, score): the k best rows of ``df`` for each row of ``queries``.
+    """(query_id, id, score, rank): the k best rows of ``df`` for each row of ``queries``.
 
-    Any number of queries: blocks of them, dealt out by a hash of the id, are sent to all executors
-    in turn, and ``df`` is read once for each block. Rows are compared with queries as they are read;
-    a grouped limit keeps k rows for each query and task before the shuffle by query.
+    Any number of queries, of any lengths: they are taken in blocks of ``MOST_QUERY_BYTES``, dealt out
+    by a hash of the id. Each block goes through the driver to all executors, and ``df`` is read once
+    for it. A task keeps k rows for each query before the shuffle by query.
     """
-    n, longest = queries.agg(F.count("*"), F.max(F.size(query_vector))).first()
-    blocks = max(1, -(-n * max(longest or 0, 0) * 8 // MOST_QUERY_BYTES))
-    q = queries.select(F.col(query_id), F.col(query_vector).alias("_q"))
-    w = Window.partitionBy(query_id).orderBy(F.col(score).desc(), F.col(id_col).asc())
-
-    def searched(part: DataFrame) -> DataFrame:
-        rows = df.select(F.col(id_col), F.col(vector).alias("_v")).join(F.broadcast(part), F.size("_v") == F.size("_q"))
-        rows = rows.select(query_id, id_col, similarity(F.col("_v"), F.col("_q"), metric).alias(score)).where(F.col(score).isNotNull())
-        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    if blocks == 1:
-        return searched(q)
-    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    return reduce(DataFrame.unionAll, [searched(q.where(block == b)) for b in range(blocks)])
+    if metric not in METRICS:
+        raise ValueError(f"metric is one of {METRICS}")
+    q = queries.select(F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("v")).where(F.size("v") > 0).where(F.forall("v", lambda x: x.isNotNull()))
+    sizes = q.groupBy(F.size("v").alias("dims")).count().collect()  # a row for each length
+    ids = dict(q.dtypes)["id"]
+    w = Window.partitionBy("_q").orderBy(F.col(score).desc(), F.col(id_col).asc())
+
+    def searched(part: DataFrame) -> DataFrame | None:
+        got = part.toPandas()
+        if not len(got):
+            return None
+        numbers = df.sparkSession.createDataFrame(list(enumerate(got["id"].tolist())), f"_q bigint, `{query_id}` {ids}")
+        rows = _scored(df, np.stack(got["v"].to_numpy()), k, metric, vector, id_col, score, [id_col])
+        rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return rows.join(F.broadcast(numbers), "_q").select(query_id, id_col, score, "rank")
+
+    found = []
+    for dims, n in sorted((r["dims"], r["count"]) for r in sizes):
+        blocks = max(1, -(-n * dims * 8 // MOST_QUERY_BYTES))
+        own = q.where(F.size("v") == dims)
+        found += [searched(own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else own) for b in range(blocks)]
+    found = [f for f in found if f is not None]
+    if not found:
+        return df.sparkSession.createDataFrame([], f"`{query_id}` {ids}, `{id_col}` {dict(df.dtypes)[id_col]}, `{score}` double, rank int")
+    return reduce(DataFrame.unionAll, found)
 
 
 def stats(df: DataFrame, vector: str = "vector") -> DataFrame:
