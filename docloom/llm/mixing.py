@@ -21,7 +21,7 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
 #: Bits of the hash that orders documents, and of its bins within a source.
-HASH_BITS, BIN_BITS = 60, 16
+HASH_BITS, BIN_BITS = 60, 12
 #: The plan (about 60 bytes a source) is sent to all executors for at most so many sources.
 MOST_BROADCAST = 1 << 17
 
