@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Roles from the least to the greatest, and the rate limit (tokens a second, burst).
 ROLES = ["guest", "read", "write", "admin"]
 RATE, BURST = 100.0, 200.0
+#: What each role may do everywhere.
+PERMISSIONS = {
+    "admin": ["read", "write", "delete", "create_collection", "drop_collection", "manage_users", "manage_indexes", "backup", "admin"],
+    "write": ["read", "write", "delete", "create_collection"],
+    "read": ["read"],
+    "guest": [],
+}
 
 
 def allowed(role: str, needed: str, grants: dict[str, str] | None = None, database: str | None = None) -> bool:
@@ -29,6 +40,19 @@ def permitted(rows: DataFrame, grants: DataFrame, user: str, needed: str = "read
     return rows.join(good, "database", "left_semi")
 
 
+def may(roles: DataFrame, grants: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (user, permission, collection, ...) with ``allowed``.
+
+    By the user's role in ``roles`` (user, role; none: guest; several: any), or by a grant (user,
+    permission, collection) for the collection. Semi-joins: a hot user is split as any skewed join.
+    """
+    known = asked.sparkSession.createDataFrame([(r, p) for r, ps in PERMISSIONS.items() for p in ps], "role string, permission string")
+    by_role = roles.join(F.broadcast(known), "role").select("user", "permission").distinct().withColumn("_role", F.lit(True))
+    by_grant = grants.where(F.col("permission").isin(PERMISSIONS["admin"])).select("user", "permission", "collection").distinct().withColumn("_grant", F.lit(True))
+    out = asked.join(by_role, ["user", "permission"], "left").join(by_grant, ["user", "permission", "collection"], "left")
+    return out.select(*asked.columns, (F.col("_role").isNotNull() | F.col("_grant").isNotNull()).alias("allowed"))
+
+
 AUDIT = "timestamp timestamp, event_type string, username string, collection string, document_id string, status string, details string"
 
 
@@ -49,16 +73,26 @@ def search_audit(spark: SparkSession, path: str, user: str | None = None, event_
 def over_rate(requests: DataFrame, key: str = "user", ts: str = "ts", per_second: float = RATE, burst: float = BURST) -> DataFrame:
     """(key, second, requests, allowed): requests of each second against a bucket of tokens.
 
-    The bucket holds ``burst`` tokens and gains ``per_second`` a second, seen second by second.
+    The bucket holds ``burst`` tokens and gains ``per_second`` a second, seen second by second. Requests
+    are counted by second before the shuffle; a key's seconds then pass in order, one number held for it.
     """
     by = requests.groupBy(key, F.date_trunc("second", ts).alias("second")).agg(F.count("*").alias("requests"))
-    w = Window.partitionBy(key).orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
-    times = by.withColumn("_all", F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("second").cast("timestamp")).alias("s"), F.col("requests").alias("n"))).over(w)))
-
-    def step(acc, x):
-        level = F.least(F.lit(burst), acc["level"] + (x["s"] - acc["s"]) * F.lit(per_second))
-        used = F.least(level, x["n"].cast("double"))
-        return F.struct((level - used).alias("level"), x["s"].alias("s"), used.alias("used"))
-
-    start = F.struct(F.lit(float(burst)).alias("level"), F.lit(0).cast("bigint").alias("s"), F.lit(0.0).alias("used"))
-    return times.select(key, "second", "requests", F.aggregate("_all", start, step)["used"].cast("bigint").alias("allowed"))
+    rows = by.select(key, F.unix_seconds(F.col("second").cast("timestamp")).alias("s"), "requests").repartition(key).sortWithinPartitions(key, "s")
+    kind = dict(by.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, level = object(), 0, burst
+        for batch in batches:
+            allowed = np.zeros(batch.num_rows, np.int64)
+            times, counts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, who in enumerate(batch.column(0).to_pylist()):
+                if who != own:
+                    own, last, level = who, times[i], burst
+                level = min(burst, level + (times[i] - last) * per_second)
+                last, used = times[i], min(level, counts[i])
+                allowed[i] = int(used)
+                level -= used
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed)], names=[key, "s", "requests", "allowed"])
+
+    out = rows.mapInArrow(run, f"`{key}` {kind}, s bigint, requests bigint, allowed bigint")
+    return out.select(key, F.timestamp_seconds("s").alias("second"), "requests", "allowed")

@@ -7,7 +7,7 @@ rows of each query, so a search moves k rows a query and task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
 
@@ -93,8 +93,11 @@ def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dims)
 
 
-def _search(queries: np.ndarray, k: int, metric: str, score: str):
-    """(id, vector, ...) rows to the k best for each query in this task: query number, score and the rows without the vector."""
+def _search(queries: np.ndarray, k: int, metric: str, score: str, readers: dict[int, np.ndarray] | None = None):
+    """(id, vector, ...) rows to the k best for each query in this task: query number, score and the rows without the vector.
+
+    With ``readers`` the third column is a list, and only the queries that it maps the list to meet the row.
+    """
     dims = queries.shape[1]
 
     def pruned(parts: list[pa.Table]) -> pa.Table:
@@ -114,7 +117,19 @@ def _search(queries: np.ndarray, k: int, metric: str, score: str):
                 rows, x = _matrix(part.column(1), dims)
                 if not len(rows):
                     continue
-                i, j, s = best_of(x, queries, k, metric)
+                if readers is None:
+                    i, j, s = best_of(x, queries, k, metric)
+                else:
+                    lists = part.column(2).to_numpy()[rows]
+                    found = []
+                    for n in np.unique(lists).tolist():
+                        own, who = np.flatnonzero(lists == n), readers.get(n, np.empty(0, np.int64))
+                        if len(who):
+                            i, j, s = best_of(x[own], queries[who], k, metric)
+                            found.append((who[i], own[j], s))
+                    if not found:
+                        continue
+                    i, j, s = (np.concatenate(c) for c in zip(*found, strict=True))
                 kept = part.take(pa.array(rows[j]))
                 names = [n for n in part.schema.names if n != "_vector"]
                 held.append(pa.table([pa.array(i), pa.array(s), *[kept.column(n) for n in names]], names=["_q", score, *names]))
@@ -128,7 +143,7 @@ def _search(queries: np.ndarray, k: int, metric: str, score: str):
     return run
 
 
-def _scored(df: DataFrame, queries: np.ndarray, k: int, metric: str, vector: str, id_col: str, score: str, columns: list[str]) -> DataFrame:
+def _scored(df: DataFrame, queries: np.ndarray, k: int, metric: str, vector: str, id_col: str, score: str, columns: list[str], readers: dict[int, np.ndarray] | None = None) -> DataFrame:
     """(_q, score, id, columns): the k best rows of each task for each query."""
     kind = df.schema[vector].dataType
     v = F.col(f"`{vector}`") if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)) else F.col(f"`{vector}`").cast("array<double>")
@@ -136,7 +151,7 @@ def _scored(df: DataFrame, queries: np.ndarray, k: int, metric: str, vector: str
     src = df.where(F.size(vector) == queries.shape[1]).select(F.col(f"`{id_col}`"), v.alias("_vector"), *[F.col(f"`{c}`") for c in rest])
     kinds = dict(src.dtypes)
     schema = f"_q bigint, `{score}` double, " + ", ".join(f"`{c}` {kinds[c]}" for c in [id_col, *rest])
-    return src.mapInArrow(_search(queries, k, metric, score), schema)
+    return src.mapInArrow(_search(queries, k, metric, score, readers), schema)
 
 
 def _variants(df: DataFrame) -> list[str]:
@@ -183,12 +198,13 @@ def knn(
     return find(best, filter) if filter and filter_mode == "post" else best
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", vector: str = "vector", id_col: str = "_id", query_id: str = "query_id", query_vector: str = "query_vector", score: str = "similarity") -> DataFrame:
+def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", vector: str = "vector", id_col: str = "_id", query_id: str = "query_id", query_vector: str = "query_vector", score: str = "similarity", by: str | None = None, readers: Callable | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k best rows of ``df`` for each row of ``queries``.
 
     Any number of queries, of any lengths: they are taken in blocks of ``MOST_QUERY_BYTES``, dealt out
     by a hash of the id. Each block goes through the driver to all executors, and ``df`` is read once
-    for it. A task keeps k rows for each query before the shuffle by query.
+    for it. A task keeps k rows for each query before the shuffle by query. ``readers`` maps queries (a
+    matrix) to those that read each value of column ``by``; else every query meets every row.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
@@ -202,7 +218,8 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cos
         if not len(got):
             return None
         numbers = df.sparkSession.createDataFrame(list(enumerate(got["id"].tolist())), f"_q bigint, `{query_id}` {ids}")
-        rows = _scored(df, np.stack(got["v"].to_numpy()), k, metric, vector, id_col, score, [id_col])
+        x = np.stack(got["v"].to_numpy())
+        rows = _scored(df, x, k, metric, vector, id_col, score, [id_col, *([by] if by else [])], readers(x) if readers else None)
         rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         return rows.join(F.broadcast(numbers), "_q").select(query_id, id_col, score, "rank")
 

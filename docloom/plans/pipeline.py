@@ -224,7 +224,7 @@ def _value(v: Any, fields: Fields) -> Column:
     """'$path', a constant, or {'$setUnion': ['$a', '$b']}: the elements of both arrays, each once."""
     if isinstance(v, dict) and list(v) == ["$setUnion"]:
         arrays = [fields(_path(p)) for p in v["$setUnion"]]
-        columns = [f.column() if isinstance(f, TypedField) else F.transform(F.try_variant_get(f.base, f.path, "array<variant>"), F.to_json) for f in arrays]
+        columns = [f.column() if isinstance(f, TypedField) else F.transform(F.try_variant_get(f.base, f.path, "array<variant>"), lambda e: F.to_json(e)) for f in arrays]
         return reduce(F.array_union, columns)
     return fields(v[1:]).column() if isinstance(v, str) and v.startswith("$") else F.lit(v)
 

@@ -1,30 +1,50 @@
 """Databases and collections over a log of commits.
 
-A collection is a folder of immutable Parquet commits with rows
-``(_id, _n, _op, _ts, _created, doc VARIANT, vector ARRAY<FLOAT>)`` under ``commits/_seq=...``. The
-state is the last version of each ``_id`` that is no deletion; the log itself is the change stream.
-A commit becomes visible as a whole when Spark's committer renames its files. One writer at a time.
+A collection is a folder with
+
+* ``commits/_seq=N``: immutable Parquet commits with rows ``(_id, _n, _op, _ts, _created, doc VARIANT,
+  vector ARRAY<FLOAT>)``. A commit is written aside and appears as a whole by one rename. The log is
+  the change stream; nothing but ``forget`` removes from it.
+* ``base/upto=N``: the state after commit N, sorted by ``_id``, made by ``compact``. A base counts once
+  its mark is written, so an interrupted compaction changes nothing.
+* ``collection.json``: dimensions, indexed fields, the salt of an encrypted collection.
+
+The state is the newest base without the ids that later commits name, and the last version of each
+of those. Versions are picked by ``(_id, _seq, _n)`` alone; filters reach the base's scan. Fields with an
+index are kept in typed columns of the base too, so conditions on them skip files and row groups.
+One writer at a time: of two writers of the same commit one fails.
 """
 
 from __future__ import annotations
 
+import base64
 import json
+import os
 import re
+import uuid
+import zlib
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import fulltext, vector
-from docloom.operators.latest import latest_per_key
-from docloom.plans import advice, filters, pipeline
+from docloom.functions import scalars
+from docloom.functions.fields import VariantField
+from docloom.operators import fulltext, ivf, vector
+from docloom.plans import explain, filters, pipeline
 from docloom.sources import toon
 
 LOG = "_id string, _n bigint, _op string, _ts timestamp, _created timestamp, doc variant, vector array<float>, _seq bigint"
+EVENTS = "op string, db string, coll string, ts timestamp"
+STATE = ["_id", "_created_at", "_updated_at", "doc", "vector"]
 DEFAULT_LIMIT = 100
 EXPORT_LIMIT = 10_000
 DEFAULT_DATABASE = "default"
-_NAME = re.compile(r"^\w[\w.-]*$")
+#: A log of more bytes than this is not joined with its newest versions, but rid of the older ones, if these are
+#: no more than so many (they are sent to all executors, 16 bytes each).
+LARGE_LOG, MOST_OLDER = 1 << 30, 1 << 21
+MARK = "_COMPLETE"
+_NAME = re.compile(r"^[^\W_][\w.-]*$")
 
 
 def _checked(name: str) -> str:
@@ -66,15 +86,24 @@ class Files:
         out.close()
 
     def read(self, path: str) -> str:
-        return "\n".join(r[0] for r in self.spark.read.text(path).collect())
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return text
 
-    def rename(self, a: str, b: str) -> bool:
+    def move(self, a: str, b: str) -> bool:
+        """Rename a folder to a name that must be free."""
         fs, p = self._at(a)
-        return fs.rename(p, self._at(b)[1])
+        to = self._at(b)[1]
+        if fs.exists(to):
+            return False
+        fs.mkdirs(to.getParent())
+        return fs.rename(p, to)
 
 
 class Store:
-    """All databases under a root folder."""
+    """All databases under a root folder. Names that begin with ``_`` are its own."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
@@ -89,12 +118,24 @@ class Store:
         return db
 
     def databases(self) -> list[str]:
-        return sorted({DEFAULT_DATABASE, *self.files.names(self.root)})
+        return sorted({DEFAULT_DATABASE, *(n for n in self.files.names(self.root) if not n.startswith("_"))})
 
     def drop_database(self, name: str) -> bool:
         if name == DEFAULT_DATABASE:
             raise ValueError("the default database can't be dropped")
-        return self.files.delete(f"{self.root}/{_checked(name)}")
+        db = self.database(name)
+        for c in db.collections():
+            self.record("drop", name, c)
+        return self.files.delete(db.path)
+
+    def record(self, op: str, db: str, coll: str) -> None:
+        """Add an event that is no change of a document to the store's own log."""
+        rows = self.spark.createDataFrame([(op, db, coll)], "op string, db string, coll string")
+        rows.withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/_events")
+
+    def events(self) -> DataFrame:
+        path = f"{self.root}/_events"
+        return self.spark.read.schema(EVENTS).parquet(path) if self.files.exists(path) else self.spark.createDataFrame([], EVENTS)
 
     def stats(self) -> dict[str, Any]:
         rows = {d: self.database(d).stats() for d in self.databases()}
@@ -105,20 +146,25 @@ class Database:
     def __init__(self, store: Store, name: str):
         self.store, self.name, self.path = store, name, f"{store.root}/{name}"
 
-    def collection(self, name: str, dims: int | None = None) -> Collection:
-        return Collection(self, _checked(name), dims)
+    def collection(self, name: str, dims: int | None = None, password: str | None = None) -> Collection:
+        return Collection(self, _checked(name), dims, password)
 
-    def create_collection(self, name: str, dims: int | None = None) -> Collection:
-        c = self.collection(name)
+    def create_collection(self, name: str, dims: int | None = None, password: str | None = None) -> Collection:
+        """With a password the documents (not ids, times and vectors) are encrypted in all files."""
+        c = self.collection(name, password=password)
         if not c.files.exists(f"{c.path}/collection.json"):
-            c.files.write(f"{c.path}/collection.json", json.dumps({"name": name, "vector_dimensions": dims, "indexes": []}))
+            salt = base64.b64encode(os.urandom(16)).decode() if password else None
+            c.files.write(f"{c.path}/collection.json", json.dumps({"name": name, "vector_dimensions": dims, "indexes": [], "salt": salt}))
         return c
 
     def collections(self) -> list[str]:
-        return self.store.files.names(self.path)
+        return [n for n in self.store.files.names(self.path) if not n.startswith("_")]
 
     def drop_collection(self, name: str) -> bool:
-        return self.store.files.delete(f"{self.path}/{_checked(name)}")
+        gone = self.store.files.delete(f"{self.path}/{_checked(name)}")
+        if gone:
+            self.store.record("drop", self.name, name)
+        return gone
 
     def stats(self) -> dict[str, Any]:
         names = self.collections()
@@ -134,13 +180,48 @@ class Database:
         return rows.where("vector is not null").groupBy("collection").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims"))
 
 
+class IndexedField(VariantField):
+    """A path whose typed values stand in columns of their own."""
+
+    def __init__(self, base: Column, path: str):
+        super().__init__(base, path)
+        self.name = index_name(path)
+
+    def as_kind(self, kind: str, value: Any) -> Column | None:
+        big = isinstance(value, int) and not isinstance(value, bool) and abs(value) > 1 << 53
+        return F.col(f"{self.name}_{kind}") if kind in INDEXED and not big else super().as_kind(kind, value)
+
+
+#: Kinds of values that an index keeps, with a value of each.
+INDEXED = {"number": 0, "string": "", "bool": True}
+
+
+def index_name(path: str) -> str:
+    return f"_ix{zlib.crc32(path.encode()):08x}"
+
+
+def index_columns(paths: list[str]) -> dict[str, Column]:
+    return {f"{index_name(p)}_{kind}": VariantField(F.col("doc"), p).as_kind(kind, value) for p in paths for kind, value in INDEXED.items()}
+
+
+class IndexedFields(filters.Fields):
+    """Paths of a collection: indexed ones lead to their columns."""
+
+    def __init__(self, df: DataFrame, paths: list[str]):
+        super().__init__(df)
+        self.paths = {p for p in paths if f"{index_name(p)}_number" in df.columns}
+
+    def __call__(self, path: str):
+        return IndexedField(F.col(self.doc), path) if path in self.paths else super().__call__(path)
+
+
 class Collection:
-    def __init__(self, database: Database, name: str, dims: int | None = None):
+    def __init__(self, database: Database, name: str, dims: int | None = None, password: str | None = None):
         self.database, self.name = database, name
         self.spark, self.files = database.store.spark, database.store.files
         self.path = f"{database.path}/{name}"
         self.log_path = f"{self.path}/commits"
-        self._dims = dims
+        self._dims, self._password, self._secret = dims, password, None
 
     # -- catalog
 
@@ -153,43 +234,104 @@ class Collection:
         return self._dims or self.meta()["vector_dimensions"]
 
     def create_index(self, field: str) -> None:
-        """Advisory: remembered for ``explain``, for scans are pruned by file statistics."""
-        m = self.meta()
-        m["indexes"] = sorted({*m["indexes"], field})
-        self.files.write(f"{self.path}/collection.json", json.dumps(m))
+        """Keep a field's values in typed columns from the next ``compact`` on, by which scans are pruned."""
+        self._set_indexes({*self.indexes(), field})
 
     def drop_index(self, field: str) -> None:
-        m = self.meta()
-        m["indexes"] = [x for x in m["indexes"] if x != field]
-        self.files.write(f"{self.path}/collection.json", json.dumps(m))
+        self._set_indexes({*self.indexes()} - {field})
+
+    def _set_indexes(self, fields: set[str]) -> None:
+        self.files.write(f"{self.path}/collection.json", json.dumps(self.meta() | {"indexes": sorted(fields)}))
 
     def indexes(self) -> list[str]:
         return self.meta()["indexes"]
 
+    # -- encryption
+
+    def _key(self) -> bytes | None:
+        """The key of an encrypted collection, derived once from password and salt."""
+        if self._secret is None:
+            salt = self.meta().get("salt")
+            if not salt:
+                return None
+            if self._password is None:
+                raise PermissionError(f"collection {self.name!r} is encrypted")
+            self._secret = scalars.derive_key(self._password, base64.b64decode(salt))
+        return self._secret
+
+    def _sealed(self, rows: DataFrame) -> DataFrame:
+        key = self._key()
+        if key is None:
+            return rows
+        text = F.base64(scalars.encrypt(F.to_json("doc"), key))
+        return rows.withColumn("doc", F.when(F.col("doc").isNotNull(), F.parse_json(F.concat(F.lit('"'), F.translate(text, "\r\n", ""), F.lit('"')))))
+
+    def _opened(self, rows: DataFrame) -> DataFrame:
+        key = self._key()
+        if key is None:
+            return rows
+        return rows.withColumn("doc", F.parse_json(scalars.decrypt(F.unbase64(F.try_variant_get("doc", "$", "string")), key)))
+
     # -- reading
 
+    def _commits(self) -> list[int]:
+        return sorted(int(n.split("=")[1]) for n in self.files.names(self.log_path) if n.startswith("_seq="))
+
     def log(self) -> DataFrame:
         """All versions, oldest first by (_seq, _n)."""
         if not self.files.names(self.log_path):
             return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(self.log_path)
+        return self._opened(self.spark.read.schema(LOG).parquet(self.log_path))
+
+    def _base(self) -> tuple[int, str | None]:
+        """The last commit in the newest complete base, and its folder."""
+        done = [n for n in self.files.names(f"{self.path}/base") if self.files.exists(f"{self.path}/base/{n}/{MARK}")]
+        return (int(done[-1].split("=")[1]), f"{self.path}/base/{done[-1]}") if done else (0, None)
+
+    def _newest(self, log: DataFrame, versions: DataFrame) -> DataFrame:
+        """Rows of ``log`` that are the newest of their id, by ``versions`` (_k, _s, _m)."""
+        same = (F.col("_id") == F.col("_k")) & (F.col("_seq") == F.col("_s")) & (F.col("_n") == F.col("_m"))
+        if explain.estimated_bytes(log) <= LARGE_LOG:
+            return log.join(versions, same)
+        older = log.select("_id", "_seq", "_n").join(versions, F.col("_id") == F.col("_k")).where(~((F.col("_seq") == F.col("_s")) & (F.col("_n") == F.col("_m"))))
+        older = older.select(F.col("_seq").alias("_os"), F.col("_n").alias("_on"))
+        if older.count() > MOST_OLDER:
+            return log.join(versions, same)
+        return log.join(F.broadcast(older), (F.col("_seq") == F.col("_os")) & (F.col("_n") == F.col("_on")), "left_anti")
+
+    def _state(self) -> tuple[DataFrame, list[str]]:
+        """The state with the columns of indexes, and the fields that have them."""
+        upto, folder = self._base()
+        paths: list[str] = json.loads(self.files.read(f"{folder}/{MARK}"))["indexes"] if folder else []
+        columns = [*STATE, *index_columns(paths)]
+        base = self._opened(self.spark.read.parquet(folder)).select(*columns) if folder else None
+        if base is not None and not any(s > upto for s in self._commits()):
+            return base, paths
+        log = self.log().where(F.col("_seq") > upto)
+        thin = self.spark.read.schema(LOG).parquet(self.log_path).where(F.col("_seq") > upto) if self._commits() else log
+        versions = thin.groupBy("_id").agg(F.max(F.struct("_seq", "_n")).alias("_v")).select(F.col("_id").alias("_k"), F.col("_v._seq").alias("_s"), F.col("_v._n").alias("_m"))
+        delta = self._newest(log, versions).where("_op <> 'delete'").withColumnsRenamed({"_created": "_created_at", "_ts": "_updated_at"})
+        delta = delta.withColumns(index_columns(paths)).select(*columns) if paths else delta.select(*columns)
+        if base is None:
+            return delta, paths
+        return base.join(versions.select("_k"), F.col("_id") == F.col("_k"), "left_anti").unionByName(delta), paths
 
     def frame(self) -> DataFrame:
         """The state: _id, _created_at, _updated_at, doc, vector."""
-        last = latest_per_key(self.log(), ["_id"], ["_seq", "_n"])
-        return last.where("_op <> 'delete'").select("_id", F.col("_created").alias("_created_at"), F.col("_ts").alias("_updated_at"), "doc", "vector")
+        return self._state()[0].select(*STATE)
 
     def find(self, query: dict[str, Any] | None = None, limit: int | None = DEFAULT_LIMIT, skip: int = 0, sort: list[tuple[str, int]] | None = None, **flags) -> DataFrame:
-        return filters.find(self.frame(), query, limit, skip, sort, **flags)
+        rows, paths = self._state()
+        if query:
+            rows = rows.where(filters.predicate(query, IndexedFields(rows, paths), **flags))
+        return filters.find(rows.select(*STATE), None, limit, skip, sort)
 
     def find_one(self, query: dict[str, Any] | None = None) -> dict[str, Any] | None:
         rows = documents(self.find(query, 1))
         return rows[0] if rows else None
 
     def find_by_id(self, id: str) -> dict[str, Any] | None:
-        log = self.log().where(F.col("_id") == id)
-        last = latest_per_key(log, ["_id"], ["_seq", "_n"]).where("_op <> 'delete'")
-        rows = documents(last.select("_id", F.col("_created").alias("_created_at"), F.col("_ts").alias("_updated_at"), "doc", "vector"))
+        rows = documents(self.frame().where(F.col("_id") == id))
         return rows[0] if rows else None
 
     def scan(self, start: str, n: int) -> DataFrame:
@@ -197,32 +339,89 @@ class Collection:
         return self.frame().where(F.col("_id") >= start).orderBy("_id").limit(n)
 
     def count(self, query: dict[str, Any] | None = None) -> int:
-        return filters.count(self.frame(), query)
+        return self.find(query, None).count()
 
     def aggregate(self, stages: list[dict[str, Any]], **kw) -> DataFrame:
+        """A pipeline over the state; a first ``$match`` uses the indexes."""
+        if stages and list(stages[0]) == ["$match"]:
+            return pipeline.aggregate(self.find(stages[0]["$match"], None), stages[1:], **kw)
         return pipeline.aggregate(self.frame(), stages, **kw)
 
-    def search_text(self, field: str, query: str, limit: int = 10) -> DataFrame:
+    def explain(self, query: dict[str, Any]) -> dict[str, Any]:
+        """What Spark will do for a find: pushed filters, pruning, exchanges, estimated bytes, the plan."""
+        return explain.explain(self.find(query, None), self.indexes(), {index_name(p): p for p in self.indexes()})
+
+    # -- text and vector search
+
+    def _texts(self, field: str) -> DataFrame:
         text = filters.Fields(self.frame())(field).as_kind("string", "")
-        return fulltext.search(self.frame().select("_id", text.alias("text")), query, limit)
+        return self.frame().select("_id", text.alias("text"))
 
-    def search(self, query: list[float], k: int = 10, metric: str = "cosine", filter: dict[str, Any] | None = None, filter_mode: str = "post") -> DataFrame:
-        return vector.knn(self.frame(), query, k, metric, filter=filter, filter_mode=filter_mode, dims=self.dims)
+    def create_text_index(self, field: str) -> fulltext.Index:
+        """Store postings of a field for ``search_text``; they count until the next commit."""
+        folder = f"{self.path}/text/{index_name(field)}/upto={max(self._commits(), default=0):012d}"
+        index = fulltext.build(self._texts(field), folder, mode="overwrite")
+        self.files.write(f"{folder}/{MARK}", "{}")
+        return index
 
-    def explain(self, query: dict[str, Any]) -> dict[str, Any]:
-        plan = advice.advise(query, set(self.indexes()), self.count())
-        return plan | {"physical": self.find(query, None)._jdf.queryExecution().toString()}
+    def search_text(self, field: str, query: str, limit: int = 10) -> DataFrame:
+        """(_id, score): from postings that are up to date, or else from the texts."""
+        folder = f"{self.path}/text/{index_name(field)}/upto={max(self._commits(), default=0):012d}"
+        if self.files.exists(f"{folder}/{MARK}"):
+            return fulltext.Index(self.spark, folder).search(query, limit).withColumnRenamed("id", "_id")
+        return fulltext.search(self._texts(field), query, limit)
+
+    def build_vector_index(self, lists: int = ivf.LISTS) -> dict[str, Any]:
+        """Store (or store again) an inverted file of the vectors, for ``search`` with ``approximate``."""
+        upto = max(self._commits(), default=0)
+        folder = f"{self.path}/vectors/upto={upto:012d}"
+        rows = self.frame().select("_id", "vector").where("vector is not null")
+        index = ivf.build(rows, folder, lists, mode="overwrite")
+        self.files.write(f"{folder}/{MARK}", index.to_json())
+        for old in self.files.names(f"{self.path}/vectors"):
+            if old != f"upto={upto:012d}":
+                self.files.delete(f"{self.path}/vectors/{old}")
+        return {"status": "built", "num_vectors": rows.count(), "lists": len(index.centroids), "probes": index.probes, "upto": upto}
+
+    rebuild_vector_index = build_vector_index
+
+    def vector_index(self) -> tuple[int, ivf.Index] | None:
+        """The last commit in the stored index, and the index."""
+        done = [n for n in self.files.names(f"{self.path}/vectors") if self.files.exists(f"{self.path}/vectors/{n}/{MARK}")]
+        if not done:
+            return None
+        folder = f"{self.path}/vectors/{done[-1]}"
+        return int(done[-1].split("=")[1]), ivf.Index.from_json(folder, self.files.read(f"{folder}/{MARK}"))
+
+    def search(self, query: list[float], k: int = 10, metric: str = "cosine", filter: dict[str, Any] | None = None, filter_mode: str = "post", approximate: bool = False, probes: int | None = None) -> DataFrame:
+        """The k documents with the closest vectors, exactly; ``approximate`` reads some lists of the index only.
+
+        Documents that changed since the index was built are searched exactly.
+        """
+        stored = self.vector_index() if approximate else None
+        if stored is None or (filter and filter_mode == "pre"):
+            return vector.knn(self.frame(), query, k, metric, filter=filter, filter_mode=filter_mode, dims=self.dims)
+        upto, index = stored
+        rows = index.rows(self.spark, query, probes).select("_id", "vector")
+        if any(s > upto for s in self._commits()):
+            changed = self.log().where(F.col("_seq") > upto).select(F.col("_id").alias("_k")).distinct()
+            fresh = self.frame().join(changed, F.col("_id") == F.col("_k"), "left_semi").select("_id", "vector")
+            rows = rows.join(changed, F.col("_id") == F.col("_k"), "left_anti").unionByName(fresh)
+        best = vector.knn(rows, query, k, metric, dims=self.dims)
+        out = self.frame().drop("vector").join(F.broadcast(best), "_id").orderBy(F.desc("similarity"), "_id")
+        return filters.find(out, filter) if filter else out
 
     # -- writing
 
-    def _next(self) -> int:
-        names = self.files.names(self.log_path)
-        return 1 + max((int(n.split("=")[1]) for n in names if n.startswith("_seq=")), default=0)
-
     def _commit(self, rows: DataFrame) -> int:
         """Append one commit of (_id, _n, _op, _created, doc, vector); its number."""
-        seq = self._next()
-        rows.withColumn("_ts", F.current_timestamp()).select("_id", "_n", "_op", "_ts", "_created", "doc", "vector").write.parquet(f"{self.log_path}/_seq={seq:012d}")
+        aside = f"{self.path}/_writing/{uuid.uuid4().hex}"
+        rows = self._sealed(rows.withColumn("_ts", F.current_timestamp()))
+        rows.select("_id", "_n", "_op", "_ts", "_created", "doc", "vector").write.parquet(aside)
+        seq = 1 + max([*self._commits(), self._base()[0]], default=0)
+        if not self.files.move(aside, f"{self.log_path}/_seq={seq:012d}"):
+            self.files.delete(aside)
+            raise RuntimeError(f"commit {seq} of {self.name!r} was written by another writer")
         return seq
 
     def insert_many(self, rows: DataFrame | list[dict[str, Any]]) -> int:
@@ -247,8 +446,6 @@ class Collection:
         return self._commit(df.select(F.coalesce("_id", new).alias("_id"), F.monotonically_increasing_id().alias("_n"), F.lit("insert").alias("_op"), F.current_timestamp().alias("_created"), "doc", "vector"))
 
     def insert(self, document: dict[str, Any]) -> str:
-        import uuid
-
         id = document.get("_id") or uuid.uuid4().hex[:16]
         self.insert_many([document | {"_id": id}])
         return id
@@ -291,6 +488,37 @@ class Collection:
     def delete(self, id: str) -> bool:
         return self.delete_many({"_id": id}) > 0
 
+    def compact(self) -> int:
+        """Store the state after the last commit as a new base; the log stays as it is. The commit's number.
+
+        Bases before the last one are removed, for readers of that one may still be at work.
+        """
+        upto = max([*self._commits(), self._base()[0]], default=0)
+        folder = f"{self.path}/base/upto={upto:012d}"
+        if not upto or self.files.exists(f"{folder}/{MARK}"):
+            return upto
+        paths = self.indexes()
+        if paths and self._key() is not None:
+            raise ValueError("an index would store fields of an encrypted collection in the clear")
+        rows = self.frame()
+        rows = rows.withColumns(index_columns(paths)) if paths else rows
+        self._sealed(rows).repartitionByRange("_id").sortWithinPartitions("_id").write.mode("overwrite").parquet(folder)
+        self.files.write(f"{folder}/{MARK}", json.dumps({"indexes": paths}))
+        for old in self.files.names(f"{self.path}/base")[:-2]:
+            self.files.delete(f"{self.path}/base/{old}")
+        return upto
+
+    def forget(self, upto: int | None = None) -> int:
+        """Remove commits that are in the base (and no later than ``upto``) from the log; how many.
+
+        Readers of the change stream must be past them.
+        """
+        known = self._base()[0]
+        gone = [s for s in self._commits() if s <= (known if upto is None else min(known, upto))]
+        for s in gone:
+            self.files.delete(f"{self.log_path}/_seq={s:012d}")
+        return len(gone)
+
     # -- the compact text form
 
     def query_text(self, query: dict[str, Any] | None = None, limit: int = DEFAULT_LIMIT) -> tuple[str, dict[str, Any]]:
@@ -312,17 +540,6 @@ class Collection:
             self.insert_many([{k: v for k, v in r.items() if k not in ("_created_at", "_updated_at")} for r in rows])
         return len(rows)
 
-    def compact(self) -> None:
-        """Rewrite the log as one commit of the state. Readers of the change stream should be past it."""
-        rows = self.frame().select("_id", F.monotonically_increasing_id().alias("_n"), F.lit("insert").alias("_op"), F.col("_updated_at").alias("_ts"), F.col("_created_at").alias("_created"), "doc", "vector")
-        seq = self._next()
-        new = f"{self.path}/compacted"
-        rows.write.mode("overwrite").parquet(f"{new}/_seq={seq:012d}")
-        self.files.delete(f"{self.path}/old")
-        self.files.rename(self.log_path, f"{self.path}/old")
-        self.files.rename(new, self.log_path)
-        self.files.delete(f"{self.path}/old")
-
 
 def _plain(document: dict[str, Any]) -> dict[str, Any]:
     """Times as ISO text."""

@@ -1,6 +1,8 @@
 """Filters on typed tables and on schema-free documents must agree with a plain evaluator."""
 
+import datetime as dt
 import json
+import operator
 import random
 import re
 
@@ -9,12 +11,11 @@ from pyspark.sql import functions as F
 
 from docloom.plans.filters import Fields, compile_filter, count, find, page
 
-USERS = [
-    {"_id": "1", "name": "Ann Lee", "age": 30, "city": "New York", "status": "active", "role": "developer"},
-    {"_id": "2", "name": "Bob Smith", "age": 35, "city": "Boston", "status": "inactive", "role": "manager"},
-    {"_id": "3", "name": "Cy Young", "age": 28, "city": "New York", "status": "inactive", "role": "developer"},
-    {"_id": "4", "name": "Di Fox", "age": None, "city": None, "status": "active", "role": "designer"},
-    {"_id": "5", "name": "Eve Adams", "age": 32, "city": "New York", "status": "active", "role": "developer"},
+WELLS = [
+    {"_id": f"w{i}", "title": t, "depth": d, "county": c, "use": u, "rock": r}
+    for i, (t, d, c, u, r) in enumerate(
+        [("Old Mill 3", 118, "Kerry", "closed", "chalk"), ("Brae", None, "Clare", "pumped", None), ("Dún Árann", 64, None, "pumped", "chalk"), ("Mill Race", 118, "Clare", "dry", "slate"), ("Nine Oaks", 7, "Kerry", None, "slate"), ("brae north", 250, "Clare", "pumped", "chalk"), ("Zinc 40", 41, None, None, None)]
+    )
 ]
 
 
@@ -27,9 +28,9 @@ def free(spark, rows):
 
 
 @pytest.fixture(scope="module")
-def users(spark):
-    schema = "_id string, name string, age int, city string, status string, role string"
-    return typed(spark, USERS, schema).cache(), free(spark, USERS).cache()
+def wells(spark):
+    schema = "_id string, title string, depth int, county string, use string, rock string"
+    return typed(spark, WELLS, schema).cache(), free(spark, WELLS).cache()
 
 
 def plain(query, row):
@@ -85,43 +86,44 @@ def plain(query, row):
 
 CASES = [
     {},
-    {"city": "New York"},
-    {"city": "New York", "status": "active", "role": "developer"},
-    {"age": {"$gt": 30}},
-    {"age": {"$gte": 30, "$lte": 32}},
-    {"age": {"$lt": 30}},
-    {"city": None},
-    {"city": {"$ne": "New York"}},
-    {"city": {"$ne": None}},
-    {"city": {"$in": ["Boston", None]}},
-    {"city": {"$nin": ["Boston"]}},
-    {"city": {"$nin": ["Boston", None]}},
-    {"city": {"$in": []}},
-    {"name": {"$regex": "^[A-D]"}},
-    {"name": {"$regex": r"(?P<a>\w)\w* Fox$"}},
-    {"age": {"$regex": "^3"}},
-    {"city": {"$exists": True}},
-    {"city": {"$exists": 0}},
+    {"county": "Clare"},
+    {"county": "Clare", "use": "pumped", "rock": "chalk"},
+    {"depth": {"$gt": 64}},
+    {"depth": {"$gte": 41, "$lte": 118}},
+    {"depth": {"$lt": 64}},
+    {"county": None},
+    {"county": {"$ne": "Kerry"}},
+    {"county": {"$ne": None}},
+    {"county": {"$in": ["Kerry", None]}},
+    {"county": {"$nin": ["Kerry"]}},
+    {"county": {"$nin": ["Kerry", None]}},
+    {"county": {"$in": []}},
+    {"title": {"$regex": "^[A-N]"}},
+    {"title": {"$regex": r"(?P<w>\w)\w* \w+$"}},
+    {"title": {"$regex": r"^\w+ Árann$"}},
+    {"depth": {"$regex": "^1"}},
+    {"county": {"$exists": True}},
+    {"county": {"$exists": 0}},
     {"nothing": {"$exists": False}},
     {"nothing": 1},
     {"nothing": None},
-    {"name.first": None},
-    {"age": "30"},
-    {"age": {"$gt": "5"}},
-    {"age": True},
-    {"age": 30.0},
-    {"$or": [{"age": 30}, {"city": "Boston"}]},
-    {"$and": [{"age": {"$gt": 20}}, {"$nor": [{"role": "manager"}, {"status": "inactive"}]}]},
-    {"age": {"$not": {"$gte": 30}}},
-    {"age": {}},
-    {"age": {"$in": [30, 35.0, "28", None, True]}},
+    {"title.first": None},
+    {"depth": "118"},
+    {"depth": {"$gt": "5"}},
+    {"depth": True},
+    {"depth": 118.0},
+    {"$or": [{"depth": 7}, {"county": "Clare"}]},
+    {"$and": [{"depth": {"$gt": 20}}, {"$nor": [{"rock": "slate"}, {"use": "dry"}]}]},
+    {"depth": {"$not": {"$gte": 118}}},
+    {"depth": {}},
+    {"depth": {"$in": [7, 64.0, "41", None, True]}},
 ]
 
 
 @pytest.mark.parametrize("query", CASES, ids=[json.dumps(c)[:60] for c in CASES])
-def test_cases(users, query):
-    want = [r["_id"] for r in USERS if plain(query, r)]
-    for df in users:
+def test_cases(wells, query):
+    want = [r["_id"] for r in WELLS if plain(query, r)]
+    for df in wells:
         assert sorted(r._id for r in find(df, query).select("_id").collect()) == want
 
 
@@ -146,14 +148,14 @@ def test_random_filters_agree(spark):
                 assert r[f"q{i}"] == plain(q, by[r._id]), (q, by[r._id])
 
 
-def test_errors(users):
-    fields = Fields(users[0])
+def test_errors(wells):
+    fields = Fields(wells[0])
     for bad in ({"a": {"$what": 1}}, {"$what": []}, {"a": {"$gt": 1, "b": 2}}, {"$or": []}, {"a": {"$in": 3}}):
         with pytest.raises(ValueError):
             compile_filter(bad, fields)
-    assert find(users[0], {"age": {"$what": 1}}, lenient=True).count() == 5
+    assert find(wells[0], {"depth": {"$what": 1}}, lenient=True).count() == len(WELLS)
     with pytest.raises(TypeError):
-        compile_filter({"age": {"$gt": "5"}}, fields, strict=True)
+        compile_filter({"depth": {"$gt": "5"}}, fields, strict=True)
 
 
 def test_arrays_and_structs(spark):
@@ -178,17 +180,40 @@ def test_arrays_and_structs(spark):
             assert sorted(r._id for r in find(df, q).collect()) == want, q
 
 
-def test_limits_and_pages(users):
-    for df in users:
-        assert [r._id for r in find(df, None, 2).collect()] == ["1", "2"]
+def test_limits_and_pages(wells):
+    for df in wells:
+        assert [r._id for r in find(df, None, 2).collect()] == ["w0", "w1"]
         assert find(df, None, 0).count() == 0
         with pytest.raises(ValueError):
             find(df, None, -1)
-        assert [r._id for r in find(df, {"age": {"$exists": True}}, 2, 1, [("age", -1)]).collect()] == ["5", "1"]
-        assert [r._id for r in find(df, None, 2, 0, [("age", 1)]).collect()] == ["4", "3"]
-        p = page(df, {"city": "New York"}, 0, 2)
+        assert [r._id for r in find(df, {"depth": {"$exists": True}}, 3, 1, [("depth", -1)]).collect()] == ["w0", "w3", "w2"]
+        assert [r._id for r in find(df, None, 3, 0, [("depth", 1)]).collect()] == ["w1", "w4", "w6"]
+        p = page(df, {"county": "Clare"}, 0, 2)
         assert p["total"] == 3 and p["has_more"] and p["rows"].count() == 2
-        assert count(df, {"city": "New York"}) == 3
+        assert count(df, {"county": "Clare"}) == 3
+
+
+TIMES = ["2024-01-01 00:00:00", "2024-01-01 00:00:00.5", "2024-01-01 12:00:00", "2024-01-02 00:00:00", None]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_times(spark, tmp_path, kind):
+    """Operands are times, dates or ISO text; the column stays bare, so scans can skip by it."""
+    rows = [(i, t[:10] if t and kind == "date" else t) for i, t in enumerate(TIMES)]
+    spark.createDataFrame(rows, "_id int, s string").selectExpr("_id", f"cast(s AS {kind}) AS t").write.parquet(str(tmp_path / kind))
+    df = spark.read.parquet(str(tmp_path / kind))
+    have = {i: dt.datetime.fromisoformat(t) for i, t in rows if t}
+    compare = {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le, "$eq": operator.eq}
+    for text in ("2024-01-01", "2024-01-01T00:00:00", "2024-01-01T00:00:00.500", "2024-01-01 12:00:00", "2024-01-02"):
+        at = dt.datetime.fromisoformat(text)
+        for op, holds in compare.items():
+            want = sorted(i for i, t in have.items() if holds(t, at))
+            for operand in (text, at, at.date()) if at.time() == dt.time() else (text, at):
+                assert sorted(r._id for r in find(df, {"t": {op: operand}}).collect()) == want, (op, operand)
+    assert sorted(r._id for r in find(df, {"t": {"$in": ["2024-01-01", None]}}).collect()) == sorted({i for i, t in have.items() if t == dt.datetime(2024, 1, 1)} | {4})
+    assert find(df, {"t": {"$gt": "no time"}}).count() == 0
+    plan = find(df, {"t": {"$gte": "2024-01-01T12:00:00"}})._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan" in plan.split("PushedFilters")[1]
 
 
 def test_pushdown(spark, tmp_path):

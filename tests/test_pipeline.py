@@ -5,24 +5,24 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.plans.advice import advise
-from docloom.plans.pipeline import aggregate, distinct
-
-SALES = [
-    ("1", "Laptop", "Electronics", 1000, 5, "North"),
-    ("2", "Mouse", "Electronics", 25, 50, "South"),
-    ("3", "Keyboard", "Electronics", 75, 30, "North"),
-    ("4", "Monitor", "Electronics", 300, 10, "East"),
-    ("5", "Book", "Education", 20, 100, "North"),
-    ("6", "Course", "Education", 50, 20, "South"),
+from docloom.plans.pipeline import aggregate, distinct, intersect, subtract
+
+BOATS = [
+    ("b1", "Wren", "sail", 9, 2, "Cork"),
+    ("b2", "Kite", "sail", 14, 5, "Bray"),
+    ("b3", "Ox", "tug", 31, 8, "Cork"),
+    ("b4", "Mole", "tug", 22, 4, None),
+    ("b5", "Teal", "ferry", 60, 21, "Cork"),
+    ("b6", "Coot", "ferry", 45, 12, "Bray"),
+    ("b7", "Rook", "sail", 9, 3, "Cork"),
 ]
-FIELDS = ["_id", "product", "category", "price", "quantity", "region"]
+FIELDS = ["_id", "name", "kind", "length", "crew", "port"]
 
 
 @pytest.fixture(scope="module")
-def sales(spark):
-    typed = spark.createDataFrame(SALES, "_id string, product string, category string, price int, quantity int, region string")
-    loose = spark.createDataFrame([(r[0], json.dumps(dict(zip(FIELDS, r, strict=True)))) for r in SALES], "_id string, j string").select("_id", F.parse_json("j").alias("doc"))
+def boats(spark):
+    typed = spark.createDataFrame(BOATS, "_id string, name string, kind string, length int, crew int, port string")
+    loose = spark.createDataFrame([(r[0], json.dumps(dict(zip(FIELDS, r, strict=True)))) for r in BOATS], "_id string, j string").select("_id", F.parse_json("j").alias("doc"))
     return typed.cache(), loose.cache()
 
 
@@ -30,20 +30,36 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-def test_group(sales):
-    for df in sales:
-        out = aggregate(df, [{"$group": {"_id": "$region", "n": {"$sum": 1}, "p": {"$avg": "$price"}, "f": {"$first": "$product"}, "l": {"$last": "$product"}, "all": {"$push": "$product"}, "c": {"$addToSet": "$category"}}}, {"$sort": {"n": -1, "_id": 1}}])
+def test_group(boats):
+    for df in boats:
+        out = aggregate(df, [{"$group": {"_id": "$port", "n": {"$sum": 1}, "p": {"$avg": "$length"}, "f": {"$first": "$name"}, "l": {"$last": "$name"}, "all": {"$push": "$name"}, "k": {"$addToSet": "$kind"}, "d": {"$countDistinct": "$kind"}, "big": {"$countIf": {"length": {"$gt": 20}}}}}, {"$sort": {"n": -1, "_id": 1}}])
         got = {r._id: r for r in out.collect()}
-        assert {k: r.n for k, r in got.items()} == {"North": 3, "South": 2, "East": 1}
-        assert got["North"].p == 365 and (got["North"].f, got["North"].l) == ("Laptop", "Book")
-        assert got["North"]["all"] == ["Laptop", "Keyboard", "Book"] and got["South"].c == ["Education", "Electronics"]
-        assert [r._id for r in out.collect()] == ["North", "South", "East"]
+        for port in ("Cork", "Bray", None):
+            own = [r for r in BOATS if r[5] == port]
+            r = got[port]
+            assert (r.n, r.p, r.f, r.l, r["all"]) == (len(own), sum(x[3] for x in own) / len(own), own[0][1], own[-1][1], [x[1] for x in own])
+            assert r.k == sorted({x[2] for x in own}) and r.d == len(r.k) and r.big == sum(x[3] > 20 for x in own)
+        assert [r._id for r in out.collect()] == ["Cork", "Bray", None]
 
 
-def test_group_globally_and_min_max(sales):
-    for df in sales:
-        r = aggregate(df, [{"$group": {"_id": None, "n": {"$count": {}}, "s": {"$sum": "$price"}, "twice": {"$sum": 2}, "lo": {"$min": "$price"}, "hi": {"$max": "$price"}}}]).first()
-        assert (r.n, int(r.s), r.twice, float(r.lo), float(r.hi)) == (6, 1470, 12, 20, 1000)
+def test_first_and_last_after_a_sort(boats):
+    for df in boats:
+        out = aggregate(df, [{"$sort": {"length": 1}}, {"$group": {"_id": "$port", "f": {"$first": "$name"}, "l": {"$last": "$name"}, "all": {"$push": "$name"}}}])
+        got = {r._id: r for r in out.collect()}
+        assert (got["Cork"].f, got["Cork"].l, got["Cork"]["all"]) == ("Wren", "Teal", ["Wren", "Rook", "Ox", "Teal"])
+        out = aggregate(df, [{"$sort": {"name": 1}}, {"$match": {"kind": "sail"}}, {"$group": {"_id": "$port", "f": {"$first": "$_id"}}}])
+        assert {r._id: r.f for r in out.collect()} == {"Cork": "b7", "Bray": "b2"}
+    out = aggregate(boats[0], [{"$sort": {"length": -1, "name": 1}}, {"$group": {"_id": None, "all": {"$push": "$name"}}}])
+    assert out.first()["all"] == ["Teal", "Coot", "Ox", "Mole", "Kite", "Rook", "Wren"]
+    with pytest.raises(ValueError):
+        aggregate(boats[0], [{"$sort": {"name": -1}}, {"$group": {"_id": None, "f": {"$first": "$name"}}}])
+
+
+def test_group_globally_and_min_max(boats):
+    for df in boats:
+        r = aggregate(df, [{"$group": {"_id": None, "n": {"$count": {}}, "s": {"$sum": "$length"}, "twice": {"$sum": 2}, "lo": {"$min": "$length"}, "hi": {"$max": "$length"}}}]).first()
+        lengths = [x[3] for x in BOATS]
+        assert (r.n, int(r.s), r.twice, float(r.lo), float(r.hi)) == (7, sum(lengths), 14, min(lengths), max(lengths))
 
 
 def test_missing_group_key(spark):
@@ -51,39 +67,48 @@ def test_missing_group_key(spark):
     assert dict(rows(aggregate(df, [{"$group": {"_id": "$k", "n": {"$sum": 1}}}]))) == {None: 2, "a": 1}
 
 
-def test_sort_orders(sales):
-    for df in sales:
-        stages = [{"$sort": {"category": 1, "price": -1}}]
-        assert [r._id for r in aggregate(df, stages).collect()] == ["6", "5", "1", "4", "3", "2"]
-        assert [r._id for r in aggregate(df, stages, legacy_sort=True).collect()] == ["1", "4", "3", "6", "2", "5"]
+def test_sort_orders(boats):
+    for df in boats:
+        stages = [{"$sort": {"kind": 1, "length": -1}}]
+        assert [r._id for r in aggregate(df, stages).collect()] == ["b5", "b6", "b2", "b1", "b7", "b3", "b4"]
+        assert [r._id for r in aggregate(df, stages, legacy_sort=True).collect()] == ["b5", "b6", "b3", "b4", "b2", "b1", "b7"]
 
 
-def test_project_limit_skip_count(sales):
-    for df in sales:
-        out = aggregate(df, [{"$sort": {"_id": 1}}, {"$skip": 1}, {"$limit": 2}, {"$project": {"product": 1, "price": 0, "a.b": 1}}])
-        assert out.columns == ["product", "a.b"]
-        assert [str(r[0]).strip('"') for r in out.select(F.col("product").cast("string")).collect()] == ["Mouse", "Keyboard"]
-        assert aggregate(df, [{"$match": {"region": "North"}}, {"$count": "n"}]).first().n == 3
-    with pytest.raises(ValueError):
-        aggregate(sales[0], [{"$limit": -1}])
-    with pytest.raises(ValueError):
-        aggregate(sales[0], [{"$group": {"_id": "$region", "x": {"$median": "$price"}}}])
-    with pytest.raises(ValueError):
-        aggregate(sales[0], [{"$what": 1}])
+def test_project_limit_skip_count(boats):
+    for df in boats:
+        out = aggregate(df, [{"$sort": {"_id": 1}}, {"$skip": 1}, {"$limit": 2}, {"$project": {"name": 1, "length": 0, "a.b": 1}}])
+        assert out.columns == ["name", "a.b"]
+        assert [str(r[0]).strip('"') for r in out.select(F.col("name").cast("string")).collect()] == ["Kite", "Ox"]
+        assert aggregate(df, [{"$match": {"port": "Cork"}}, {"$count": "n"}]).first().n == 4
+    for bad in ({"$limit": -1}, {"$group": {"_id": "$port", "x": {"$median": "$length"}}}, {"$what": 1}, {"$project": {"a.b": 0}}):
+        with pytest.raises(ValueError):
+            aggregate(boats[0], [bad])
 
 
-def test_extensions(spark, sales):
+def test_project_leaves_out(boats):
+    typed, loose = (aggregate(df, [{"$project": {"name": 0, "crew": False, "nothing": 0}}]) for df in boats)
+    assert typed.columns == ["_id", "kind", "length", "port"]
+    left = {r._id: json.loads(r.j) for r in loose.select("_id", F.to_json("doc").alias("j")).collect()}
+    assert set(left["b1"]) == {"_id", "kind", "length", "port"} and left["b3"]["length"] == 31
+
+
+def test_set_stages(spark, boats):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, None), (3, "z")], "k int, v string")
+    b = spark.createDataFrame([("x", 1), (None, 2), ("x", 1), ("q", 9)], "v string, k int")
+    run = lambda stage: sorted(map(str, rows(aggregate(a, [{stage: "b"}], tables={"b": b}))))
+    assert run("$intersectWith") == sorted(map(str, [(1, "x"), (2, None)])) and run("$exceptWith") == [str((3, "z"))]
+    assert intersect(a, b, all=True).count() == 3 and subtract(a, b, all=True).count() == 2
+    arrays = spark.createDataFrame([("1", ["a", "b"], ["b", "c"])], "_id string, x array<string>, y array<string>")
+    assert aggregate(arrays, [{"$addFields": {"z": {"$setUnion": ["$x", "$y"]}, "k": 5, "w": "$x"}}]).first()[3:] == (["a", "b", "c"], 5, ["a", "b"])
+    loose = spark.createDataFrame([('{"x": ["a", 1], "y": [1, {"q": 2}]}',)], "j string").select(F.lit("1").alias("_id"), F.parse_json("j").alias("doc"))
+    assert aggregate(loose, [{"$addFields": {"z": {"$setUnion": ["$x", "$y"]}}}]).first().z == ['"a"', "1", '{"q":2}']
+
+
+def test_extensions(spark, boats):
     df = spark.createDataFrame([("1", ["a", "b"]), ("2", [])], "_id string, t array<string>")
     assert aggregate(df, [{"$unwind": "$t"}]).count() == 2
     assert aggregate(df, [{"$unwind": {"path": "$t", "preserveNullAndEmptyArrays": True}}]).count() == 3
-    names = spark.createDataFrame([("North", "N"), ("South", "S")], "r string, short string")
-    out = aggregate(sales[0], [{"$lookup": {"from": "names", "localField": "region", "foreignField": "r", "as": "x"}}], tables={"names": names})
-    assert {r._id: len(r.x) for r in out.collect()} == {"1": 1, "2": 1, "3": 1, "4": 0, "5": 1, "6": 1}
-    assert sorted(r.value for r in distinct(sales[1], "region").collect()) == ["East", "North", "South"]
-
-
-def test_advice():
-    assert advise({}, set(), 1000)["strategy"] == "scan"
-    best = advise({"city": "x", "age": {"$gt": 3}}, {"city", "age"}, 1000)
-    assert best["strategy"] == "index" and best["index_field"] == "city" and best["estimated_matches"] == 10
-    assert advise({"age": {"$gte": 1}}, {"age"}, 1000)["strategy"] == "scan"
+    names = spark.createDataFrame([("Cork", "C"), ("Bray", "B")], "r string, short string")
+    out = aggregate(boats[0], [{"$lookup": {"from": "names", "localField": "port", "foreignField": "r", "as": "x"}}], tables={"names": names})
+    assert {r._id: len(r.x) for r in out.collect()} == {r[0]: int(r[5] is not None) for r in BOATS}
+    assert sorted(r.value for r in distinct(boats[1], "port").collect()) == ["Bray", "Cork"]
