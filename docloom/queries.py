@@ -213,9 +213,7 @@ def group_count_distinct(spark, d):
     return out
 
 
-@query("conditional_counts", "SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE value >= 100) AS large FROM events")
-def conditional_counts(spark, d):
-    return table(spark, d, "events").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("value") >= 100).alias("large"))
+grouping("conditional_counts", "events", [{"$group": {"_id": None, "total": {"$count": {}}, "errors": {"$countIf": {"event_type": "error"}}, "large": {"$countIf": {"value": {"$gte": 100}}}}}], "SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE value >= 100) AS large FROM events")
 
 
 @query("topk_desc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -253,26 +251,12 @@ def knn_pre_filter(spark, d):
 
 @query(
     "knn_batch",
-    f"""SELECT query_id, vec_id, rank, round(s, 6) AS similarity FROM (
-      SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (
-        SELECT a.vec_id, b.vec_id AS query_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) + 1e-10) AS s
-        FROM embeddings a, embeddings b WHERE b.vec_id < 8)) WHERE rank <= 5""",
-)
-def knn_batch(spark, d):
-    e = table(spark, d, "embeddings")
-    queries = e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    out = vector.knn_batch(e, queries, 5, "cosine", "embedding", "vec_id")
-    return out.select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
-
-
-@query(
-    "knn_batch_every_50th",
     """SELECT query_id, vec_id, rank, round(s, 6) AS similarity FROM (
       SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (
         SELECT a.vec_id, b.vec_id AS query_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) + 1e-10) AS s
         FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0)) WHERE rank <= 5""",
 )
-def knn_batch_every_50th(spark, d):
+def knn_batch(spark, d):
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     out = vector.knn_batch(e, queries, 5, "cosine", "embedding", "vec_id")
@@ -389,6 +373,365 @@ def change_stream(spark, d):
     return spark.read.schema("operationType string").parquet(out).groupBy(F.col("operationType").alias("op")).agg(F.count("*").alias("n"))
 
 
+# -- collections, catalog, streams and access: each through the engine's own calls
+
+
+def shown(c) -> DataFrame:
+    """_id, state and nation of a collection of customers."""
+    from docloom.functions.fields import VariantField
+
+    doc = F.col("doc")
+    return c.frame().select("_id", VariantField(doc, "state").as_kind("string", "").alias("state"), VariantField(doc, "c_nationkey").as_kind("number", 0).cast("int").alias("c_nationkey"))
+
+
+KEPT = "SELECT CAST(c_custkey AS VARCHAR) AS _id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'closed' ELSE 'open' END AS state, c_nationkey FROM customer WHERE NOT c_acctbal < 0"
+
+
+@query("find_by_id", f"SELECT _id, state FROM ({KEPT}) WHERE _id = '7'")
+def find_by_id(spark, d):
+    found = _collection(spark, d).find_by_id("7")
+    return spark.createDataFrame([(found["_id"], found["state"])] if found else [], "_id string, state string")
+
+
+@query("find_one", f"SELECT _id, c_nationkey FROM ({KEPT}) WHERE c_nationkey >= 10 ORDER BY _id LIMIT 1")
+def find_one(spark, d):
+    found = _collection(spark, d).find_one({"c_nationkey": {"$gte": 10}})
+    return spark.createDataFrame([(found["_id"], found["c_nationkey"])] if found else [], "_id string, c_nationkey int")
+
+
+@query("compacted_state", f"SELECT _id, CASE WHEN c_nationkey = 5 THEN 'moved' ELSE state END AS state, c_nationkey FROM ({KEPT}) UNION ALL SELECT 'new', 'fresh', 99")
+def compacted_state(spark, d):
+    c = _collection(spark, d)
+    c.compact()
+    c.update_many({"c_nationkey": 5}, {"state": "moved"})
+    c.insert({"_id": "new", "state": "fresh", "c_nationkey": 99})
+    return shown(c)
+
+
+@query("indexed_find", f"SELECT _id, c_nationkey FROM ({KEPT}) WHERE c_nationkey BETWEEN 3 AND 6")
+def indexed_find(spark, d):
+    c = _collection(spark, d)
+    c.create_index("c_nationkey")
+    c.compact()
+    from docloom.functions.fields import VariantField
+
+    return c.find({"c_nationkey": {"$gte": 3, "$lte": 6}}, None).select("_id", VariantField(F.col("doc"), "c_nationkey").as_kind("number", 0).cast("int").alias("c_nationkey"))
+
+
+@query("encrypted_collection", "SELECT CAST(n_nationkey AS VARCHAR) AS _id, n_name FROM nation WHERE n_regionkey = 1")
+def encrypted_collection(spark, d):
+    from docloom.functions.fields import VariantField
+    from docloom.sources.collections import Store
+
+    c = Store(spark, _folder(spark, "store")).create_database("shop").create_collection("nations", password="secret")
+    c.insert_many(table(spark, d, "nation").withColumn("_id", F.col("n_nationkey").cast("string")))
+    return c.find({"n_regionkey": 1}, None).select("_id", VariantField(F.col("doc"), "n_name").as_kind("string", "").alias("n_name"))
+
+
+@query("page_total", "SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') > 15 AS has_more FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 10 OFFSET 5")
+def page_total(spark, d):
+    from docloom.plans.filters import page
+
+    p = page(table(spark, d, "orders"), {"o_orderstatus": "P"}, 5, 10, id_col="o_orderkey")
+    return p["rows"].select("o_orderkey", F.lit(p["total"]).cast("bigint").alias("total"), F.lit(p["has_more"]).alias("has_more"))
+
+
+@query("json_ingest", "SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_orderstatus, o_totalprice FROM orders")
+def json_ingest(spark, d):
+    from docloom.functions.fields import VariantField
+    from docloom.sources.collections import Store, ingest_json
+
+    folder = _folder(spark, "json")
+    table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_orderstatus", "o_totalprice").write.json(folder)
+    c = Store(spark, _folder(spark, "store")).create_database("shop").create_collection("orders")
+    c.insert_many(ingest_json(spark, folder, "key"))
+    doc = F.col("doc")
+    return c.frame().select("_id", VariantField(doc, "o_orderstatus").as_kind("string", "").alias("o_orderstatus"), VariantField(doc, "o_totalprice").as_kind("number", 0).alias("o_totalprice"))
+
+
+@query("foreign_import", "SELECT 'id' || CAST(c_custkey AS VARCHAR) AS _id, c_name FROM customer")
+def foreign_import(spark, d):
+    from docloom.functions.fields import VariantField
+    from docloom.sources.collections import ingest_json
+
+    folder = _folder(spark, "json")
+    table(spark, d, "customer").select(F.struct(F.concat(F.lit("id"), "c_custkey").alias("$oid")).alias("_id"), "c_name").write.json(folder)
+    return ingest_json(spark, folder, "_id").select("_id", VariantField(F.col("doc"), "c_name").as_kind("string", "").alias("c_name"))
+
+
+@query("store_stats", "SELECT 3 AS databases, 2 AS collections, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS documents, true AS has_bytes")
+def store_stats(spark, d):
+    s = _catalog(spark, d).stats()
+    return spark.createDataFrame([(s["databases"], s["collections"], s["documents"], s["bytes"] > 0)], "databases int, collections int, documents bigint, has_bytes boolean")
+
+
+@query("catalog_listing", "SELECT * FROM (VALUES ('default', NULL), ('one', 'nation'), ('two', 'region')) t(db, coll)")
+def catalog_listing(spark, d):
+    s = _catalog(spark, d)
+    rows = [(db, coll) for db in s.databases() for coll in (s.database(db).collections() or [None])]
+    return spark.createDataFrame(rows, "db string, coll string")
+
+
+@query("dropped", "SELECT * FROM (VALUES ('drop', 'one', 'nation')) t(op, db, coll)")
+def dropped(spark, d):
+    s = _catalog(spark, d)
+    s.database("one").drop_collection("nation")
+    return s.events().select("op", "db", "coll")
+
+
+@query("vector_collection", "SELECT label AS _id, n, 64 AS dims FROM (SELECT label, count(*) AS n FROM embeddings WHERE label < 2 GROUP BY 1)")
+def vector_collection(spark, d):
+    """Good rows of a write with some of another length, by collection."""
+    from docloom.sources.collections import Store
+
+    db = Store(spark, _folder(spark, "store")).create_database("v")
+    e = table(spark, d, "embeddings").where("label < 2").withColumn("_id", F.col("vec_id").cast("string"))
+    for label in (0, 1):
+        own = e.where(F.col("label") == label)
+        short = own.limit(3).withColumn("_id", F.concat(F.lit("short"), "_id")).withColumn("embedding", F.slice("embedding", 1, 5))
+        db.create_collection(str(label), dims=64).insert_vectors(own.unionByName(short).select("_id", F.col("embedding").alias("vector")))
+    return db.vector_stats().select(F.col("collection").cast("int").alias("_id"), "n", "dims")
+
+
+@query("collection_knn", f"SELECT CAST(vec_id AS VARCHAR) AS _id, round({COSINE}, 6) AS similarity FROM embeddings, {Q} ORDER BY {COSINE} DESC, CAST(vec_id AS VARCHAR) LIMIT 10")
+def collection_knn(spark, d):
+    from docloom.sources.collections import Store
+
+    c = Store(spark, _folder(spark, "store")).create_database("v").create_collection("e", dims=64)
+    c.insert_vectors(table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("_id"), F.col("embedding").alias("vector")))
+    return c.search(probe(spark, d), 10).select("_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("ivf_every_50th", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def ivf_every_50th(spark, d):
+    """Recall of the stored index with the probes that it chose, against the exact search, at 10 neighbours."""
+    from docloom.operators import ivf
+
+    e = table(spark, d, "embeddings")
+    index = ivf.build(e, _folder(spark, "ivf"), vector_col="embedding", id_col="vec_id")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    near = index.search_batch(spark, queries, 10, vector_col="embedding", id_col="vec_id").select("query_id", "vec_id", F.lit(1).alias("found"))
+    exact = vector.knn_batch(e, queries, 10, "cosine", "embedding", "vec_id").select("query_id", "vec_id")
+    return exact.join(near, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query("fulltext_index", SQL["fulltext_tfidf"])
+def fulltext_index(spark, d):
+    index = fulltext.build(table(spark, d, "documents"), _folder(spark, "postings"), "text", "doc_id")
+    out = index.search("Tion with hethe, what what nicht", None)
+    return out.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("inverted_postings", f"SELECT token, doc_id AS id, count(*) AS n, len AS length FROM (SELECT doc_id, len(w) AS len, unnest(w) AS token FROM (SELECT doc_id, {TOKENS} AS w FROM documents)) WHERE token IN ('license', 'nicht', 'tion') GROUP BY 1, 2, 4")
+def inverted_postings(spark, d):
+    index = fulltext.build(table(spark, d, "documents"), _folder(spark, "postings"), "text", "doc_id")
+    return index.postings(["license", "nicht", "tion"]).select("token", "id", F.col("n").cast("bigint").alias("n"), F.col("length").cast("bigint").alias("length"))
+
+
+finding("find_time_range", "events", {"ts": {"$gte": "2024-01-02T03:04:05.5", "$lt": "2024-01-09"}}, E3, "ts >= TIMESTAMP '2024-01-02 03:04:05.5' AND ts < TIMESTAMP '2024-01-09'")
+finding("find_time_eq", "orders", {"o_orderdate": {"$in": ["1995-01-01", "1996-06-06T00:00:00", None]}}, ["o_orderkey"], "o_orderdate IN (TIMESTAMP '1995-01-01', TIMESTAMP '1996-06-06') OR o_orderdate IS NULL")
+
+WORDS = "string_split(p_name, ' ')"
+
+
+def finding_words(name: str, where: dict, sql: str) -> None:
+    @query(name, f"SELECT p_partkey FROM part WHERE {sql}")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return find(table(spark, d, "part").withColumn("words", F.split("p_name", " ")), where).select("p_partkey")
+
+
+finding_words("find_all_of", {"words": {"$all": ["red", "bolt"]}}, f"list_has_all({WORDS}, ['red', 'bolt'])")
+finding_words("find_elem_match", {"words": {"$elemMatch": {"$regex": "^gi"}}}, f"len(list_filter({WORDS}, lambda w: regexp_matches(w, '^gi'))) > 0")
+finding_words("find_tag", {"words": {"$contains": "gear"}}, f"list_contains({WORDS}, 'gear')")
+finding_words("find_overlaps", {"words": {"$overlaps": ["ring", "old"]}}, f"list_has_any({WORDS}, ['ring', 'old'])")
+
+
+@query("find_type", f"SELECT doc_id AS _id FROM {LABELLED} WHERE quality IS NOT NULL")
+def find_type(spark, d):
+    return find(as_documents(labelled(spark, d), "doc_id"), {"quality": {"$type": "number"}, "lang": {"$not": {"$type": "array"}}}).select("_id")
+
+
+@query("group_push", "SELECT user_id AS _id, string_agg(event_type, ',' ORDER BY event_id) AS types, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events GROUP BY 1")
+def group_push(spark, d):
+    out = aggregate(table(spark, d, "events"), [{"$group": {"_id": "$user_id", "types": {"$push": "$event_type"}, "kinds": {"$addToSet": "$event_type"}}}], id_col="event_id")
+    return out.select("_id", F.array_join("types", ",").alias("types"), F.array_join("kinds", ",").alias("kinds"))
+
+
+grouping("group_after_sort", "events", [{"$sort": {"value": 1}}, {"$group": {"_id": "$event_type", "least": {"$first": "$event_id"}, "most": {"$last": "$event_id"}}}], "SELECT event_type AS _id, arg_min(event_id, (value, event_id)) AS least, arg_max(event_id, (value, event_id)) AS most FROM events GROUP BY 1", id_col="event_id")
+grouping("group_count_if", "events", [{"$group": {"_id": "$event_type", "n": {"$count": {}}, "large": {"$countIf": {"value": {"$gte": 20}, "user_id": {"$lt": 50}}}, "users": {"$countDistinct": "$user_id"}}}], "SELECT event_type AS _id, count(*) AS n, count(*) FILTER (WHERE value >= 20 AND user_id < 50) AS large, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+grouping("add_fields", "nation", [{"$addFields": {"region": "$n_regionkey", "world": 1}}, {"$project": {"key": "$n_nationkey", "region": 1, "world": 1}}], "SELECT n_nationkey AS key, n_regionkey AS region, 1 AS world FROM nation")
+grouping("project_exclude", "customer", [{"$project": {"c_name": 0, "c_acctbal": 0}}], "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
+
+
+def set_stage(name: str, stage: str, word: str) -> None:
+    @query(name, f"SELECT c_nationkey AS nation FROM customer {word} SELECT s_nationkey FROM supplier")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        a, b = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))
+        return aggregate(a, [{stage: "s"}], tables={"s": b})
+
+
+set_stage("intersect_collections", "$intersectWith", "INTERSECT")
+set_stage("except_collections", "$exceptWith", "EXCEPT")
+
+
+@query("array_union", f"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat({WORDS}, string_split(p_type, ' ')))), ',') AS words FROM part")
+def array_union(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("a"), F.split("p_type", " ").alias("b"))
+    out = aggregate(rows, [{"$addFields": {"words": {"$setUnion": ["$a", "$b"]}}}], id_col="p_partkey")
+    return out.select("p_partkey", F.array_join(F.array_sort("words"), ",").alias("words"))
+
+
+@query("normalise", f"SELECT vec_id, round(list_extract({V}, 1) / sqrt(list_dot_product({V}, {V})), 6) AS first, 1.0::DOUBLE AS length FROM embeddings")
+def normalise(spark, d):
+    unit = scalars.normalise(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(unit[0], 6).alias("first"), F.round(scalars.norm(unit), 6).alias("length"))
+
+
+@query("letter_embedding", "SELECT n_nationkey, round(ascii(n_name) / sqrt(list_sum(list_transform(string_split(n_name, ''), lambda c: ascii(c) * ascii(c)))), 6) AS first, 128 AS dims FROM nation")
+def letter_embedding(spark, d):
+    e = scalars.letter_embedding(F.col("n_name"))
+    return table(spark, d, "nation").select("n_nationkey", F.round(e[0], 6).alias("first"), F.size(e).alias("dims"))
+
+
+@query("half_even", "SELECT event_id, CAST(round_even(CAST(event_id AS DECIMAL(18, 1)) / 2, 0) AS BIGINT) AS half FROM events")
+def half_even(spark, d):
+    return table(spark, d, "events").select("event_id", scalars.half_even(F.col("event_id").cast("decimal(18,1)") / 2, 0).cast("bigint").alias("half"))
+
+
+@query("toon_query", "SELECT CAST(n_nationkey AS VARCHAR) AS _id, n_name FROM nation WHERE n_regionkey = 2 ORDER BY 1 LIMIT 100")
+def toon_query(spark, d):
+    """Found documents in the compact text form, read back; its sizes must add up."""
+    from docloom.sources import toon
+
+    text, sizes = _catalog(spark, d).database("one").collection("nation").query_text({"n_regionkey": 2})
+    if sizes["toon_size"] != len(text) or not 0 < sizes["reduction_percent"] < 100:
+        raise AssertionError(sizes)
+    return spark.createDataFrame([(x["_id"], x["n_name"]) for x in toon.documents_of(text)], "_id string, n_name string")
+
+
+@query("toon_import", "SELECT CAST(n_nationkey AS VARCHAR) AS _id, n_name FROM nation")
+def toon_import(spark, d):
+    from docloom.functions.fields import VariantField
+
+    s = _catalog(spark, d)
+    text, _ = s.database("one").collection("nation").export_text()
+    c = s.database("two").create_collection("copy")
+    c.insert({"_id": "old"})
+    c.import_text(text, replace=True)
+    return c.frame().select("_id", VariantField(F.col("doc"), "n_name").as_kind("string", "").alias("n_name"))
+
+
+@query("toon_format", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 5")
+def toon_format(spark, d):
+    """The second write replaces the first."""
+    from docloom.sources.toon_files import register
+
+    register(spark)
+    folder = _folder(spark, "toon")
+    for most in (9, 5):
+        table(spark, d, "customer").where(F.col("c_nationkey") < most).select("c_custkey", "c_name").write.format("toon").mode("overwrite").save(folder)
+    return spark.read.format("toon").schema("c_custkey bigint, c_name string").load(folder)
+
+
+@query("kept_state", f"SELECT _id, state FROM ({KEPT})")
+def kept_state(spark, d):
+    from docloom.streaming import changes
+
+    c = _collection(spark, d)
+    path = _folder(spark, "state")
+    changes.keep_state(spark, changes.watch(c, per_trigger=1), path, _folder(spark, "resume"), once=True, merge_every=2).awaitTermination()
+    return changes.state(spark, path).where("op <> 'delete'").select("_id", F.get_json_object("json", "$.state").alias("state"))
+
+
+@query(
+    "handlers",
+    """SELECT 'any' AS handler, 'insert' AS op, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n
+       UNION ALL SELECT 'region', 'insert', count(*) FROM region UNION ALL SELECT 'gone', 'drop', 1""",
+)
+def handlers(spark, d):
+    from docloom.streaming import changes
+
+    s = _catalog(spark, d)
+    out = _folder(spark, "calls")
+    note = lambda name: lambda rows: rows.groupBy(F.lit(name).alias("handler"), F.col("operationType").alias("op")).agg(F.count("*").alias("n")).write.mode("append").parquet(out)
+    h = changes.Handlers()
+    h.on("insert", note("any"))
+    h.on("insert", note("region"), "region")
+    h.on("drop", note("gone"))
+    stream, resume = changes.watch_store(s), _folder(spark, "resume")
+    h.start(stream, resume, once=True).awaitTermination()
+    s.database("two").drop_collection("region")
+    h.start(changes.watch_store(s), resume, once=True).awaitTermination()
+    return spark.read.schema("handler string, op string, n bigint").parquet(out).groupBy("handler", "op").agg(F.sum("n").alias("n"))
+
+
+@query("windowed_rate", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type AS operationType, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_rate(spark, d):
+    from docloom.streaming import changes
+
+    rows = table(spark, d, "events").select(F.col("event_type").alias("operationType"), F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)")).alias("timestamp"))
+    return changes.rate(rows, "1 hour").select(F.unix_seconds("start").alias("start"), "operationType", "n")
+
+
+@query("request_rate", "SELECT user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS second, count(*) AS requests, greatest(0, least(count(*), 20 - (sum(count(*)) OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts)) - count(*)))) AS allowed FROM events GROUP BY user_id, date_trunc('second', ts)")
+def request_rate(spark, d):
+    """A bucket of 20 tokens that never fills again."""
+    rows = table(spark, d, "events").select("user_id", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)")).alias("ts"))
+    return access.over_rate(rows, "user_id", per_second=0.0, burst=20.0).select("user_id", F.unix_seconds("second").alias("second"), "requests", "allowed")
+
+
+@query("permissions", "SELECT c_custkey, c_nationkey <> 3 AND (c_nationkey % 4 = 0 OR (c_nationkey % 4 = 1 AND c_custkey % 2 = 0) OR (c_nationkey = 2 AND c_custkey % 2 = 1)) AS allowed FROM customer")
+def permissions(spark, d):
+    """Customers ask to read or to drop; roles go by nation, and nation 2 has a grant to drop."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("user"))
+    role = F.element_at(F.array(*[F.lit(r) for r in ("admin", "read", "guest", "guest")]), (F.col("user").cast("int") % 4 + 1).cast("int"))
+    roles = n.where("user <> '3'").select("user", role.alias("role"))
+    grants = spark.createDataFrame([("2", "drop_collection", "orders"), ("3", "drop_collection", "other")], "user string, permission string, collection string")
+    asked = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("user"), F.when(F.col("c_custkey") % 2 == 0, "read").otherwise("drop_collection").alias("permission"), F.lit("orders").alias("collection"))
+    return access.may(roles, grants, asked).select("c_custkey", "allowed")
+
+
+@query("audit_search", "SELECT event_type, username FROM (VALUES ('login', 'ann'), ('read', 'ann'), ('read', 'bob')) t(event_type, username) WHERE username = 'ann'")
+def audit_search(spark, d):
+    folder = _folder(spark, "audit")
+    for entry in ({"event_type": "login", "username": "ann"}, {"event_type": "read", "username": "ann"}, {"event_type": "read", "username": "bob"}):
+        access.audit(spark, folder, [entry])
+    return access.search_audit(spark, folder, user="ann").select("event_type", "username")
+
+
+@query("derived_key", "SELECT n_nationkey, n_name FROM nation")
+def derived_key(spark, d):
+    """Encrypted with a key from a password, decrypted with the key derived again."""
+    key = lambda: scalars.derive_key("a password", b"some salt", 1000)
+    rows = table(spark, d, "nation").select("n_nationkey", scalars.encrypt(F.col("n_name"), key()).alias("e"))
+    return rows.select("n_nationkey", scalars.decrypt(F.col("e"), key()).alias("n_name"))
+
+
+def _catalog(spark: SparkSession, d: str):
+    """Two databases with a collection each, beside the default one."""
+    from docloom.sources.collections import Store
+
+    s = Store(spark, _folder(spark, "store"))
+    for db, name, key in (("one", "nation", "n_nationkey"), ("two", "region", "r_regionkey")):
+        rows = table(spark, d, name).withColumn("_id", F.col(key).cast("string"))
+        s.create_database(db).create_collection(name).insert_many(rows)
+    return s
+
+
+def million_documents(spark: SparkSession) -> DataFrame:
+    """A collection's rows for the benchmark: a million documents of some 200 bytes, written once and read back."""
+    folder = _folder(spark, "million")
+    rows = spark.range(1_000_000).selectExpr(
+        "cast(id AS string) AS _id",
+        """parse_json(concat('{"name":"user', id, '","age":', id % 90, ',"city":"city', id % 50, '","address":{"street":"', sha2(cast(id AS string), 256), '","zip":', id % 99999, '},"tags":["a', id % 7, '","b', id % 11, '"]}')) AS doc""",
+    )
+    from docloom.sources.collections import Store
+
+    c = Store(spark, folder).create_database("bench").create_collection("users")
+    c.insert_many(rows)
+    c.compact()
+    return c
+
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors see; a local session without one gets a temporary one."""
     import uuid

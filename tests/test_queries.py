@@ -1,6 +1,7 @@
 """Every query against its SQL in DuckDB on the smallest tables."""
 
 import os
+import sys
 
 import duckdb
 import pytest
@@ -44,6 +45,16 @@ def test_query(spark, duck, name):
     assert normal(got.collect(), got.columns) == normal(want.fetchall(), want.columns)
 
 
+def test_entry_without_what_the_corpus_operators_need(monkeypatch):
+    """Any failing import there leaves the other queries."""
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    for name in [m for m in sys.modules if m.startswith("docloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    assert set(__spark_entry__.queries()) == set(core.QUERIES) and set(__spark_entry__.oracle_sql()) == set(core.SQL)
+
+
 def test_entry(spark):
     import __spark_entry__
 
