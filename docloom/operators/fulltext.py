@@ -116,16 +116,17 @@ class Index:
         return _top(scored.groupBy("id").agg(F.sum("s").alias("score")), "id", limit)
 
 
-def build(df: DataFrame, path: str, text: str = "text", id_col: str = "_id", mode: str = "error") -> Index:
+def build(df: DataFrame, path: str, text: str = "text", id_col: str = "_id", mode: str = "error", spread: int = 1) -> Index:
     """Store the inverted index of ``df``; documents without a token only count.
 
-    Within a folder rows are sorted by token, so a search skips all row groups but those of its words.
-    A token that stands in very many documents is spread over tasks by document.
+    Within a file rows are sorted by token, so a search skips all row groups but those of its words. A
+    folder is written by ``spread`` tasks, to which documents are dealt out, so no token is a hot key.
     """
     spark = df.sparkSession
     rows = frequencies(df, text, id_col).select("token", F.col(id_col).alias("id"), F.col("n").cast("int").alias("n"), "length")
     rows = rows.withColumn("bucket", bucket_of(F.col("token")))
-    rows.repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token", "id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    rows = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
+    rows.sortWithinPartitions("bucket", "token", "id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
     spark.createDataFrame([(json.dumps({"documents": df.count()}),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
     return Index(spark, path)
 
