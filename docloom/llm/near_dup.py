@@ -12,10 +12,17 @@
    threshold for links to leaders can't part two nodes whose true similarity is high enough.
 4. The components of these rough links are families. Only here full sets are compared: a breadth
    first search inside the family links sets with an exact similarity at the threshold, and emits a
-   spanning forest, never all pairs. Families of many shingles are dealt out in pairs of blocks.
+   spanning forest, never all pairs.
+5. A family of more shingles than a task takes is not compared as a whole, for boilerplate may chain
+   very many documents into one. Its nodes are verified in their largest bucket first, in chunks that
+   share one node, which joins dense groups in linear work. Then only nodes of buckets that still
+   hold several components count, and of these only nodes with a partner in another component whose
+   signature comes near the threshold; they are verified bucket by bucket, equal buckets once.
 
 A pair at the threshold shares no band with probability (1 - 0.85^5)^26 = 2.4e-7 at 0.85, and
-(1 - 0.80^4)^32 = 4.8e-8 at 0.80.
+(1 - 0.80^4)^32 = 4.8e-8 at 0.80. In a bucket it is parted only if an estimate errs by ``ROOM`` (3 to
+4 standard deviations of 130 components) against a leader that stands at the edge of its ball, and
+that in every bucket that the pair shares, which are 11 of 26 on average at 0.85.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import grams, words
-from docloom.llm.common import cut, partitions, ship, table
+from docloom.llm.common import cut, partitions, runs, ship, table
 from docloom.llm.components import components
 
 SHINGLE = 3
@@ -39,11 +46,13 @@ SIZE, ROWS, MISSED = 130, 5, 1e-6
 PERCENT = 85
 #: Estimated similarity to a leader that joins its ball, and room for the estimate's error.
 BALL, ROOM = 0.80, 0.13
+#: Room for the error of the estimate between the two nodes of a pair (5 standard deviations).
+PAIR_ROOM = 0.16
 #: A ball that nothing joins: leaders of blocks are all compared, or they would stand four balls apart.
 ALL = 2.0
 #: Nodes of a bucket, and shingles of a family, that one task handles.
 BUCKET_BLOCK, FAMILY_BLOCK = 20000, 1 << 21
-#: Families with no more nodes than this are sent to all executors (56 bytes each).
+#: Nodes to verify are sent to all executors if they are no more than this (some 80 bytes each).
 MOST_BROADCAST = 1 << 18
 ELEMENT = 52
 NO_DOC = 2**63 - 1
@@ -65,6 +74,11 @@ class Rule(NamedTuple):
         """Estimated similarity that links to a leader: a true pair has BALL - (1 - percent / 100) at least."""
         return BALL - (1 - self.percent / 100) - ROOM
 
+    @property
+    def pair(self) -> float:
+        """Estimated similarity that two nodes need to be verified."""
+        return self.percent / 100 - PAIR_ROOM
+
     @property
     def far(self) -> float:
         """The same for leaders of two blocks of one bucket, which stand two balls and a pair apart at most."""
@@ -191,102 +205,104 @@ def leaders(nodes: np.ndarray, signatures: np.ndarray, near: float, ball: float
 
 
 def _rough_links(near: float, tell_leaders: bool, ball: float = BALL):
-    """Sorted (bucket, block, doc, signature, blocks) rows to links (a, b), and to leaders of buckets with several blocks.
+    """Sorted (bucket, x, y, node, signature, blocks) rows to links (a, b), and to leaders of buckets with several blocks.
 
     With a ball above 1 no row is absorbed, and all are compared.
     """
+    names = ["a", "b", "bucket", "signature"]
 
-    def bucket(key, block, docs, signatures, blocks):
-        label, led = leaders(docs, signatures, near, ball)
-        least = np.full(len(docs), NO_DOC)
-        np.minimum.at(least, label, docs)
-        far = docs != least[label]
-        a, b = docs[far], least[label][far]
-        if tell_leaders and blocks > 1:
-            return a, b, docs[led], signatures[led], key
-        return a, b, docs[:0], signatures[:0], key
+    def links(a, b):
+        pairs = np.unique(np.stack([a, b]), axis=1)
+        none = pa.nulls(pairs.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none.cast(pa.int64()), none.cast(pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def emit(parts):
-            a = np.concatenate([p[0] for p in parts])
-            b = np.concatenate([p[1] for p in parts])
-            if len(a):
-                pairs = np.unique(np.stack([a, b]), axis=1)
-                a, b = pairs
-            empty = [None] * len(a)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(empty, pa.int64()), pa.array(empty, pa.binary())], names=["a", "b", "bucket", "signature"])
-            for _, _, docs, signatures, key in parts:
-                if len(docs):
-                    yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(docs), pa.array(np.full(len(docs), key)), pa.array([s.tobytes() for s in signatures], pa.binary())], names=["a", "b", "bucket", "signature"])
-
-        parts: list[tuple] = []
-        for cols in _runs(batches):
-            key, block, docs, raw, blocks = cols
-            signatures = np.frombuffer(b"".join(raw), np.uint8).reshape(len(docs), -1)
-            parts.append(bucket(int(key[0]), block[0], docs, signatures, int(blocks[0])))
-            held.append(())
-            if sum(len(p[0]) for p in parts[-1:]) + len(held) > 20000:
-                yield from emit(parts)
-                parts, held = [], []
-        if parts:
-            yield from emit(parts)
+        count = 0
+        for t in runs(batches, 3):
+            nodes = t.column("node").to_numpy()
+            signatures = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(nodes), -1)
+            label, led = leaders(nodes, signatures, near, ball)
+            least = np.full(len(nodes), NO_DOC)
+            np.minimum.at(least, label, nodes)
+            far = nodes != least[label]
+            held.append((nodes[far], least[label][far]))
+            count += int(far.sum()) + 1
+            if tell_leaders and t.column("blocks")[0].as_py() > 1:
+                own = pa.array(nodes[led])
+                yield pa.RecordBatch.from_arrays([own, own, t.column("bucket").combine_chunks().slice(0, len(led)), pa.array([x.tobytes() for x in signatures[led]], pa.binary())], names=names)
+            if count > 20000:
+                yield links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, count = [], 0
+        if held:
+            yield links(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]):
-    """Rows sorted by (bucket, block): the columns of one (bucket, block) at a time."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        key, block = (rest.column(i).to_numpy() for i in (0, 1))
-        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-        for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
-            yield _columns(rest.slice(a, b - a))
-        rest = rest.slice(int(new[-1]))
-    if rest is not None:
-        yield _columns(rest)
+def _active(near: float):
+    """Sorted (bucket, x, y, node, component, signature) rows to nodes (bucket, node) with a close partner in another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            component = t.column("component").to_numpy()
+            names, place, size = np.unique(component, return_inverse=True, return_counts=True)
+            if len(names) < 2:
+                continue
+            signatures = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(component), -1)
+            alive = np.zeros(len(component), bool)
+            # Pairs inside the largest component are many, and not asked for.
+            asking = np.flatnonzero(place != size.argmax())
+            for low in range(0, len(asking), 64):
+                q = asking[low : low + 64]
+                for left in range(0, len(component), 2048):
+                    e = slice(left, left + 2048)
+                    hit = (estimate(signatures[q, None, :], signatures[None, e, :]) >= near) & (place[q, None] != place[None, e])
+                    alive[q] |= hit.any(axis=1)
+                    alive[e] |= hit.any(axis=0)
+            if alive.any():
+                yield from t.filter(pa.array(alive)).select(["bucket", "node"]).combine_chunks().to_batches()
+
+    return run
 
 
-def _columns(t: pa.Table):
-    return [t.column(i).to_numpy() if t.schema.types[i] != pa.binary() else t.column(i).to_pylist() for i in range(t.num_columns)]
+def in_blocks(rows: DataFrame, blocks: Column, node: str) -> DataFrame:
+    """``rows`` for each pair of blocks (x, y) that they take part in, x < y; (0, 0) if there is one block."""
+    rows = rows.withColumn("blocks", blocks.cast("bigint")).withColumn("_mine", F.pmod(F.xxhash64(node), F.col("blocks")))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda o: o != F.col("_mine")))
+    rows = rows.withColumn("_other", F.explode(others))
+    return rows.withColumns({"x": F.least("_mine", "_other"), "y": F.greatest("_mine", "_other")}).drop("_mine", "_other")
 
 
 def _sets(n_words: int):
-    """(family, blocks, block, doc, text) to (family, x, y, doc, elements), a row for each pair of blocks."""
+    """(id, groups, text) to (family, x, y, doc, elements), a row for each group of a node."""
+    names, types = ["family", "x", "y", "doc", "elements"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            family, blocks, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            docs = batch.column(3).to_numpy(zero_copy_only=False)
-            for chunk in words.chunks(batch.column(4)):
+            ids, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for chunk in words.chunks(batch.column(2)):
                 elements, begin = sets_of(chunk, n_words)
                 out: list[tuple] = []
+                size = 0
                 for i in range(chunk.rows):
                     row = chunk.first + i
                     blob = elements[begin[i] : begin[i + 1]].tobytes()
-                    n, x = int(blocks[row]), int(block[row])
-                    for y in range(n) if n > 1 else [x]:
-                        if n == 1 or x != y:
-                            out.append((int(family[row]), min(x, y), max(x, y), int(docs[row]), blob))
-                    if len(out) > 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SET_TYPES, strict=True)], names=SET_NAMES)
-                        out = []
+                    for g in groups[row]:
+                        out.append((g["family"], g["x"], g["y"], ids[row], blob))
+                        size += len(blob)
+                        if size > 1 << 22:
+                            yield batch_of(out)
+                            out, size = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SET_TYPES, strict=True)], names=SET_NAMES)
+                    yield batch_of(out)
 
     return run
 
 
-SET_NAMES, SET_TYPES = ["family", "x", "y", "doc", "elements"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-
 def exact_forest(docs: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Tree links (a, b) of the graph of sets with 100 * intersection >= percent * union.
 
@@ -336,28 +352,11 @@ def _verify(percent: int):
     """Rows sorted by (family, x, y) to verified links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def done(t):
-            docs = t.column(3).to_numpy()
-            sets = [np.frombuffer(b, np.uint64) for b in t.column(4).to_pylist()]
-            a, b = exact_forest(docs, sets, percent)
+        for t in runs(batches, 3):
+            a, b = exact_forest(t.column(3).to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column(4).to_pylist()], percent)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            keys = np.stack([rest.column(i).to_numpy() for i in (0, 1, 2)])
-            new = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-            for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
-                yield from done(rest.slice(a, b - a))
-            rest = rest.slice(int(new[-1]))
-        if rest is not None:
-            yield from done(rest)
-
     return run
 
 
@@ -418,32 +417,82 @@ def rough_links(signed: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Data
     bands = nodes.select("node", F.explode("bands").alias("bucket"))
     company = bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     members = bands.join(company, "bucket").withColumn("blocks", F.ceil(F.col("c") / BUCKET_BLOCK).cast("bigint"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
-    rows = members.join(nodes.select("node", "signature"), "node").select("bucket", block, "node", "signature", "blocks")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rows = members.join(nodes.select("node", "signature"), "node").select("bucket", block.alias("x"), block.alias("y"), "node", "signature", "blocks")
     kind = "a bigint, b bigint, bucket bigint, signature binary"
-    # A number is given, for these rows are few bytes but much work, and would be coalesced by bytes.
-    found = cut(rows.repartition(partitions(rows.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block", "node").mapInArrow(_rough_links(rule.near, True), kind))
+    found = cut(dealt(rows).mapInArrow(_rough_links(rule.near, True), kind))
     first = found.where("bucket is null").select("a", "b")
-    led = found.where("bucket is not null").select("bucket", F.lit(0).cast("bigint").alias("block"), F.col("a").alias("node"), "signature", F.lit(1).cast("bigint").alias("blocks"))
-    second = led.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_rough_links(rule.far, False, ALL), kind).select("a", "b")
-    return first.union(second), nodes.select("one", "two", "n", "node", "row")
+    # Leaders of the blocks of a bucket are compared too, in pairs of blocks if they are many.
+    led = found.where("bucket is not null").select("bucket", F.col("a").alias("node"), "signature")
+    many = led.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_BLOCK).alias("b"))
+    led = in_blocks(led.join(many, "bucket"), F.col("b"), "node").select("bucket", "x", "y", "node", "signature", "blocks")
+    second = dealt(led).mapInArrow(_rough_links(rule.far, False, ALL), kind).select("a", "b")
+    return first.union(second), nodes
 
 
-def verified_links(src: DataFrame, nodes: DataFrame, family: DataFrame, rule: Rule = Rule(), repeated: bool = True) -> DataFrame:
-    """Tree links (a, b) of exactly verified pairs inside the families.
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows by (bucket, x, y), each group in one task.
 
-    A node's set is read from its least row; ``repeated`` tells that a row may stand there many times.
+    A number of partitions is given, for these rows are few bytes but much work, and would be coalesced by bytes.
     """
-    sized = family.join(nodes.select(F.col("node").alias("id"), "n", "row"), "id")
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_BLOCK).cast("bigint").alias("blocks"))
-    placed = sized.join(blocks, "family").select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "row.*").distinct()
-    if family.count() <= MOST_BROADCAST:
+    key = ["bucket", "x", "y"]
+    return rows.repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "node")
+
+
+def verified(src: DataFrame, groups: DataFrame, rule: Rule, repeated: bool) -> DataFrame:
+    """Tree links (a, b) of exactly verified pairs inside ``groups`` (id, row, family, x, y).
+
+    A node's set is read from its least row, once; ``repeated`` tells that this row may stand there
+    many times.
+    """
+    placed = cut(groups.groupBy("id").agg(F.first("row").alias("row"), F.collect_set(F.struct("family", "x", "y")).alias("groups")).select("id", "groups", "row.*"))
+    if placed.count() <= MOST_BROADCAST:
         placed = F.broadcast(placed)
     texts = src.join(placed, ROW)
     if repeated:
         texts = texts.dropDuplicates(["id"])
-    sets = texts.select("family", "blocks", "block", "id", "text").mapInArrow(_sets(rule.shingle), "family bigint, x bigint, y bigint, doc bigint, elements binary")
-    return sets.repartition(partitions(src.sparkSession), "family", "x", "y").sortWithinPartitions("family", "x", "y", "doc").mapInArrow(_verify(rule.percent), "a bigint, b bigint")
+    sets = texts.select("id", "groups", "text").mapInArrow(_sets(rule.shingle), "family bigint, x bigint, y bigint, doc bigint, elements binary")
+    key = ["family", "x", "y"]
+    return sets.repartition(partitions(src.sparkSession), *key).sortWithinPartitions(*key, "doc").mapInArrow(_verify(rule.percent), "a bigint, b bigint")
+
+
+def verified_links(src: DataFrame, nodes: DataFrame, family: DataFrame, rule: Rule = Rule(), repeated: bool = True) -> DataFrame:
+    """Tree links (a, b) of exactly verified pairs inside the families."""
+    sized = family.join(nodes.select(F.col("node").alias("id"), "n", "row"), "id")
+    sized = cut(sized.join(sized.groupBy("family").agg(F.sum("n").alias("total")), "family"))
+    zero = F.lit(0).cast("bigint")
+    links = verified(src, sized.where(F.col("total") <= FAMILY_BLOCK).select("id", "row", "family", zero.alias("x"), zero.alias("y")), rule, repeated)
+    large = sized.where(F.col("total") > FAMILY_BLOCK).select("id", "n", "row")
+    return links if large.isEmpty() else links.unionAll(large_links(src, nodes, large, rule, repeated))
+
+
+def large_links(src: DataFrame, nodes: DataFrame, large: DataFrame, rule: Rule, repeated: bool) -> DataFrame:
+    """The same for ``large`` (id, n, row), nodes of families that are not compared as a whole."""
+    chunks = lambda n: F.ceil(n / FAMILY_BLOCK).cast("bigint")
+    members = large.join(nodes.select(F.col("node").alias("id"), "bands"), "id").select("id", "n", F.explode("bands").alias("bucket"))
+    company = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("centre")).where("c > 1")
+    members = cut(members.join(company, "bucket"))
+    # Every node in its largest bucket, in chunks that all hold the bucket's least node.
+    chosen = members.groupBy("id", "n").agg(F.max_by(F.struct("bucket", "centre"), F.struct("c", "bucket")).alias("b")).select("id", "n", "b.*")
+    sized = chosen.groupBy("bucket", "centre").agg(chunks(F.sum("n")).alias("chunks"))
+    own = chosen.join(sized.select("bucket", "chunks"), "bucket").select("id", "bucket", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("x"))
+    centres = sized.select(F.col("centre").alias("id"), "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("x"))
+    rows = large.select("id", "row")
+    groups = own.unionAll(centres).distinct().join(rows, "id").select("id", "row", F.col("bucket").alias("family"), "x", F.col("x").alias("y"))
+    stars = cut(verified(src, groups, rule, repeated))
+    # What is left: buckets of several components, and in them nodes close to one of another component.
+    joined = components(stars).withColumnRenamed("component", "_c")
+    rest = members.select("bucket", "id", "n").join(joined, "id", "left").select("bucket", "id", "n", F.coalesce("_c", "id").alias("component"))
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BUCKET_BLOCK).alias("b")).where("lo <> hi").select("bucket", "b")
+    rest = in_blocks(rest.join(mixed, "bucket"), F.col("b"), "id").select("bucket", "x", "y", F.col("id").alias("node"), "component")
+    rest = rest.join(nodes.select("node", "signature"), "node").select("bucket", "x", "y", "node", "component", "signature")
+    active = cut(dealt(rest).mapInArrow(_active(rule.pair), "bucket bigint, node bigint").distinct())
+    same = active.groupBy("bucket").agg(F.sum(F.xxhash64("node") % (1 << 40)).alias("s"), F.sum(F.xxhash64(F.lit(1), "node") % (1 << 40)).alias("t"), F.count("*").alias("c"))
+    once = same.groupBy("s", "t", "c").agg(F.min("bucket").alias("bucket")).select("bucket")
+    active = active.join(once, "bucket").join(large, F.col("node") == F.col("id")).select("bucket", "id", "n", "row")
+    sized = active.groupBy("bucket").agg(chunks(F.sum("n")).alias("b"))
+    groups = in_blocks(active.join(sized, "bucket"), F.col("b"), "id").select("id", "row", F.col("bucket").alias("family"), "x", "y")
+    return stars.unionAll(verified(src, groups, rule, repeated))
 
 
 def op3_superminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,36 @@ def test_blocks_of_buckets_and_families(spark, monkeypatch):
     assert got == near_copies(rows)
 
 
+def test_large_families(spark, monkeypatch):
+    """Chains of copies of copies, dense groups, and texts joined by boilerplate only, all in few families."""
+    rng = random.Random(15)
+    rows = []
+
+    def changed(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        return w
+
+    for g in range(4):  # each a small step from the one before
+        w = prose(rng, 100, 10**6).split()
+        for k in range(25):
+            rows.append((1000 * g + k, " ".join(w)))
+            w = changed(w, rng.randrange(1, 4))
+    common = prose(rng, 70, 10**6)
+    for k in range(40):  # half of each is the same
+        rows.append((5000 + k, common + " " + prose(rng, 40, 10**6)))
+    base = prose(rng, 100, 10**6).split()
+    rows += [(6000 + k, " ".join(changed(base, rng.randrange(5)))) for k in range(60)]
+    rows += [(7000 + k, r[1] + " end") for k, r in enumerate(rng.sample(rows, 20))]
+    want = near_copies(rows)
+    for family, bucket in ((400, 5), (2000, 20000), (100, 20000)):
+        monkeypatch.setattr(near_dup, "FAMILY_BLOCK", family)
+        monkeypatch.setattr(near_dup, "BUCKET_BLOCK", bucket)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+        assert got == want, (family, bucket)
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(0)
     errors = []
@@ -195,8 +225,8 @@ def test_leaders_of_blocks_are_all_compared(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, kind, *a: found.append(f) or mapped(self, f, kind, *a))
     near_dup.rough_links(spark.createDataFrame([], near_dup.SIGNED))
     rows = [heads[0], heads[1], one, two]
-    columns = [pa.array([5] * 4), pa.array([0] * 4), pa.array(range(4)), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([1] * 4)]
-    batch = pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "node", "signature", "blocks"])
+    columns = [pa.array([5] * 4), pa.array([0] * 4), pa.array([0] * 4), pa.array(range(4)), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([1] * 4)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["bucket", "x", "y", "node", "signature", "blocks"])
     pairs = [(a, b) for out in found[-1](iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
     assert joined(4, pairs) == [0] * 4
 
