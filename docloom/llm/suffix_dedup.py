@@ -1,17 +1,30 @@
 """Removal of repeated passages: suffix positions ranked by distributed prefix doubling.
 
-A byte goes if a string of ``threshold`` (100) bytes over it also starts earlier. Suffix positions
-are ranked by their first 32, then 66, then 100 bytes. In each round Spark sorts the positions by
-(rank pair, document, place); positions whose rank is unique leave, the others are ranked again at
-the next offset, until they are past the threshold. Ranks are names of rank pairs at growing
-offsets (see ``grams``), so no round needs the ranks of other positions to be fetched.
-
-The first round ranks sampled positions. Of the grams of 32 bytes within a window of 100 bytes the
-one with the least hash stands for it, so equal windows are always represented by equal grams at
-equal offsets, and about every 34th position is enough. A sampled position stands for a run of
-windows; ``context`` is the name of all bytes that they cover. Of positions with equal contexts all
-but the first are past the threshold at once. Only where equal grams stand in different contexts,
-at the edges of repeated passages, are single windows ranked.
+A byte goes if a string of 100 bytes over it also starts earlier. Suffix positions are ranked by
+their first 32, 64 and 100 bytes, in a loop. The rank of a length is the name of a pair of ranks of
+the length before: 64 bytes by the ranks at offsets 0 and 32, 100 bytes by those at 0 and 36. In each
+round Spark sorts the positions by (rank, document, place); then a position
+
+* leaves for good if its rank is unique: no longer string that begins there, and no window of 100
+  bytes that holds it, stands anywhere else;
+* is ranked again at the next offset if its rank is not unique;
+* is past the threshold at 100 bytes: all positions of a rank but the first are repeats.
+
+Names are hashes of rank pairs, made from the text in place, so no round has to fetch the ranks of
+other positions; a wrong match costs work at 64 bits and decides only at 112.
+
+Before the loop positions are sampled, which loses nothing. Of the 69 grams of 32 bytes within a
+window of 100 bytes the one with the least hash stands for it (the leftmost of equals). The choice
+follows from the window's bytes alone, so two equal windows are represented by equal grams at equal
+offsets: if a window repeats, its gram is a repeated sampled gram. About every 34th position is
+sampled, and stands for the run of windows that chose it. Two refinements keep later rounds small:
+
+* ``context`` is the name of all bytes that a position's windows cover. Of positions with equal
+  contexts all but the first have only repeated windows, and are past the threshold at once.
+* Only where equal grams stand in different contexts, at the edges of repeated passages, the loop
+  goes on. At 64 bytes it ranks two pieces for a position: the one at the gram, which every window
+  holds that begins at most 36 bytes before, and the one 36 bytes earlier, which every other window
+  holds. A window is ranked at 100 bytes unless a piece of it was unique.
 
 Skew: a task combines its own positions before a shuffle, one row for each rank and task at most,
 so a passage that stands in a third of all documents is no hot key.
@@ -33,6 +46,8 @@ from docloom.llm.common import NO_ID, cut, ship, table
 
 THRESHOLD = 100
 GRAM = 32
+#: Lengths that the loop ranks, each at most twice the one before; the last is the threshold.
+LENGTHS = (64, THRESHOLD)
 #: Chunks of text that are handled at once, in bytes (below 2^20), and positions combined at once.
 CHUNK, COMBINE = 1 << 17, 1 << 21
 #: Kinds of rows between the rounds.
@@ -43,7 +58,8 @@ NAMES = ["key", "sub", "doc", "pos"]
 #: the first and the last window to the gram (7 bits from 57 and from 50), sides that are still
 #: alive (2 bits from 48), and 48 bits of a name; for spans the end. Few bytes a row keep the
 #: shuffles small.
-LEFT, RIGHT = 1, 2
+#: Sides: pieces of 64 bytes that are not unique, at the gram and before it.
+AT, BEFORE = 1, 2
 LOW48 = (1 << 48) - 1
 
 
@@ -268,7 +284,7 @@ def rerank_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         many = (np.bincount(group[new]) > 1)[group] | known | np.isin(k, told)
         yield from rows_out(span_rows(d[after], c[after], (at_ - far)[after], (at_ - near)[after] + THRESHOLD))
         edge = many & ~after
-        yield from rows_out((spread(d[edge], c[edge]), edge_info(far[edge], near[edge]), d[edge], at(EDGE, c[edge], at_[edge])))
+        yield from rows_out((spread(d[edge], c[edge]), edge_info(far[edge], near[edge], AT | BEFORE), d[edge], at(EDGE, c[edge], at_[edge])))
 
 
 def documents_with_items(batches: Iterator[pa.RecordBatch]):
@@ -309,120 +325,106 @@ def names_at(body: bytes, places: np.ndarray, length: int, families: int) -> lis
     return out
 
 
-def double_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges ranked by the 66 bytes from the gram on, and the 66 bytes up to its end.
+def edges_of(sub: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Place, distances and sides of the edges among a document's items, each once."""
+    kind, _, place = where(pos)
+    edge = kind == EDGE
+    far, near, side = (x[edge] for x in edge_of(sub))
+    gram, same = np.unique(place[edge] << 16 | far << 8 | near, return_inverse=True)
+    sides = np.zeros(len(gram), np.int64)
+    np.bitwise_or.at(sides, same, side)
+    return gram >> 16, gram >> 8 & 255, gram & 255, sides
 
-    A window of 100 bytes over the gram holds one of the two, so an edge leaves if both are unique.
-    """
-    half = (THRESHOLD - GRAM) // 2
-    held: list[tuple] = []
-    count = 0
 
-    def flush():
-        name, sub, doc, check, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(name)
-        many, told = twins(name[order])
-        one, more = np.sort(order[~many]), np.sort(order[many])
-        yield from rows_out(
-            (signed(name[one]), sub[one], doc[one], at(PLACE, check[one], place[one])),
-            (spread(doc[more], check[more]), sub[more], doc[more], at(EDGE, check[more], place[more])),
-            signals(name[order][told]),
-        )
-
-    for doc, check, body, sub, pos in documents_with_items(batches):
-        yield from passing(doc, check, sub, pos)
-        kind, _, place = where(pos)
-        edge = kind == EDGE
-        far, near, _ = edge_of(sub)
-        left, right = edge & (far >= half), edge & (near <= half)
-        places = np.r_[place[left] - half, place[right]]
-        if not len(places):
-            continue
-        info = np.r_[edge_info(far[left], near[left], LEFT), edge_info(far[right], near[right], RIGHT)]
-        order = np.argsort(places)
-        (name,) = names_at(body(), places[order], GRAM + half, 1)
-        held.append((name, info[order], np.full(len(order), doc), np.full(len(order), check), np.r_[place[left], place[right]][order]))
-        count += len(order)
-        if count >= COMBINE:
-            yield from flush()
-            held.clear()
-            count = 0
-    if held:
-        yield from flush()
+def pieces_of(place, far, near, sides, length: int, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edge, start, side) of the strings of ``length`` bytes to rank for edges that were alive at length ``before``.
 
+    Below the threshold there are two pieces at most; at the threshold one for each window whose
+    pieces of the length before are alive.
+    """
+    if length < THRESHOLD:
+        step = THRESHOLD - length
+        here, earlier = np.flatnonzero((near <= step) & (sides & AT > 0)), np.flatnonzero((far >= step) & (sides & BEFORE > 0))
+        return np.r_[here, earlier], np.r_[place[here], place[earlier] - step], np.r_[np.full(len(here), AT), np.full(len(earlier), BEFORE)]
+    n = far - near + 1
+    edge = np.repeat(np.arange(len(place)), n)
+    back = far[edge] - (np.arange(len(edge)) - (np.cumsum(n) - n)[edge])
+    step = THRESHOLD - before
+    live = ((back > step) | (sides[edge] & AT > 0)) & ((back < step) | (sides[edge] & BEFORE > 0))
+    return edge[live], (place[edge] - back)[live], sides[edge][live]
+
+
+def rank_pieces(length: int, before: int):
+    """A round of the loop: edges to rows of their pieces by the rank of ``length`` bytes, combined within the task."""
+    last = length >= THRESHOLD
+
+    def combined(key, sub, doc, check, place):
+        if last:
+            order = np.lexsort((place, doc, sub, key))
+            _, after = later(key[order], sub[order], doc[order], place[order])
+            gone, kept = order[after], np.sort(order[~after])
+            yield span_rows(doc[gone], check[gone], place[gone], place[gone] + THRESHOLD)
+            yield signed(key[kept]), signed(sub[kept]), doc[kept], at(PLACE, check[kept], place[kept])
+            return
+        order = np.argsort(key)
+        many, told = twins(key[order])
+        one, more = np.sort(order[~many]), np.sort(order[many])
+        yield signed(key[one]), sub[one], doc[one], at(PLACE, check[one], place[one])
+        yield spread(doc[more], check[more]), sub[more], doc[more], at(EDGE, check[more], place[more])
+        yield signals(key[order][told])
 
-def keep_alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows at 66 bytes to spans and the sides of edges whose rank is not unique."""
-    for key, sub, doc, pos in sorted_groups(batches):
-        kind, check, place = where(pos)
-        through = (kind == SPAN) | (kind == EDGE)
-        yield from rows_out((key[through], sub[through], doc[through], pos[through]))
-        keep = kind == PLACE
-        many = twins(key[keep])[0] | np.isin(key[keep], key[kind == SIGNAL])
-        s, d, c, p = (x[keep][many] for x in (sub, doc, check, place))
-        yield from rows_out((spread(d, c), s, d, at(EDGE, c, p)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        count = 0
+        for doc, check, body, sub, pos in documents_with_items(batches):
+            yield from passing(doc, check, sub, pos)
+            place, far, near, sides = edges_of(sub, pos)
+            edge, start, side = pieces_of(place, far, near, sides, length, before)
+            if not len(start):
+                continue
+            if last:  # windows; the same one may stand under two edges
+                start = np.unique(start)
+                key, more = names_at(body(), start, length, 2)
+                more, own = more & np.uint64(LOW48), start
+            else:
+                order = np.argsort(start)
+                edge, start, side = edge[order], start[order], side[order]
+                (key,) = names_at(body(), start, length, 1)
+                more, own = edge_info(far[edge], near[edge], side), place[edge]
+            held.append((key, more, np.full(len(start), doc), np.full(len(start), check), own))
+            count += len(start)
+            if count >= COMBINE:
+                yield from rows_out(*combined(*(np.concatenate(x) for x in zip(*held, strict=True))))
+                held.clear()
+                count = 0
+        if held:
+            yield from rows_out(*combined(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
+    return run
 
-def rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of 100 bytes at the edges that are left, ranked by 112 bits."""
-    half = (THRESHOLD - GRAM) // 2
-    held: list[tuple] = []
-    count = 0
 
-    def flush():
-        key, sub, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((pos, doc, sub, key))
-        _, after = later(key[order], sub[order], doc[order], pos[order])
-        gone, kept = order[after], np.sort(order[~after])
-        _, check, place = where(pos[gone])
-        yield from rows_out(
-            span_rows(doc[gone], check, place, place + THRESHOLD),
-            (signed(key[kept]), signed(sub[kept]), doc[kept], pos[kept]),
-        )
-
-    for doc, check, body, sub, pos in documents_with_items(batches):
-        yield from passing(doc, check, sub, pos)
-        kind, _, place = where(pos)
-        edge = kind == EDGE
-        if not edge.any():
-            continue
-        far, near, side = (x[edge] for x in edge_of(sub))
-        gram, same = np.unique(place[edge] << 16 | far << 8 | near, return_inverse=True)
-        alive = np.zeros(len(gram), np.int64)
-        np.bitwise_or.at(alive, same, side)
-        far, near, gram = gram >> 8 & 255, gram & 255, gram >> 16
-        n = far - near + 1
-        which = np.repeat(np.arange(len(gram)), n)
-        back = far[which] - (np.arange(len(which)) - (np.cumsum(n) - n)[which])
-        live = ((back < half) | (alive[which] & LEFT > 0)) & ((back > half) | (alive[which] & RIGHT > 0))
-        places = np.unique((gram[which] - back)[live])
-        if not len(places):
-            continue
-        one, two = names_at(body(), places, THRESHOLD, 2)
-        held.append((one, two & np.uint64(LOW48), np.full(len(places), doc), at(PLACE, check, places)))
-        count += len(places)
-        if count >= COMBINE:
-            yield from flush()
-            held.clear()
-            count = 0
-    if held:
-        yield from flush()
+def rerank(length: int):
+    """Sorted rows of a round to spans and the pieces whose rank is not unique; at the threshold to spans only.
 
+    Spans at the threshold are single windows: neighbouring ones stand in any partitions, and are merged
+    by document, not here, so that the rows follow the input and not the number of partitions.
+    """
+    last = length >= THRESHOLD
 
-def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows at 100 bytes to spans only, one for each repeated window.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, sub, doc, pos in sorted_groups(batches):
+            kind, check, place = where(pos)
+            through = (kind == SPAN) | (kind == EDGE)
+            yield from rows_out((key[through], sub[through], doc[through], pos[through]))
+            keep = np.flatnonzero(kind == PLACE)
+            if last:
+                after = keep[later(key[keep], sub[keep], doc[keep], pos[keep])[1]] if len(keep) else keep
+                yield from rows_out((key[after], place[after] + THRESHOLD, doc[after], at(SPAN, check[after], place[after])))
+            else:
+                many = keep[twins(key[keep])[0] | np.isin(key[keep], key[kind == SIGNAL])]
+                yield from rows_out((spread(doc[many], check[many]), sub[many], doc[many], at(EDGE, check[many], place[many])))
 
-    Neighbouring windows stand in any partitions; they are merged by document, not here, so that
-    the rows follow the input and not the number of partitions.
-    """
-    for key, sub, doc, pos in sorted_groups(batches):
-        kind, check, place = where(pos)
-        span, keep = kind == SPAN, np.flatnonzero(kind == PLACE)
-        after = keep[later(key[keep], sub[keep], doc[keep], pos[keep])[1]] if len(keep) else keep
-        yield from rows_out(
-            (key[span], sub[span], doc[span], pos[span]),
-            (key[after], place[after] + THRESHOLD, doc[after], at(SPAN, check[after], place[after])),
-        )
+    return run
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,7 +482,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool
     A null text is empty; a null doc_id comes before all others. Rows that repeat a doc_id with
     other texts are documents of their own, in the order of a 128-bit hash of the text; equal rows
     are one document, and none loses a byte to the other. Where ids repeat, every (doc_id, text) gets
-    a number in that order, and the rounds go by it.
+    a number in that order, and the rounds go by it. Other columns are ignored; no rows give none. A
+    text of any length is handled whole in one task, in memory of about 40 bytes a byte.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -516,10 +519,9 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool
 
     rows = src.select("doc", "check", "body").mapInArrow(first_ranks, ROW)
     rows = ranked(rows).mapInArrow(rerank_contexts, ROW)
-    rows = fetched(rows).mapInArrow(double_edges, ROW)
-    rows = ranked(rows).mapInArrow(keep_alive, ROW)
-    rows = fetched(rows).mapInArrow(rank_windows, ROW)
-    rows = ranked(rows).mapInArrow(repeated_windows, ROW)
+    for before, length in zip((GRAM, *LENGTHS[:-1]), LENGTHS, strict=True):
+        rows = fetched(rows).mapInArrow(rank_pieces(length, before), ROW)
+        rows = ranked(rows).mapInArrow(rerank(length), ROW)
     out = fetched(rows)
     more = ", spans array<struct<start: bigint, end: bigint>>, kept binary, kept_text string" if keep_text else ""
     out = out.mapInArrow(_cut_texts(keep_text), f"doc_id bigint{extra}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
