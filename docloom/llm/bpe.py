@@ -190,3 +190,11 @@ def vocabulary() -> tuple[str, str]:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10's ids decode to, which must be the texts."""
+    return op10_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+DECODED_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"

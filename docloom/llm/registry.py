@@ -16,12 +16,16 @@ QUERIES = {
     "op9_itq_embedding_dup": embedding_dup.op9_itq_embedding_dup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "embedding_dup_of_copies": embedding_dup.embedding_dup_of_copies,
+    "text_statistics": quality_rules.text_statistics,
+    "decoded_texts": bpe.decoded_texts,
 }
 
 SQL = {
     "op3_superminhash_near_dup": near_dup.OP3_SQL,
     "op9_itq_embedding_dup": embedding_dup.OP9_SQL,
     "embedding_dup_of_copies": embedding_dup.COPIES_SQL,
+    "text_statistics": quality_rules.STATISTICS_SQL,
+    "decoded_texts": bpe.DECODED_SQL,
     "op8_jump_hash_sharding": sharding.OP8_SQL,
     "op4_revisit_resolution": revisits.OP4_SQL,
     "op5_water_filling_mix": mixing.OP5_SQL,

@@ -1,6 +1,7 @@
 """Quality model, decision lists, language identification, tokens: brute force and held-out accuracy."""
 
 import base64
+import functools
 import math
 import random
 import re
@@ -133,11 +134,11 @@ def test_language_by_hand(spark, corpus):
             scripts = [int(language._SCRIPT[np.searchsorted(language._FIRST, ord(c), "right") - 1]) for c in word if c.isalpha()]
             yield [framed[i : i + 3] for i in range(m.start(), m.end())], len(scripts), max(scripts, default=0)
 
+    @functools.cache
     def bucket(gram):
         chunk = next(words.chunks(pa.array([gram[1:] + b"x"])))
         return int(language.buckets_of_bytes(chunk)[0]) if gram[0] == 32 else int(language.buckets_of_bytes(next(words.chunks(pa.array([gram]))))[1])
 
-    names = {}
     counts, scripts = {x: Counter() for x in langs}, {x: Counter() for x in langs}
     for r in rows:
         if r.lang in counts and not held_out("" if r.doc_id is None else r.doc_id):
@@ -145,7 +146,7 @@ def test_language_by_hand(spark, corpus):
                 if n:
                     scripts[r.lang][kind] += 1
                     for g in grams_:
-                        counts[r.lang][names.setdefault(g, bucket(g))] += 1
+                        counts[r.lang][bucket(g)] += 1
     total = {x: sum(c.values()) for x, c in counts.items()}
     cost = lambda x, b: math.log((counts[x][b] + 0.5) / (total[x] + 0.5 * language.BUCKETS))
     usual = {x: {k for k, n in c.items() if n >= language.SCRIPT_SHARE * max(1, sum(c.values()))} for x, c in scripts.items()}
@@ -155,7 +156,7 @@ def test_language_by_hand(spark, corpus):
         back = []
         for grams_, n, kind in pieces(text or ""):
             some = any(kind in usual[x] for x in langs)
-            own = [(sum(cost(x, names.setdefault(g, bucket(g))) for g in grams_) - (1e4 if some and kind not in usual[x] else 0)) if n else 0.0 for x in langs]
+            own = [(sum(cost(x, bucket(g)) for g in grams_) - (1e4 if some and kind not in usual[x] else 0)) if n else 0.0 for x in langs]
             letters.append(n)
             if best is None:
                 best = own

@@ -78,3 +78,46 @@ def test_one_row_of_each_group_stays(spark):
     got = sorted((r.doc_id or -1, r.text) for r in out if r.text not in (z, z + " more"))
     assert got == sorted([(3, x), (5, y), (8, u), (10, v), (11, ""), (11, "")])
     assert [r.doc_id for r in out if r.text in (z, z + " more")] == [None]
+
+
+ODD = [
+    (None, None, None, None, None), (None, None, None, None, None), (None, "", "en", "s", 0), (3, "", None, None, 0), (4, " \n\t ", "en", "s", None),
+    (5, "one", "en", "s", 3), (5, "one", "en", "s", 3), (5, "two words", None, "t", 9), (None, "two words", None, "t", 9), (6, "a " * 30_000, "en", "u", None),
+    (-7, "x" * 200_000, None, "u", 1), (8, "é漢😀 " * 5000, "zh", "é", 5),
+]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing extra columns: defined results, nothing lost but by rule."""
+    pytest.importorskip("public_tokenizers")
+    rng = random.Random(16)
+    prose_ = [prose(rng, 80, 10**6) for _ in range(6)]
+    rows = ODD + [(100 + i, t, "en", "s", len(t)) for i, t in enumerate(prose_)] + [(None, prose_[0], "en", "s", 1), (200, prose_[1] + " more", "en", "v", 1), (100, prose_[2], "en", "s", 1)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clashing = plain.selectExpr("*", "'x' AS score", "1 AS size", "2 AS node", "'k' AS kept", "array(1) AS bands", "3 AS taken", "4 AS row", "5 AS id", "6 AS doc", "7 AS body", "'t' AS _text")
+    for name, stage in corpus_pipeline.STAGES:
+        out = [stage(spark, df, DATA) for df in (plain, clashing)]
+        got = [sorted(map(str, f.collect())) for f in out]
+        assert got[0] == got[1], name
+        assert stage(spark, plain.where("false"), DATA).count() == 0, name
+        if name != "byte-level BPE":
+            assert out[0].columns == corpus_pipeline.COLUMNS, name
+
+    near = corpus_pipeline.near_copies(spark, clashing, DATA).collect()
+    texts = sorted((r.text or "") for r in near)
+    with_words = sorted({t for _, t, *_ in rows if t and t.split()} - {prose_[1] + " more"})
+    assert [t for t in texts if t.split()] == with_words  # one row of each group, whatever its ids
+    assert sum(not t.split() for t in texts) == 5  # rows without words are not copies of each other
+    cut = corpus_pipeline.repeated_passages(spark, plain, DATA).collect()
+    assert len(cut) == len(rows) and sum(r.text == "x" and r.n_chars == 1 for r in cut) == 1
+    mixed = corpus_pipeline.mixed(spark, plain, DATA).collect()
+    sizes, words = {}, {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    for r in mixed:
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    assert all(abs(words.get(s, 0) - t) <= 0.51 for s, t in fill(sizes, (3, 1, 2), 1.5, 2).items())
+    tokens = corpus_pipeline.tokens(spark, plain, DATA).collect()
+    assert sorted(r.decoded_sha256 for r in tokens) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t, *_ in rows)
+    kept = corpus_pipeline.quality(spark, plain, DATA).collect()
+    assert {(r.doc_id, r.text) for r in kept} <= {(i, t) for i, t, *_ in rows}
