@@ -4,9 +4,11 @@ A revisit stands for a response that the server did not send again (status 304).
 the latest earlier full response of the same canonical URL, if the validators agree; permitted
 headers of the revisit then replace those of the response.
 
-A URL may have very many captures, so the as-of join works on blocks of time: the last response of
-each (URL, block) comes from an aggregation with partial results, the last response before each
-block from a running window over these few rows, and the exact one from a window inside the block.
+A URL may have very many captures, so the as-of join works on blocks of time within blocks of time:
+the last response of each block comes from an aggregation with partial results, the last response
+before each block from a running window over the blocks of the next wider one, and the exact one
+from a window inside the narrowest. So a task orders a URL's widest blocks, the blocks of one, or the
+captures of a narrowest one. ``warc.read`` makes the table of captures from archives.
 Payloads take no part; ``attach`` fetches them by the record they were resolved to.
 """
 
@@ -22,8 +24,9 @@ TRACKING = r"^(utm_[a-z]+|fbclid|gclid|ref)(=|$)"
 #: Headers of a 304 that replace those of the stored response (fixed values, RFC 9110, section 15.4.5,
 #: with Last-Modified); all others describe a message that was not sent.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
-#: Width of a block of time, in the unit of ``ts``.
-BLOCK = 86400
+#: Widths of blocks of time, each a divisor of the one before, in the unit of ``ts`` (days and half
+#: minutes if that is a second).
+BLOCKS = (86400, 30)
 
 
 def canonical_url(url: Column) -> Column:
@@ -42,6 +45,13 @@ def canonical_url(url: Column) -> Column:
     return F.when(host == "", url).otherwise(F.concat(host, path, asked))
 
 
+def _same(columns: list[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    return out
+
+
 def lower_names(headers: Column) -> Column:
     """A map with lower-case keys; of several spellings of a name the last by code point stays."""
     entries = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
@@ -49,7 +59,7 @@ def lower_names(headers: Column) -> Column:
     return F.map_from_entries(F.filter(entries, last))
 
 
-def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
+def resolve(records: DataFrame, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
     """Every revisit of ``records`` with its response.
 
     records: record_id, kind ('response' or 'revisit'), url, ts (bigint), status, etag,
@@ -68,17 +78,29 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = rows.where(full | (F.col("kind") == "revisit"))
     # Revisits without a URL or a time stay, spread out, and find nothing.
     lost = F.col("url").isNull() | F.col("ts").isNull()
-    rows = rows.withColumns({"_block": F.floor(F.col("ts") / block), "_spread": F.when(lost, F.xxhash64("record_id"))})
+    # A block's key holds the wider ones too, so that a narrower window keeps to them.
+    levels = [f"_b{i}" for i in range(len(blocks))]
+    rows = rows.withColumns({name: F.floor(F.col("ts") / width) for name, width in zip(levels, blocks, strict=True)})
+    rows = rows.withColumn("_spread", F.when(lost, F.xxhash64("record_id")))
     response = F.when(full, F.struct("ts", F.col("record_id").alias("id"), "etag", "last_modified", "digest", "headers"))
     key = F.when(full, F.struct("ts", "record_id"))
-    blocks = rows.groupBy("url", "_block", "_spread").agg(F.max_by(response, key).alias("_last"))
-    before = Window.partitionBy("url", "_spread").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("url", "_block", "_spread", F.last("_last", ignorenulls=True).over(before).alias("_before"))
-    same = F.col("r.url").eqNullSafe(F.col("b.url")) & F.col("r._block").eqNullSafe(F.col("b._block")) & F.col("r._spread").eqNullSafe(F.col("b._spread"))
-    rows = rows.alias("r").join(blocks.alias("b"), same).select("r.*", "b._before")
+    own = ["url", "_spread", *levels]
+    lasts = [rows.groupBy(*own).agg(F.max_by(response, key).alias("_last"))]
+    order = F.when(F.col("_last").isNotNull(), F.struct("_last.ts", "_last.id"))
+    for i in range(len(blocks) - 1, 0, -1):
+        lasts.insert(0, lasts[0].groupBy("url", "_spread", *levels[:i]).agg(F.max_by("_last", order).alias("_last")))
+    before = None
+    for i, last in enumerate(lasts):
+        above = ["url", "_spread", *levels[:i]]
+        w = Window.partitionBy(*above).orderBy(levels[i]).rowsBetween(Window.unboundedPreceding, -1)
+        found = last.withColumn("_near", F.last("_last", ignorenulls=True).over(w))
+        if before is not None:
+            found = found.alias("x").join(before.alias("y"), _same(above), "left").select("x.*", "y._before")
+            found = found.withColumn("_near", F.coalesce("_near", "_before"))
+        before = found.select(*above, levels[i], F.col("_near").alias("_before"))
+    rows = rows.alias("x").join(before.alias("y"), _same(own)).select("x.*", "y._before")
     # By ts alone: a range up to ts - 1 leaves out captures at the same time.
-    inside = Window.partitionBy("url", "_block", "_spread").orderBy("ts")
-    earlier = inside.rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*own).orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     held = F.coalesce(F.max_by(response, key).over(earlier), F.col("_before"))
     rows = rows.withColumn("_ref", F.when(~lost, held)).where("kind = 'revisit'")
     weak = lambda c: F.regexp_replace(c, "^W/", "")

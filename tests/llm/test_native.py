@@ -159,6 +159,25 @@ def test_only_the_edge_of_a_source_is_shuffled(spark):
     assert plan.count("BroadcastHashJoin") == 2 and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_revisits_by_brute_force(spark):
+    """Many captures of few URLs, by blocks of any widths."""
+    rng = random.Random(17)
+    rows = []
+    for k in range(500):
+        url, ts, tag = f"http://u{rng.randrange(3)}.org/", rng.choice([None, *range(120)]), f'"{rng.randrange(3)}"'
+        rows.append((k, rng.choice(["response", "revisit"]), url, ts, rng.choice([200, 200, 404]), tag, None, None, {"k": str(k)}))
+    want = {}
+    for k, kind, url, ts, _, tag, *_ in rows:
+        if kind == "revisit":
+            held = [r for r in rows if r[1] == "response" and r[2] == url and r[4] == 200 and r[3] is not None and ts is not None and r[3] < ts]
+            ref = max(held, key=lambda r: (r[3], r[0]), default=None)
+            want[k] = ("missing", None) if ref is None else ("resolved" if ref[5] == tag else "mismatch", ref[0])
+    df = spark.createDataFrame([(*r, "own") for r in rows], RECORDS).repartition(3)
+    for blocks in ((86400, 30), (40, 10, 2), (6, 2), (7,), (1,)):
+        got = revisits.resolve(df, blocks).collect()
+        assert len(got) == len(want) and {r.record_id: (r.outcome, r.ref_id) for r in got} == want, blocks
+
+
 RECORDS = "record_id bigint, kind string, url string, ts bigint, status int, etag string, last_modified string, digest string, headers map<string,string>, outcome string"
 
 
@@ -181,7 +200,7 @@ def test_revisits(spark):
         (13, "revisit", "http://y.org/a", 40, 304, None, None, None, None),
     ]
     df = spark.createDataFrame([(*r, "own") for r in rows], RECORDS)
-    got = {r.record_id: r for r in revisits.resolve(df, block=7).collect()}
+    got = {r.record_id: r for r in revisits.resolve(df, blocks=(21, 7)).collect()}
     assert revisits.resolve(df).count() == 10 and {r.url for r in got.values()} >= {"x.org/a?a=1&b=2", "y.org/a", None}
     short = {k: (r.outcome, r.ref_id, r.status) for k, r in got.items()}
     assert short == {
