@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.workers import ready
+
 #: Roles from the least to the greatest, and the rate limit (tokens a second, burst).
 ROLES = ["guest", "read", "write", "admin"]
 RATE, BURST = 100.0, 200.0
@@ -94,5 +96,6 @@ def over_rate(requests: DataFrame, key: str = "user", ts: str = "ts", per_second
                 level -= used
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed)], names=[key, "s", "requests", "allowed"])
 
+    ready(requests.sparkSession)
     out = rows.mapInArrow(run, f"`{key}` {kind}, s bigint, requests bigint, allowed bigint")
     return out.select(key, F.timestamp_seconds("s").alias("second"), "requests", "allowed")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import vector
+from docloom.workers import ready
 
 #: Lists; vectors to learn on at most, and rounds of learning.
 LISTS, SAMPLE, ROUNDS, SEED = 64, 20_000, 15, 7
@@ -124,6 +125,7 @@ def build(df: DataFrame, path: str, lists: int = LISTS, vector_col: str = "vecto
                 out[right] = (own @ centroids.T).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "_list"])
 
+    ready(df.sparkSession)
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     rows.mapInArrow(assign, f"{kinds}, _list int").write.mode(mode).partitionBy("_list").parquet(path)
     return Index(path, centroids, enough_probes(x, centroids))

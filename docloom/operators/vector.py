@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from docloom.functions import scalars
 from docloom.plans.filters import find
+from docloom.workers import ready
 
 METRICS = ("cosine", "l2", "ip")
 #: Queries are sent to all executors in blocks of about so many bytes.
@@ -151,6 +152,7 @@ def _scored(df: DataFrame, queries: np.ndarray, k: int, metric: str, vector: str
     src = df.where(F.size(vector) == queries.shape[1]).select(F.col(f"`{id_col}`"), v.alias("_vector"), *[F.col(f"`{c}`") for c in rest])
     kinds = dict(src.dtypes)
     schema = f"_q bigint, `{score}` double, " + ", ".join(f"`{c}` {kinds[c]}" for c in [id_col, *rest])
+    ready(df.sparkSession)
     return src.mapInArrow(_search(queries, k, metric, score, readers), schema)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from docloom.sources import toon
+from docloom.workers import ready
 
 #: Documents of a file at most.
 ROWS_PER_FILE = 100_000
@@ -36,6 +37,7 @@ def read_toon(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
     A file is one task's work; write many files for much data.
     """
+    ready(spark)
     rows = spark.read.text(path, wholetext=True).mapInArrow(_documents, "doc string")
     if schema is None:
         return rows.select(F.parse_json("doc").alias("doc"))
@@ -53,6 +55,7 @@ def _texts(collection: str):
 
 def write_toon(df: DataFrame, path: str, collection: str = "documents", mode: str = "error", rows_per_file: int = ROWS_PER_FILE) -> None:
     """One file for each partition of about ``rows_per_file`` documents."""
+    ready(df.sparkSession)
     as_json = F.to_json("doc") if df.columns == ["doc"] else F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
     rows = df.select(as_json.alias("json"))
     files = max(1, -(-df.count() // rows_per_file))
@@ -175,4 +178,5 @@ class ToonDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ready(spark)
     spark.dataSource.register(ToonDataSource)

@@ -15,6 +15,7 @@ from docloom.operators.access import BURST, RATE
 from docloom.operators.latest import latest_per_key
 from docloom.plans.filters import Fields, predicate
 from docloom.sources.collections import EVENTS, LOG, Collection, Files, Store
+from docloom.workers import ready
 
 OPERATIONS = ("insert", "update", "delete", "drop")
 MARK = "_COMPLETE"
@@ -186,6 +187,7 @@ def limit_rate(requests: DataFrame, key: str = "user", ts: str = "ts", per_secon
     the requests' own time; a request takes one or is refused. Requests of a micro-batch count in the
     order of their times; one that comes late adds no tokens.
     """
+    ready(requests.sparkSession)
     name = dict(requests.dtypes)[key]
 
     def step(who, parts, bucket: GroupState):
