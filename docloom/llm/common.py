@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.workers import ready
+
 #: A word, by the contracts of the corpus queries: a run of bytes other than space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id inside an operator, so that such rows keep a place in every order.
@@ -28,15 +30,10 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 def ship(spark: SparkSession) -> None:
     """Ready a session for Python workers: small batches, and a path to this package.
 
-    The path only helps where the package is not installed but visible to the workers. The bound
-    on batches stays set in the session, for plans run after an operator has returned.
+    The bound on batches stays set in the session, for plans run after an operator has returned.
     """
     spark.conf.set(*BATCH_BYTES)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    ready(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
