@@ -21,6 +21,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op3_superminhash_near_dup": near_dup.OP3_SQL,
     "op9_itq_embedding_dup": embedding_dup.OP9_SQL,
     "embedding_dup_of_copies": embedding_dup.COPIES_SQL,

@@ -532,3 +532,23 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), keep_text: bool
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: All windows of 100 bytes, as hex, by brute force; those that are not the first of their kind cover
+#: what goes.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (SELECT doc_id, h, n, unnest(range(0, n - 99, 500)) AS j FROM d WHERE n >= 100),
+q AS (SELECT doc_id, j, least(500, n - 99 - j) AS m, substr(h, 2 * j + 1, 1198) AS part FROM b),
+p AS (SELECT doc_id, j, part, unnest(range(0, m)) AS k FROM q),
+w AS (SELECT doc_id, j + k AS i, row_number() OVER (PARTITION BY md5_number(substr(part, 2 * k + 1, 200)) ORDER BY doc_id, j + k) > 1 AS again FROM p),
+s AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER o + 100 OR lag(i) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM w WHERE again WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+g AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM r GROUP BY 1, 2),
+k AS (SELECT doc_id, coalesce(lag(b) OVER o, 0) AS a, g.a AS b FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY g.a)
+      UNION ALL SELECT d.doc_id, coalesce(max(g.b), 0), d.n FROM d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id, d.n),
+t AS (SELECT k.doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY 1),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM g GROUP BY 1)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t ON t.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
