@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import math
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,9 @@ from docloom.functions.scalars import tokens
 
 #: Folders that the postings are dealt out to.
 BUCKETS = 64
+#: Counts of so many searches at most are kept at a time; older ones are made again if asked for.
+SEARCHES = 4
+_kept: deque[DataFrame] = deque()
 
 
 def query_words(spark: SparkSession, query: str) -> Counter:
@@ -62,6 +65,9 @@ def search(df: DataFrame, query: str, limit: int | None = 10, text: str = "text"
     taken = df.where(maybe).select(F.col(id_col), F.explode(F.array(F.struct(tokens(F.col(text)).alias("found")))).alias("_t"))
     hits = taken.select(id_col, F.size("_t.found").alias("n"), F.explode(F.array(F.filter(counts, lambda p: p > 0))).alias("at")).where(F.size("at") > 0)
     hits = hits.select(id_col, "n", *[F.size(F.filter("at", _equal_to(i + 1))).alias(f"_{i}") for i in range(len(terms))]).persist()
+    _kept.append(hits)
+    while len(_kept) > SEARCHES:
+        _kept.popleft().unpersist()
     known = hits.agg(*[F.count_if(F.col(f"_{i}") > 0) for i in range(len(terms))]).first()
     total = df.count()
     score = F.lit(0.0)

@@ -70,7 +70,7 @@ def watch_store(store: Store, operations: list[str] | None = None, collections:
     """
     # Names of folders tell database, collection and commit: with a pattern for a path there are no partition columns.
     plain = LOG.rsplit(",", 1)[0]
-    files = store.spark.readStream.schema(plain).option("ignoreMissingFiles", "true").parquet(f"{store.root}/[!_]*/[!_]*/commits/*/*.parquet")
+    files = store.spark.readStream.schema(plain).option("ignoreMissingFiles", "true").parquet(f"{store.root}/[^_]*/[^_]*/commits/*/*.parquet")
     at = lambda k: F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/([^/]+)/commits/_seq=(\d+)/[^/]+$", k)
     changed = events(files.select("*", at(1).alias("db"), at(2).alias("coll"), at(3).cast("bigint").alias("_seq")))
     if not Files(store.spark).exists(f"{store.root}/_events"):
