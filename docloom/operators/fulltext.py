@@ -43,6 +43,15 @@ def _none(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
 
 
+def _keep(hits: DataFrame) -> None:
+    """Remember what is persisted, and let go of what is too old; a stopped session has let go already."""
+    for old in [x for x in _kept if x.sparkSession is not hits.sparkSession]:
+        _kept.remove(old)
+    _kept.append(hits)
+    while len(_kept) > SEARCHES:
+        _kept.popleft().unpersist()
+
+
 def search(df: DataFrame, query: str, limit: int | None = 10, text: str = "text", id_col: str = "_id") -> DataFrame:
     """(id, score) by falling score, ties in order of id.
 
@@ -65,9 +74,7 @@ def search(df: DataFrame, query: str, limit: int | None = 10, text: str = "text"
     taken = df.where(maybe).select(F.col(id_col), F.explode(F.array(F.struct(tokens(F.col(text)).alias("found")))).alias("_t"))
     hits = taken.select(id_col, F.size("_t.found").alias("n"), F.explode(F.array(F.filter(counts, lambda p: p > 0))).alias("at")).where(F.size("at") > 0)
     hits = hits.select(id_col, "n", *[F.size(F.filter("at", _equal_to(i + 1))).alias(f"_{i}") for i in range(len(terms))]).persist()
-    _kept.append(hits)
-    while len(_kept) > SEARCHES:
-        _kept.popleft().unpersist()
+    _keep(hits)
     known = hits.agg(*[F.count_if(F.col(f"_{i}") > 0) for i in range(len(terms))]).first()
     total = df.count()
     score = F.lit(0.0)
