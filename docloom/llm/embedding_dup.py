@@ -88,9 +88,6 @@ class Index:
     tables: int
     apart: int
 
-    def bits(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) @ self.projection >= 0
-
     def values(self, x: np.ndarray, tables: int | None = None) -> np.ndarray:
         """(rows, tables) substrings as numbers."""
         n = self.tables if tables is None else tables

@@ -52,7 +52,8 @@ PAIR_ROOM = 0.16
 ALL = 2.0
 #: Nodes of a bucket, and shingles of a family, that one task handles.
 BUCKET_BLOCK, FAMILY_BLOCK = 20000, 1 << 21
-#: Nodes to verify are sent to all executors if they are no more than this (some 80 bytes each).
+#: Nodes to verify are sent to all executors if they and their groups are no more than this (24 bytes each, and two
+#: more for each node).
 MOST_BROADCAST = 1 << 18
 ELEMENT = 52
 NO_DOC = 2**63 - 1
@@ -446,7 +447,7 @@ def verified(src: DataFrame, groups: DataFrame, rule: Rule, repeated: bool) -> D
     many times.
     """
     placed = cut(groups.groupBy("id").agg(F.first("row").alias("row"), F.collect_set(F.struct("family", "x", "y")).alias("groups")).select("id", "groups", "row.*"))
-    if placed.count() <= MOST_BROADCAST:
+    if (placed.agg(F.sum(F.size("groups") + 2)).first()[0] or 0) <= MOST_BROADCAST:
         placed = F.broadcast(placed)
     texts = src.join(placed, ROW)
     if repeated:
