@@ -10,8 +10,9 @@
    in number. There are as many tables as it takes for ``RECALL`` of pairs at the threshold to meet,
    as measured on pairs made from the sample.
 4. In a bucket of a table the first 64 bits of the codes are compared first. Only nodes with a partner
-   whose code is close enough fetch their vectors, and are compared by these in double precision,
-   block by block; a pair that meets in several tables is counted in the first one only.
+   whose code is close enough, and that they did not meet in an earlier table (by 16 bits of each
+   substring), fetch their vectors, and are compared by these in double precision, block by block; a
+   pair that meets in several tables is counted in the first one only.
 5. Links that are found give numbers of links and, through a spanning forest of each bucket, the
    components. Pairs are never emitted.
 """
@@ -158,7 +159,7 @@ def _by_dims(batch: pa.RecordBatch, at: int):
 
 
 def _encode(indexes: dict[int, Index]):
-    """(node, one, two, v) to a row for each table: (one, two, key, node, sketch)."""
+    """(node, one, two, v) to a row for each table: (one, two, key, node, sketch, met: 16 bits of each earlier substring)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,21 +168,24 @@ def _encode(indexes: dict[int, Index]):
                 for d, rows, x in _by_dims(part, 3):
                     index, take = indexes[d], pa.array(rows)
                     values, sketch = index.values(x), pa.array(index.sketch(x).view(np.int64))
+                    short = (values ^ values >> 16 ^ values >> 32).astype(np.uint16)
                     node, one, two = (part.column(i).take(take) for i in range(3))
                     for t in range(index.tables):
-                        yield pa.RecordBatch.from_arrays([one, two, pa.array(values[:, t] | t << PLACE), node, sketch], names=["one", "two", "key", "node", "sketch"])
+                        met = pa.array([r.tobytes() for r in short[:, :t]], pa.binary())
+                        yield pa.RecordBatch.from_arrays([one, two, pa.array(values[:, t] | t << PLACE), node, sketch, met], names=["one", "two", "key", "node", "sketch", "met"])
 
     return run
 
 
 def _close(apart: int):
-    """Rows of one bucket and pair of blocks to those that have a partner whose sketch is close."""
+    """Rows of one bucket and pair of blocks to those that have a partner whose sketch is close, and whom they first meet here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 5):
             if t.num_rows < 2:
                 continue
             second, sketch = t.column("second").to_numpy(), t.column("sketch").to_numpy().view(np.uint64)
+            met = np.frombuffer(b"".join(t.column("met").to_pylist()), np.uint16).reshape(len(sketch), -1).T
             alive = np.zeros(len(sketch), bool)
             cross = int(t.column("i")[0].as_py()) != int(t.column("j")[0].as_py())
             for low in range(0, len(sketch), 512):
@@ -190,9 +194,11 @@ def _close(apart: int):
                     near &= second[low : low + 512, None] != second[None, :]
                 else:
                     near[np.arange(len(near)), np.arange(low, low + len(near))] = False
+                for earlier in met:
+                    near &= earlier[low : low + 512, None] != earlier[None, :]
                 alive[low : low + 512] = near.any(axis=1)
             if alive.any():
-                kept = t.filter(pa.array(alive)).drop_columns("sketch").combine_chunks()
+                kept = t.filter(pa.array(alive)).drop_columns(["sketch", "met"]).combine_chunks()
                 yield from kept.to_batches()
 
     return run
@@ -287,11 +293,11 @@ def find_links(nodes: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -
         return spark.createDataFrame([], "kind int, a bigint, b bigint")
     met = nodes.where(F.size("v").isin(list(indexes)))
     key = ["one", "two", "key"]
-    rows = cut(met.select("node", "one", "two", "v").mapInArrow(_encode(indexes), "one bigint, two bigint, key bigint, node bigint, sketch bigint"))
+    rows = cut(met.select("node", "one", "two", "v").mapInArrow(_encode(indexes), "one bigint, two bigint, key bigint, node bigint, sketch bigint, met binary"))
     full = rows.groupBy(*key).count().where("count > 1").select(*key, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     placed = rows.join(full, key).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(*key, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", (F.col("mine") > F.col("other")).alias("second"), "sketch")
+    placed = placed.select(*key, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", (F.col("mine") > F.col("other")).alias("second"), "sketch", "met")
     apart = max(i.apart for i in indexes.values())
     pair = [*key, "i", "j"]
     close = placed.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_close(apart), "one bigint, two bigint, key bigint, i int, j int, node bigint, second boolean")
