@@ -221,7 +221,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, most: int = MOST_LANGUAGES) -> Model:
-    """Learn from about ``sample`` texts of each language outside fold 1, drawn by a hash of doc_id.
+    """Learn from about ``sample`` texts of each language outside fold 1, drawn by a hash of doc_id and text.
+
+    The text takes part so that rows which share an id, or have none, are not drawn all or none.
 
     Of more than ``most`` languages the most frequent ones are learned (ties: those whose names are
     first). The driver gets at most ``most`` x (buckets + scripts) counts.
@@ -231,7 +233,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = MOST_LANGUAGES) -> Mo
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not sizes:
         return learn([], [])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20).cast("bigint"))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20).cast("bigint"))
     share = None
     for lang, n in sorted(sizes.items()):
         limit = F.lit(min(1 << 20, -(-sample * (1 << 20) // n)))
