@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from docloom.llm import bpe, language, quality_model, quality_rules, words
+from docloom.llm.labelled import training_texts
 
 DOCS = "doc_id bigint, text string, lang string, source string, score double, kept boolean, n_words int"
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "ein", "der"], "cc": ["да", "не", "ти", "ко"]}
@@ -320,6 +321,22 @@ def test_most_frequent_languages(spark, corpus):
     assert language.fit(docs, most=2).languages == sorted(want)
 
 
+def test_samples_of_rows_that_share_an_id(spark):
+    """An id that very many rows share, or none, neither fills a sample nor is left out of it."""
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    ids = [i for i in range(99) if not held_out(i)][:3] + [i for i in range(99) if held_out(i)][:2]
+    rows = [(i, text(), "aa", "s", None, None, None) for i in ids] + [(ids[0], text(), "aa", "s", None, None, None) for _ in range(500)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id bigint, quality int, toxic int")
+    got = training_texts(spark.createDataFrame(rows, DOCS).repartition(3), labels, "quality", 100).collect()
+    assert sorted(r.doc_id for r in got) == ids[:3] and all(bytes(r.text).decode() in {t for i, t, *_ in rows if i == r.doc_id} for r in got)
+    again = training_texts(spark.createDataFrame(rows[::-1], DOCS), labels, "quality", 100).collect()
+    assert {(r.doc_id, bytes(r.text)) for r in again} == {(r.doc_id, bytes(r.text)) for r in got}
+    nameless = spark.createDataFrame([(None, text(), "aa", "s", None, None, None) for _ in range(2000)], DOCS)
+    column = language.fit(nameless, sample=100).table[:, 0]
+    assert 300 < int((column > column.min()).sum()) < 2500
+
+
 def reference_encoding():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     path, pattern = bpe.vocabulary()
