@@ -5,8 +5,8 @@ what a source can't take is shared out again by weight. The fixed point of that
 target = min(cap, level x weight). With the sources sorted by cap / weight, the level follows from
 two running sums, so no rounds are needed. Whole repetitions go to every document of a source, the
 fractional one to a seeded sample of them: documents in the order of a hash, until the words are used
-up. Only the bin of the hash in which that happens is sorted; texts take part in no shuffle but
-those of that bin.
+up. The bin of the hash in which that happens is found in two steps, each by sums over bins, and only
+what is in the last one (1 of 16 million of a source) is sorted; other texts take part in no shuffle.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
-#: Bits of the hash that orders documents, and of its bins within a source.
-HASH_BITS, BIN_BITS = 60, 12
+#: Bits of the hash that orders documents, of its bins within a source, and of the bins within the bin at the edge.
+HASH_BITS, BIN_BITS, EDGE_BITS = 60, 12, 24
 #: The plan (about 60 bytes a source) is sent to all executors for at most so many sources.
 MOST_BROADCAST = 1 << 17
 
@@ -68,24 +68,45 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, bin, words) to one row a source: source_size, target, repeats, rest, edge and below.
+def edge_of(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+    """(source, edge, below): the bin of ``sizes`` (source, bin, words) in which a source's ``rest`` words are used up.
+
+    ``below`` words stand before the bin; ``goals`` has ``base``, the words before a source's first bin.
+    """
+    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = sizes.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    below = F.col("g.base") + F.col("b.below")
+    inside = (below <= F.col("g.rest")) & (F.col("g.rest") < below + F.col("b.words"))
+    joined = bins.alias("b").join(goals.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).where(inside)
+    return joined.select("b.source", F.col("bin").alias("edge"), below.alias("below"))
+
+
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(source, size, _u) to one row a source: source_size, target, repeats, rest, edge and below.
 
     Every document is taken ``repeats`` times whole; ``rest`` words more come from the documents
-    before bin ``edge`` (null: from all) and from those in it, before which stand ``below`` words.
+    before bin ``edge`` of ``EDGE_BITS`` (null: from all) and from those in it, before which stand
+    ``below`` words. ``rows`` is gone through twice, so it is best a checkpoint.
     """
-    sizes = cut(sizes)
+    sizes = cut(rows.groupBy("source", bin_of(F.col("_u")).alias("bin")).agg(F.sum("size").alias("words")))
     goals = targets(sizes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     repeats = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("bigint")
     goals = goals.withColumn("repeats", repeats).withColumn("rest", F.floor(F.col("target") + F.lit(0.5)).cast("bigint") - F.col("repeats") * F.col("source_size"))
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = sizes.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    same = F.col("b.source").eqNullSafe(F.col("g.source"))
-    inside = (F.col("b.below") <= F.col("g.rest")) & (F.col("g.rest") < F.col("b.below") + F.col("b.words"))
-    edges = bins.alias("b").join(goals.alias("g"), same).where(inside).select("b.source", F.col("bin").alias("edge"), "below")
+    goals = small(goals)
+    wide = small(edge_of(sizes, goals.withColumn("base", F.lit(0).cast("bigint"))))
+    # The bin is taken apart by the bits that follow.
+    inside = F.col("r.source").eqNullSafe(F.col("w.source")) & (bin_of(F.col("r._u")) == F.col("w.edge"))
+    within = rows.alias("r").join(wide.alias("w"), inside).groupBy("r.source", bin_of(F.col("r._u"), EDGE_BITS).alias("bin")).agg(F.sum("r.size").alias("words"))
+    based = goals.alias("g").join(wide.alias("w"), F.col("g.source").eqNullSafe(F.col("w.source"))).select("g.source", "rest", F.col("below").alias("base"))
+    edges = edge_of(within, based)
     out = goals.alias("g").join(edges.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left")
-    out = cut(out.select("g.source", "source_size", "target", "repeats", "rest", "edge", "below"))
-    return F.broadcast(out) if out.count() <= MOST_BROADCAST else out
+    return small(out.select("g.source", "source_size", "target", "repeats", "rest", "edge", "below"))
+
+
+def small(by_source: DataFrame) -> DataFrame:
+    """Rows of sources, kept by a checkpoint, and sent to all executors if they are few."""
+    by_source = cut(by_source)
+    return F.broadcast(by_source) if by_source.count() <= MOST_BROADCAST else by_source
 
 
 def planned(rows: DataFrame, goals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +116,7 @@ def planned(rows: DataFrame, goals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     joined = rows.alias("r").join(goals.withColumnRenamed("source", "_source").alias("g"), F.col("r.source").eqNullSafe(F.col("_source")))
     joined = joined.select("r.*", *[F.col(f"g.{c}").alias(f"_{c}") for c in ("source_size", "target", "repeats", "rest", "edge", "below")])
-    at = bin_of(F.col("_u"))
+    at = bin_of(F.col("_u"), EDGE_BITS)
     away = joined.where(F.col("_edge").isNull() | (at != F.col("_edge"))).withColumn("_full", F.coalesce(at < F.col("_edge"), F.lit(True)))
     return away, joined.where(at == F.col("_edge"))
 
@@ -118,10 +139,10 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
     0, a source of size 0 has target 0, no rows give none. Texts of any length are counted whole.
 
     Texts are read once: ids, sources, sizes and hashes are kept by a checkpoint. A hot source is no
-    hot task: sums are taken by (source, bin of the hash), and only the bin at the edge is sorted.
+    hot task: sums are taken by (source, bin of the hash), and only the fine bin at the edge is sorted.
     """
     rows = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), place(seed).alias("_u")))
-    goals = plan(rows.groupBy("source", bin_of(F.col("_u")).alias("bin")).agg(F.sum("size").alias("words")), weights, share, max_epochs)
+    goals = plan(rows, weights, share, max_epochs)
     away, edge = planned(rows, goals)
     size = F.col("size")
     away = away.withColumn("_part", F.when(F.col("_full"), size).otherwise(F.lit(0)))
@@ -136,11 +157,12 @@ def repeated_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shar
 
     A document whose last repetition is a part has that part's words, joined by blanks, in one row
     more; where there is a column n_chars, that row has the part's length. Texts without words are in
-    no mix. Only texts in the bin at the edge of a source are shuffled.
+    no mix. Texts are read twice: for sizes and hashes, kept by a checkpoint, and for the mix. Only texts
+    in the fine bin at the edge of a source are shuffled.
     """
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "source", "text", place(seed).alias("_u"))
-    sizes = rows.select("source", bin_of(F.col("_u")).alias("bin"), words(F.col("text")).alias("size")).groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    sizes = cut(rows.select("source", words(F.col("text")).alias("size"), "_u"))
     away, edge = planned(rows, plan(sizes, weights, share, max_epochs))
     copies = F.col("_repeats") + F.when(F.col("_full"), 1).otherwise(0)
     out = away.where(F.col("text").rlike(WORD)).select("_row", F.explode(F.array_repeat(F.lit(None).cast("string"), copies.cast("int"))).alias("_text"))

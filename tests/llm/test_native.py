@@ -153,6 +153,17 @@ def test_the_mix_of_rows_without_ids_and_texts(spark):
     assert mixing.repeated_documents(frame(spark, [])).count() == 0
 
 
+def test_bins_decide_nothing(spark, monkeypatch):
+    """With few bins many rows stand in the edge of a source; the mix is the same."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, i]), " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(30))), rng.choice("aaab")) for i in range(300)]
+    df = frame(spark, rows)
+    want = Counter(map(tuple, mixing.mix_documents(df).collect())), Counter(map(tuple, mixing.repeated_documents(df).collect()))
+    monkeypatch.setattr(mixing.bin_of, "__defaults__", (1,))
+    monkeypatch.setattr(mixing, "EDGE_BITS", 3)
+    assert (Counter(map(tuple, mixing.mix_documents(df).collect())), Counter(map(tuple, mixing.repeated_documents(df).collect()))) == want
+
+
 def test_only_the_edge_of_a_source_is_shuffled(spark):
     df = frame(spark, [(i, "some words", "ab"[i % 2]) for i in range(50)])
     plan = mixing.repeated_documents(df)._jdf.queryExecution().executedPlan().toString()
