@@ -43,6 +43,8 @@ DEFAULT_DATABASE = "default"
 #: A log of more bytes than this is not joined with its newest versions, but rid of the older ones, if these are
 #: no more than so many (they are sent to all executors, 16 bytes each).
 LARGE_LOG, MOST_OLDER = 1 << 30, 1 << 21
+#: A commit of many small files is packed into files of about so many bytes: readers and streams pay for each file.
+FILE_BYTES = 8 << 20
 MARK = "_COMPLETE"
 _NAME = re.compile(r"^[^\W_][\w.-]*$")
 
@@ -79,6 +81,11 @@ class Files:
         fs, p = self._at(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
+    def sizes(self, path: str) -> list[int]:
+        """Bytes of each data file in a folder."""
+        fs, p = self._at(path)
+        return [s.getLen() for s in fs.listStatus(p) if s.isFile() and s.getPath().getName()[0] not in "._"]
+
     def write(self, path: str, text: str) -> None:
         fs, p = self._at(path)
         out = fs.create(p, True)
@@ -418,12 +425,24 @@ class Collection:
         aside = f"{self.path}/_writing/{uuid.uuid4().hex}"
         rows = self._sealed(rows.withColumn("_ts", F.current_timestamp()))
         rows.select("_id", "_n", "_op", "_ts", "_created", "doc", "vector").write.parquet(aside)
+        aside = self._packed(aside)
         seq = 1 + max([*self._commits(), self._base()[0]], default=0)
         if not self.files.move(aside, f"{self.log_path}/_seq={seq:012d}"):
             self.files.delete(aside)
             raise RuntimeError(f"commit {seq} of {self.name!r} was written by another writer")
         return seq
 
+    def _packed(self, folder: str) -> str:
+        """A folder with the same rows in files of about FILE_BYTES, if they were written as many small ones."""
+        sizes = self.files.sizes(folder)
+        n = max(1, round(sum(sizes) / FILE_BYTES))
+        if len(sizes) <= 1.5 * n:
+            return folder
+        packed = f"{self.path}/_writing/{uuid.uuid4().hex}"
+        self.spark.read.schema(LOG.rsplit(",", 1)[0]).parquet(folder).coalesce(n).write.parquet(packed)
+        self.files.delete(folder)
+        return packed
+
     def insert_many(self, rows: DataFrame | list[dict[str, Any]]) -> int:
         """Documents as dicts, or a DataFrame whose columns are fields (``vector`` and ``_id`` apart).
 

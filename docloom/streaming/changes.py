@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -125,53 +126,93 @@ def keep_state(spark: SparkSession, stream: DataFrame, path: str, checkpoint: st
     """Keep the last version of every document under ``path``; ``state`` reads it.
 
     A micro-batch writes its own newest versions only, to a folder that it overwrites if it is tried
-    again. Every ``merge_every`` batches these are merged into a new base; the folders go when the base
-    after the next one stands.
+    again. Every ``merge_every`` batches these are merged into a run, every ``merge_every`` runs into a
+    longer one and so on, so a version is written again as often as a logarithm of the batches says. A run
+    from the first batch on is a base, without deletions. What a run holds goes when the next one stands.
     """
     files = Files(spark)
 
     def merge(batch: DataFrame, number: int) -> None:
         new = batch.select(F.col("documentKey._id").alias("_id"), "seq", F.col("operationType").alias("op"), "timestamp", F.to_json("doc").alias("json"))
         latest_per_key(new, ["_id"], ["seq", "timestamp"]).write.mode("overwrite").parquet(f"{path}/changes/batch={number:012d}")
-        if (number + 1) % merge_every == 0:
-            bases = _bases(files, path)
-            state(spark, path).where("op <> 'delete'").write.mode("overwrite").parquet(f"{path}/base/upto={number:012d}")
-            files.write(f"{path}/base/upto={number:012d}/{MARK}", "")
-            if bases:
-                _forget(files, path, bases)
+        first = _run_from(number, merge_every)
+        runs = _runs(files, path)
+        if first is None or any(r.last == number for r in runs):
+            return
+        parts = [p for p in _parts(files, path) if p.last >= first]
+        first = parts[0].first
+        rows = _newest(spark, parts)
+        folder = f"{path}/runs/run={first:012d}-{number:012d}" if first else f"{path}/base/upto={number:012d}"
+        (rows if first else rows.where("op <> 'delete'")).write.mode("overwrite").parquet(folder)
+        files.write(f"{folder}/{MARK}", "")
+        _forget(files, path, runs)
 
     return subscribe(stream, merge, checkpoint, once)
 
 
+class Part(NamedTuple):
+    """A folder with the newest versions of the batches from ``first`` to ``last``."""
+
+    first: int
+    last: int
+    kind: str
+    folder: str
+
+
+def _run_from(number: int, every: int) -> int | None:
+    """The first batch of the run that ends with this one: ``every`` batches, or that times ``every`` as often as it divides."""
+    n, size = number + 1, every
+    if n % every:
+        return None
+    while 1 < every and n % (size * every) == 0:
+        size *= every
+    return n - size if every > 1 else 0
+
+
 def _number(name: str) -> int:
     return int(name.split("=")[1])
 
 
-def _bases(files: Files, path: str) -> list[str]:
-    return [n for n in files.names(f"{path}/base") if files.exists(f"{path}/base/{n}/{MARK}")]
+def _runs(files: Files, path: str) -> list[Part]:
+    """Complete bases and runs."""
+    bases = [Part(0, _number(n), "base", f"{path}/base/{n}") for n in files.names(f"{path}/base")]
+    runs = [Part(*map(int, n.split("=")[1].split("-")), "run", f"{path}/runs/{n}") for n in files.names(f"{path}/runs")]
+    return [r for r in bases + runs if files.exists(f"{r.folder}/{MARK}")]
+
+
+def _batches(files: Files, path: str) -> list[Part]:
+    return [Part(_number(n), _number(n), "batch", f"{path}/changes/{n}") for n in files.names(f"{path}/changes")]
 
 
-def _forget(files: Files, path: str, bases: list[str]) -> None:
-    """Remove what readers of the newest of ``bases`` don't need."""
-    for name in files.names(f"{path}/changes"):
-        if _number(name) <= _number(bases[-1]):
-            files.delete(f"{path}/changes/{name}")
-    for name in bases[:-1]:
-        files.delete(f"{path}/base/{name}")
+def _parts(files: Files, path: str) -> list[Part]:
+    """The fewest folders that hold all batches, oldest first."""
+    out: list[Part] = []
+    for p in sorted(_runs(files, path) + _batches(files, path), key=lambda p: (p.first, -p.last, p.kind == "batch")):
+        if not out or p.last > out[-1].last:
+            out.append(p)
+    return out
+
+
+def _forget(files: Files, path: str, runs: list[Part]) -> None:
+    """Remove what readers of ``runs`` don't need."""
+    for p in runs + _batches(files, path):
+        if any(r.first <= p.first and p.last <= r.last and p != r for r in runs):
+            files.delete(p.folder)
+
+
+def _newest(spark: SparkSession, parts: list[Part]) -> DataFrame:
+    """The last version of every document in ``parts``; a base's give way to all later ones."""
+    schema = "_id string, seq bigint, op string, timestamp timestamp, json string"
+    read = lambda folders: spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    based = bool(parts) and parts[0].kind == "base"
+    new = read([p.folder for p in parts[based:]])
+    new = latest_per_key(new, ["_id"], ["seq", "timestamp"]) if len(parts) > based else new
+    return read([parts[0].folder]).join(new.select("_id"), "_id", "left_anti").unionByName(new) if based else new
 
 
 def state(spark: SparkSession, path: str) -> DataFrame:
     """(_id, seq, op, timestamp, json): the last version of every document that ``keep_state`` has seen; deletions show until they are merged."""
-    files = Files(spark)
-    bases = _bases(files, path)
-    upto = _number(bases[-1]) if bases else -1
-    parts = [f"{path}/changes/{n}" for n in files.names(f"{path}/changes") if _number(n) > upto]
-    schema = "_id string, seq bigint, op string, timestamp timestamp, json string"
-    new = latest_per_key(spark.read.schema(schema).parquet(*parts), ["_id"], ["seq", "timestamp"]) if parts else spark.createDataFrame([], schema)
-    if not bases:
-        return new
-    base = spark.read.schema(schema).parquet(f"{path}/base/{bases[-1]}")
-    return base.join(new.select("_id"), "_id", "left_anti").unionByName(new)
+    return _newest(spark, _parts(Files(spark), path))
 
 
 def rate(stream: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:

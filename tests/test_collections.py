@@ -148,6 +148,37 @@ def test_change_stream(store, spark, tmp_path):
         changes.watch(c, ["replace"])
 
 
+def test_commits_of_small_files_are_packed(store, spark):
+    """A stream of one file a batch has a batch a commit, however many partitions the rows had."""
+    c = store.create_database("s").create_collection("packed")
+    c.insert_many(spark.range(100).selectExpr("cast(id AS string) AS _id", "id AS n").repartition(9))
+    c.update_many({"n": {"$gte": 50}}, {"n": -1})
+    c.delete_many({"n": {"$lt": 10, "$gte": 0}})
+    assert [len(c.files.sizes(f"{c.log_path}/_seq={s:012d}")) for s in c._commits()] == [1, 1, 1]
+    assert c.count() == 90 and c.count({"n": -1}) == 50
+
+
+def test_kept_state_is_rewritten_in_runs(store, spark, tmp_path):
+    """Of 13 batches, bases hold the first 2, 4 and 8 only; later ones stand in runs; deletions hold across them."""
+    c = store.create_database("s").create_collection("runs")
+    path = str(tmp_path / "changes" / "state")
+    keep = lambda: changes.keep_state(spark, changes.watch(c, per_trigger=1), path, f"{path}-cp", once=True, merge_every=2).awaitTermination()
+    for i in range(11):
+        c.insert({"_id": str(i), "n": i})
+        if i == 7:
+            keep()
+    c.delete("2")
+    c.update("9", {"n": 0})
+    keep()
+    c.insert({"_id": "2", "n": 22})
+    assert {(r._id, r.json) for r in changes.state(spark, path).where("op <> 'delete'").collect()} == {(str(i), f'{{"n":{i % 9}}}') for i in range(11) if i not in (2, 10)} | {("10", '{"n":10}')}
+    assert [(p.first, p.last, p.kind) for p in changes._parts(c.files, path)] == [(0, 7, "base"), (8, 11, "run"), (12, 12, "batch")]
+    assert {int(n.split("=")[1]) for n in c.files.names(f"{path}/base")} <= {1, 3, 7}
+    keep()
+    assert {r._id for r in changes.state(spark, path).where("op <> 'delete'").collect()} == {str(i) for i in range(11)}
+    assert [(p.first, p.last) for p in changes._parts(c.files, path)] == [(0, 7), (8, 11), (12, 13)]
+
+
 def test_latest(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, None)], "k string, s int, v string")
     assert {r.k: (r.s, r.v) for r in latest_per_key(df, ["k"], ["s"]).collect()} == {"a": (3, "z"), "b": (1, None)}
