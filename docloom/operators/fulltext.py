@@ -19,6 +19,8 @@ from docloom.functions.scalars import tokens
 
 #: Folders that the postings are dealt out to.
 BUCKETS = 64
+#: Bytes of text whose postings one task for each folder writes; more texts are dealt out to more tasks.
+TASK_TEXT = 2 << 30
 #: Counts of so many searches at most are kept at a time; older ones are made again if asked for.
 SEARCHES = 4
 _kept: deque[DataFrame] = deque()
@@ -29,10 +31,19 @@ def query_words(spark: SparkSession, query: str) -> Counter:
     return Counter(spark.range(1).select(tokens(F.lit(query))).first()[0]) if query else Counter()
 
 
+def _counted(df: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(id, token, n, length) for each row and its tokens: ends of equal tokens in the sorted ones, without a shuffle."""
+    taken = df.select(F.col(id_col), F.explode(F.array(F.struct(F.sort_array(tokens(F.col(text))).alias("t")))).alias("_s")).select(id_col, F.col("_s.t").alias("_t"))
+    size = F.size("_t")
+    ends = F.filter(F.sequence(F.lit(0), size), lambda i: (i > 0) & ((i == size) | (F.get("_t", i - 1) != F.get("_t", i))))
+    each = taken.select(id_col, "_t", size.alias("length"), ends.alias("_ends")).select(id_col, "length", "_t", "_ends", F.posexplode("_ends").alias("_p", "_end"))
+    before = F.coalesce(F.get("_ends", F.col("_p") - 1), F.lit(0))
+    return each.select(id_col, F.get("_t", F.col("_end") - 1).alias("token"), (F.col("_end") - before).alias("n"), "length")
+
+
 def frequencies(df: DataFrame, text: str = "text", id_col: str = "_id") -> DataFrame:
     """(id, token, n, length): how often a token stands in a document, and the document's tokens."""
-    rows = df.select(F.col(id_col), tokens(F.col(text)).alias("_t"))
-    return rows.select(id_col, F.size("_t").alias("length"), F.explode("_t").alias("token")).groupBy(id_col, "length", "token").agg(F.count("*").alias("n"))
+    return _counted(df, text, id_col).groupBy(id_col, "length", "token").agg(F.sum("n").alias("n"))
 
 
 def _top(out: DataFrame, id_col: str, limit: int | None) -> DataFrame:
@@ -129,18 +140,24 @@ class Index:
         return _top(scored.groupBy("id").agg(F.sum("s").alias("score")), "id", limit)
 
 
-def build(df: DataFrame, path: str, text: str = "text", id_col: str = "_id", mode: str = "error", spread: int = 1) -> Index:
+def build(df: DataFrame, path: str, text: str = "text", id_col: str = "_id", mode: str = "error", spread: int | None = None) -> Index:
     """Store the inverted index of ``df``; documents without a token only count.
 
     Within a file rows are sorted by token, so a search skips all row groups but those of its words. A
-    folder is written by ``spread`` tasks, to which documents are dealt out, so no token is a hot key.
+    folder is written by ``spread`` tasks (one for each TASK_TEXT bytes of all texts), to which documents
+    are dealt out, so no token is a hot key. Postings are shuffled once; only where ids repeat are those
+    of equal ids and lengths added up before.
     """
     spark = df.sparkSession
-    rows = frequencies(df, text, id_col).select("token", F.col(id_col).alias("id"), F.col("n").cast("int").alias("n"), "length")
+    ids = df.groupBy(id_col).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("size"))
+    total = ids.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("size").alias("size")).first()
+    spread = spread or max(1, -(-(total["size"] or 0) // TASK_TEXT))
+    rows = frequencies(df, text, id_col) if (total["most"] or 0) > 1 else _counted(df, text, id_col)
+    rows = rows.select("token", F.col(id_col).alias("id"), F.col("n").cast("int").alias("n"), "length")
     rows = rows.withColumn("bucket", bucket_of(F.col("token")))
-    rows = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
+    rows = rows.repartitionById(BUCKETS * spread, (F.col("bucket") * spread + F.pmod(F.xxhash64("id"), F.lit(spread))).cast("int"))
     rows.sortWithinPartitions("bucket", "token", "id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-    spark.createDataFrame([(json.dumps({"documents": df.count()}),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
+    spark.createDataFrame([(json.dumps({"documents": total["n"] or 0}),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
     return Index(spark, path)
 
 

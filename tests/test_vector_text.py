@@ -121,6 +121,23 @@ def test_texts_are_taken_apart_once(spark, tmp_path):
     assert found._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
 
 
+def test_postings_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Counted in their rows and sent once, one folder a task; repeated and null ids are added up."""
+    text = "copper lamp copper anchor the copper lamp"
+    df = spark.createDataFrame([(1, text), (2, "lamp"), (3, None), (4, ""), (5, "the of")], "_id int, text string")
+    plan = fulltext._counted(df, "text", "_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("regexp_extract_all") == 1
+    got = {(r.token, r.id): (r.n, r.length) for r in fulltext.build(df, str(tmp_path / "a")).postings().collect()}
+    want = {("copper", 1): (3, 6), ("lamp", 1): (2, 6), ("anchor", 1): (1, 6), ("lamp", 2): (1, 1)}
+    assert got == want and all(len(list(b.glob("*.parquet"))) == 1 for b in (tmp_path / "a" / "postings").glob("bucket=*"))
+    twice = df.unionByName(df).unionByName(spark.createDataFrame([(None, "lamp brass"), (None, "brass lamp"), (2, "lamp lamp")], "_id int, text string"))
+    monkeypatch.setattr(fulltext, "TASK_TEXT", 30)
+    index = fulltext.build(twice, str(tmp_path / "b"))
+    rows = [(r.token, r.id, r.n, r.length) for r in index.postings().collect()]
+    assert len(rows) == len(set(rows)) and index.documents() == 13
+    assert set(rows) == {(t, i, 2 * n, k) for (t, i), (n, k) in want.items()} | {("lamp", 2, 2, 2), ("lamp", None, 2, 2), ("brass", None, 2, 2)}
+
+
 def test_scalars(spark):
     r = spark.range(1).select(
         scalars.tokens(F.lit("The Zürich-Bern db, is_ok 42")).alias("t"),
